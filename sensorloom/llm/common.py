@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,3 +97,24 @@ def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
     ends = np.cumsum(lengths)
     return total[ends] - total[ends - lengths]
+
+
+#: Runs of letters.
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def chunks(texts: list, most_chars: int = 6_000_000):
+    """Index ranges of consecutive texts of about so many characters: whole texts, at least one."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        if i > first and size + len(t or "") > most_chars:
+            yield first, i
+            first, size = i, 0
+        size += len(t or "")
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def labelled_sample(rows: DataFrame, order: list[str], most_rows: int, most_chars: int) -> list:
+    """At most so many rows, by the order of a hash, of texts no longer than this: what a model is fitted on."""
+    return rows.where(F.length("text") <= most_chars).orderBy(F.xxhash64(*order), *order).limit(most_rows).collect()

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sensorloom.llm import language, toxicity
 from sensorloom.llm.common import table
 from sensorloom.llm.decontaminate import report
 from sensorloom.llm.simhash import near_duplicates
@@ -18,8 +19,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES |= {"op7_decontaminate": op7_decontaminate, "op8_simhash": op8_simhash}
+QUERIES |= {"op4_language": op4_language, "op6_toxicity": op6_toxicity, "op7_decontaminate": op7_decontaminate, "op8_simhash": op8_simhash}
