@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import language, toxicity
+from sensorloom.llm import language, mixing, toxicity
 from sensorloom.llm.common import table
 from sensorloom.llm.decontaminate import report
 from sensorloom.llm.simhash import near_duplicates
@@ -19,6 +19,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
@@ -31,4 +35,5 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES |= {"op4_language": op4_language, "op6_toxicity": op6_toxicity, "op7_decontaminate": op7_decontaminate, "op8_simhash": op8_simhash}
+QUERIES |= {"op3_mixing": op3_mixing, "op4_language": op4_language, "op6_toxicity": op6_toxicity, "op7_decontaminate": op7_decontaminate, "op8_simhash": op8_simhash}
+ORACLE_SQL |= {"op3_mixing": mixing.sql()}

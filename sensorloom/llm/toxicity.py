@@ -18,16 +18,16 @@ PREFIXES = (4, 5, 6, 7, 8)
 class Settings:
     """sample_rows and sample_chars bound what the model is fitted on; terms, buckets and rank its size."""
 
-    sample_rows: int = 12_000
+    sample_rows: int = 6_000
     sample_chars: int = 20_000
     buckets: int = 1 << 22
-    terms: int = 2_048
+    terms: int = 1_024
     rank: int = 4
-    least_z: float = 4.0
+    least_z: float = 3.0
     least_docs: int = 5
-    rounds: int = 300
+    rounds: int = 250
     rate: float = 0.05
-    decay: float = 2e-4
+    decay: float = 3e-3
     seed: int = 11
 
 
@@ -120,8 +120,9 @@ def fit(texts: list, labels: np.ndarray, s: Settings) -> FactorizationMachine:
     w = [np.array([bias]), np.zeros(len(good)), r.normal(0, 0.02, (len(good), s.rank))]
     m, v = [np.zeros_like(k) for k in w], [np.zeros_like(k) for k in w]
     for step in range(1, s.rounds + 1):
-        hidden = x @ w[2]
-        score = w[0] + x @ w[1] + 0.5 * ((hidden**2).sum(axis=1) - x @ (w[2] ** 2).sum(axis=1))
+        w1, w2 = w[1].astype(np.float32), w[2].astype(np.float32)
+        hidden = x @ w2
+        score = w[0] + x @ w1 + 0.5 * ((hidden**2).sum(axis=1) - x @ (w2**2).sum(axis=1))
         g = ((1 / (1 + np.exp(-np.clip(score, -30, 30))) - y) / len(y)).astype(np.float32)
         xg = x.T @ g
         grads = [np.array([g.sum()]), xg + s.decay * w[1], x.T @ (g[:, None] * hidden) - w[2] * xg[:, None] + s.decay * w[2]]
