@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import language, mixing, toxicity
+from sensorloom.llm import chat, language, mixing, quality, toxicity, urls
 from sensorloom.llm.common import table
 from sensorloom.llm.decontaminate import report
 from sensorloom.llm.simhash import near_duplicates
@@ -27,6 +27,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,5 +39,13 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES |= {"op3_mixing": op3_mixing, "op4_language": op4_language, "op6_toxicity": op6_toxicity, "op7_decontaminate": op7_decontaminate, "op8_simhash": op8_simhash}
-ORACLE_SQL |= {"op3_mixing": mixing.sql()}
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.report(table(spark, sf_dir, "pages"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
+QUERIES |= {f.__name__: f for f in (op3_mixing, op4_language, op5_quality, op6_toxicity, op7_decontaminate, op8_simhash, op9_urls, op10_chat)}
+ORACLE_SQL |= {"op3_mixing": mixing.sql(), "op10_chat": chat.SQL}
