@@ -33,24 +33,24 @@ class Settings:
 
 
 def statistics(text: bytes) -> tuple[list[bytes], list[float]]:
-    """Words, and: their number, mean length, shares of symbols, capitals, digits, distinct words and repeated lines."""
+    """Words, and: their number, mean length, shares of symbols, capitals, digits, words that repeat the one before, and repeated lines."""
     words = text.split()
     n, size = len(words), max(1, sum(map(len, words)))
     gone = lambda chars: len(text) - len(text.translate(None, chars))
     upper = gone(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     letters = upper + gone(b"abcdefghijklmnopqrstuvwxyz")
     lines = [x for x in text.split(b"\n") if x.strip()]
-    return words, [n, size / max(1, n), gone(SYMBOLS) / size, upper / max(1, letters), gone(b"0123456789") / size, len(set(words)) / max(1, n), 1 - len(set(lines)) / max(1, len(lines))]
+    return words, [n, size / max(1, n), gone(SYMBOLS) / size, upper / max(1, letters), gone(b"0123456789") / size, sum(map(bytes.__eq__, words, words[1:])) / max(1, n), 1 - len(set(lines)) / max(1, len(lines))]
 
 
 #: For each statistic, which values are bad and which good; what is neither abstains.
 LABELLERS = (
     (lambda x: x < 5, lambda x: x >= 30),
-    (lambda x: x > 14 or x < 2, lambda x: 3 <= x <= 9),
-    (lambda x: x > 0.08, lambda x: x < 0.01),
-    (lambda x: x > 0.3, lambda x: x < 0.08),
+    (lambda x: x > 12 or x < 2.5, lambda x: 3 <= x <= 7),
+    (lambda x: x > 0.03, lambda x: x < 0.005),
+    (lambda x: x > 0.2, lambda x: x < 0.06),
     (lambda x: x > 0.15, lambda x: x < 0.02),
-    (lambda x: x < 0.2, lambda x: x > 0.35),
+    (lambda x: x > 0.1, lambda x: x < 0.02),
     (lambda x: x > 0.3, lambda x: x < 0.05),
 )
 
@@ -67,12 +67,12 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     """Probability of good for each pattern of votes, from how often each occurs.
 
     Each labeller has, for bad and for good documents, its own probabilities to vote bad, good, or not.
-    The start takes votes to be right more often than wrong, which settles what is called good.
+    The start takes bad votes to be rare on good documents, which settles what is called good.
     """
     m = len(LABELLERS)
     cast = np.stack([patterns // 3 ** (m - 1 - j) % 3 for j in range(m)], axis=1)
     p = np.full((m, 2, 3), 0.0)
-    p[:, 0], p[:, 1] = (0.3, 0.5, 0.2), (0.3, 0.1, 0.6)
+    p[:, 0], p[:, 1] = (0.3, 0.3, 0.4), (0.3, 0.02, 0.68)
     prior = np.array([0.3, 0.7])
     for _ in range(rounds):
         log = np.log(prior) + sum(np.log(p[j][:, cast[:, j]]).T for j in range(m))
