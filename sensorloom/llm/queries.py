@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sensorloom.llm import chat, language, mixing, quality, toxicity, urls
+from sensorloom.llm import chat, language, mixing, neighbours, quality, scoring, toxicity, urls
 from sensorloom.llm.common import table
 from sensorloom.llm.decontaminate import report
 from sensorloom.llm.simhash import near_duplicates
@@ -19,6 +20,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op2_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.report(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -47,5 +56,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(table(spark, sf_dir, "conversations"))
 
 
-QUERIES |= {f.__name__: f for f in (op3_mixing, op4_language, op5_quality, op6_toxicity, op7_decontaminate, op8_simhash, op9_urls, op10_chat)}
+QUERIES |= {f.__name__: f for f in (op1_neighbours, op2_scoring, op3_mixing, op4_language, op5_quality, op6_toxicity, op7_decontaminate, op8_simhash, op9_urls, op10_chat)}
 ORACLE_SQL |= {"op3_mixing": mixing.sql(), "op10_chat": chat.SQL}
