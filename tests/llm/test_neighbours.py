@@ -34,7 +34,7 @@ def test_recall_over_the_table(spark):
 def test_odd_rows_and_ties(spark):
     r = np.random.default_rng(0)
     rows = [(i, r.normal(size=6).tolist()) for i in range(300)] + [(1000 + i, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(700)]
-    bad = [(2000, None), (2050, [0.0] * 6), (2100, [1.0, float("nan"), 1, 1, 1, 1]), (2150, [float("inf")] * 6), (2200, [1.0, None, 1, 1, 1, 1]), (2250, [1.0, 2.0]), (None, [1.0] * 6)]
+    bad = [(2000, None), (2050, [0.0] * 6), (2100, [1.0, float("nan"), 1.0, 1.0, 1.0, 1.0]), (2150, [float("inf")] * 6), (2200, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (2250, [1.0, 2.0]), (None, [1.0] * 6)]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows + bad], "vec_id long, embedding array<float>, leaf string, rank int")
     s = N.Settings(recall=1.0, leaf_rows=50, block_rows=64, block_queries=3)
     got = N.search(df, "vec_id % 50 = 0", s).collect()
