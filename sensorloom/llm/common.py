@@ -118,3 +118,16 @@ def chunks(texts: list, most_chars: int = 6_000_000):
 def labelled_sample(rows: DataFrame, order: list[str], most_rows: int, most_chars: int) -> list:
     """At most so many rows, by the order of a hash, of texts no longer than this: what a model is fitted on."""
     return rows.where(F.length("text") <= most_chars).orderBy(F.xxhash64(*order), *order).limit(most_rows).collect()
+
+
+def coded(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of all words of the texts, words of each, and the distinct words: no list of all words is held."""
+    seen: dict[str, int] = {}
+    parts, lengths = [np.zeros(0, np.int32)], []
+    for t in texts:
+        found = LETTERS.findall((t or "").lower())
+        parts.append(np.fromiter((seen.setdefault(w, len(seen)) for w in found), np.int32, len(found)))
+        lengths.append(len(found))
+    distinct = np.empty(len(seen), dtype=object)
+    distinct[:] = list(seen)
+    return np.concatenate(parts), np.array(lengths, np.int64), distinct

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import Words, chunks, in_fold, labelled_sample, numbered
+from sensorloom.llm.common import Words, chunks, coded, in_fold, labelled_sample, numbered
 from sensorloom.llm.toxicity import split_words
 
 UNKNOWN = "und"
@@ -104,11 +104,10 @@ def fit(texts: list[str], langs: list[str], s: Settings) -> Crf:
     names = sorted(set(langs))
     k = len(names)
     label = np.array([names.index(x) for x in langs], np.int64)
-    words, lengths = split_words(texts)
+    codes, lengths, distinct = coded(texts)
     keep = lengths > 0
-    if not words:
+    if not len(codes):
         return Crf(names, s.buckets, np.zeros((s.buckets + k + 1, k), np.float32), np.zeros((k, k), np.float32), {})
-    codes, distinct = numbered(words)
     label, lengths = label[keep], lengths[keep]
     starts = np.cumsum(lengths) - lengths
     lexicon: dict[str, int] = {}

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import LETTERS, Words, chunks, in_fold, labelled_sample, numbered, sums
+from sensorloom.llm.common import LETTERS, Words, chunks, coded, in_fold, labelled_sample, numbered, sums
 
 PREFIXES = (4, 5, 6, 7, 8)
 
@@ -86,20 +86,22 @@ def fit(texts: list, labels: np.ndarray, s: Settings) -> FactorizationMachine:
     rate = float(y.mean()) if len(y) else 0.0
     bias = float(np.log((rate + 1e-4) / (1 - rate + 1e-4)))
     none = FactorizationMachine(s.buckets, bias, np.zeros(0, np.int64), np.zeros((0, s.rank + 2)))
-    words, lengths = split_words(texts)
-    if not words or not 0 < rate < 1:
+    codes, lengths, distinct = coded(texts)
+    if not len(codes) or not 0 < rate < 1:
         return none
-    codes, distinct = numbered(words)
     pairs = np.unique(np.repeat(np.arange(len(texts)), lengths) * len(distinct) + codes)
-    doc, code = pairs // len(distinct), pairs % len(distinct)
+    doc, code = (pairs // len(distinct)).astype(np.int32), (pairs % len(distinct)).astype(np.int32)
+    del pairs, codes
     uses = []
     for own, b in word_terms(distinct, s.buckets):
         of = np.full(len(distinct), -1, np.int64)
         of[own] = b
         has = of[code] >= 0
-        uses.append((doc[has], of[code[has]]))
-    d, b = (np.concatenate(x) for x in zip(*uses))
-    key, times = np.unique(d * s.buckets + b, return_counts=True)
+        key, times = np.unique(doc[has].astype(np.int64) * s.buckets + of[code[has]], return_counts=True)
+        often = np.bincount(key % s.buckets, minlength=s.buckets) >= s.least_docs
+        keep = often[key % s.buckets]
+        uses.append((key[keep], times[keep]))
+    key, times = (np.concatenate(x) for x in zip(*uses))
     d, b = key // s.buckets, key % s.buckets
     terms, at = np.unique(b, return_inverse=True)
     n = np.bincount(at)
@@ -115,7 +117,7 @@ def fit(texts: list, labels: np.ndarray, s: Settings) -> FactorizationMachine:
     place[good] = np.arange(len(good))
     use = place[at] >= 0
     x = np.zeros((len(texts), len(good)), np.float32)
-    x[d[use], place[at[use]]] = times[use]
+    np.add.at(x, (d[use], place[at[use]]), times[use])
     r = np.random.default_rng(s.seed)
     w = [np.array([bias]), np.zeros(len(good)), r.normal(0, 0.02, (len(good), s.rank))]
     m, v = [np.zeros_like(k) for k in w], [np.zeros_like(k) for k in w]
