@@ -115,9 +115,20 @@ def chunks(texts: list, most_chars: int = 6_000_000):
         yield first, len(texts)
 
 
-def labelled_sample(rows: DataFrame, order: list[str], most_rows: int, most_chars: int) -> list:
-    """At most so many rows, by the order of a hash, of texts no longer than this: what a model is fitted on."""
-    return rows.where(F.length("text") <= most_chars).orderBy(F.xxhash64(*order), *order).limit(most_rows).collect()
+def bounded_sample(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """At most so many rows, the first by a hash of the keys.
+
+    The hashes alone are ranked first, so that each task sends a few rows only, not `most` whole ones.
+    """
+    ranked = rows.withColumn("_hash", F.xxhash64(*keys))
+    last = ranked.select("_hash").orderBy("_hash").limit(most).agg(F.max("_hash")).first()[0]
+    near = ranked.where(F.col("_hash") <= F.lit(last)) if last is not None else ranked.limit(0)
+    return near.orderBy("_hash", *keys).limit(most).drop("_hash")
+
+
+def labelled_sample(rows: DataFrame, keys: list[str], most_rows: int, most_chars: int) -> list:
+    """At most so many rows of texts no longer than this: what a model is fitted on."""
+    return bounded_sample(rows.where(F.length("text") <= most_chars), keys, most_rows).collect()
 
 
 def coded(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

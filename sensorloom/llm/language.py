@@ -19,9 +19,9 @@ UNKNOWN = "und"
 class Settings:
     """sample_rows, sample_chars and segments bound what the model is fitted on; buckets its size."""
 
-    sample_rows: int = 4_000
+    sample_rows: int = 2_500
     sample_chars: int = 20_000
-    segments: int = 16_000
+    segments: int = 8_000
     length: int = 24
     buckets: int = 1 << 17
     lexicon: int = 400

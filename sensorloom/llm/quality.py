@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import MULTIPLIER, binary, chunks, mixed, numbered, sums
+from sensorloom.llm.common import MULTIPLIER, binary, bounded_sample, chunks, mixed, numbered, sums
 
 ABSTAIN, BAD, GOOD = 0, 1, 2
 SYMBOLS = b"#$%&*|{}<>~^_=+\\@"
@@ -23,7 +23,7 @@ CLASSES = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 4
 class Settings:
     """sample_rows and sample_chars bound what the scorer is fitted on; the labellers' accuracies come from all documents."""
 
-    sample_rows: int = 6_000
+    sample_rows: int = 3_000
     sample_chars: int = 20_000
     buckets: int = 1 << 16
     rounds: int = 120
@@ -165,7 +165,7 @@ def train(docs: DataFrame, settings: Settings | None = None) -> tuple[dict[int,
     post = expectation_maximisation(patterns, np.array([r["count"] for r in rows], np.float64), s.em_rounds) if rows else np.zeros(0)
     posterior = dict(zip(patterns.tolist(), post.tolist()))
     known = docs.where(F.length("text") <= s.sample_chars).select(binary(), F.col("doc_id").cast("long").alias("doc_id"))
-    sample = [bytes(r["text"]) for r in known.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(s.sample_rows).collect()]
+    sample = [bytes(r["text"]) for r in bounded_sample(known, ["doc_id", "text"], s.sample_rows).collect()]
     return posterior, fit(sample, np.array([posterior.get(votes(statistics(t)[1]), 0.5) for t in sample]), s)
 
 
