@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import binary
+from sensorloom.llm.common import binary, save
 
 #: A-Z to lower case; every other ASCII character but 0-9 and a-z ends a word.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -173,18 +173,21 @@ def _scan(shared):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_words: int = 2_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_words: int = 250_000) -> DataFrame:
     """The docs with _words, _spans (merged [start, end) word spans of copies) and _items (their item_ids, sorted).
 
     docs: text and any other columns, which stay. A window is `window` consecutive words of an item; an
     item of fewer words, but not none, is one window. Null texts have no words; items without id or text
     take no part; repeated items and rows count each. Each document streams once through the automaton,
     in bounded memory. The automaton is sent to the executors: a benchmark of over `most_words` words
-    is cut into several, and the documents pass through each in turn.
+    is cut into several, and the documents pass through each in turn, written in between, so that no
+    task holds two of them.
     """
     spark = docs.sparkSession
     rows = docs.withColumn("_bytes", F.coalesce(F.col("text"), F.lit("")).cast("binary")).withColumn("_words", F.lit(0).cast("long")).withColumn("_spans", F.expr("cast(array() AS array<array<bigint>>)")).withColumn("_items", F.expr("cast(array() AS array<bigint>)"))
-    for automaton in shards(benchmark, window, most_words):
+    for n, automaton in enumerate(shards(benchmark, window, most_words)):
+        if n:
+            rows = save(rows, "matched")
         rows = rows.mapInArrow(_scan(spark.sparkContext.broadcast(automaton)), rows.schema)
     return rows
 
