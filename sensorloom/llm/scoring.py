@@ -9,6 +9,12 @@ has probability (2k-1)/2n, the escape d/2n.
 Every node of the trie is one (order+1)-gram or the end of one: all counts are sums of those of the
 longest grams. Texts begin after a run of a byte that UTF-8 doesn't have and end with another, so the
 probabilities of all texts sum to one.
+
+The trie has no bound, so it is never in one place. Its levels below three bytes of context have at most
+2**24 nodes and are broadcast; the others are dealt out by the last three bytes of context, which all
+contexts of a byte share from three bytes up: a part holds at most 2**24 nodes of each level for each such
+three bytes. The most frequent grams, a bounded table of finished probabilities, are broadcast to the
+documents; what these have besides is looked up in the parts.
 """
 
 from __future__ import annotations
@@ -30,10 +36,14 @@ SYMBOLS = 256
 
 @dataclass
 class Settings:
-    """order: bytes of context, at most 6. most_nodes bounds the trie, which is broadcast: beyond it the rarest nodes go."""
+    """order: bytes of context, 3 to 6. frequent: grams whose probability is broadcast; it changes no score.
+
+    part_grams: grams that a part of the trie should have. split_bytes and chunk_bytes: text that is held at once.
+    """
 
     order: int = 5
-    most_nodes: int = 3_000_000
+    frequent: int = 1_000_000
+    part_grams: int = 100_000
     split_bytes: int = 8_000_000
     chunk_bytes: int = 4_000_000
 
@@ -108,7 +118,6 @@ class Ppm:
             else:
                 self.excluded.append(np.zeros(len(context)))
         self.gram_at, self.context_at = [Lookup(g) for g in self.grams], [Lookup(c) for c in self.contexts]
-        self.top = self._logs(self.grams[-1]) if len(self.grams[-1]) else np.zeros(0)
 
     def _logs(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each gram after the others."""
@@ -135,18 +144,17 @@ class Ppm:
         out[open_] -= np.log10(np.maximum(SYMBOLS - seen_d[open_], 1))
         return out
 
-    def scores(self, texts: list[bytes], chunk: int = 4_000_000) -> np.ndarray:
-        """log10 probability of each text."""
-        out = []
-        for a, b in batches_of(texts, chunk):
-            codes, lengths = grams(texts[a:b], self.order)
-            at = self.gram_at[-1].find(codes)
-            logs = self.top[at] if len(self.top) else np.zeros(len(codes))
-            new = np.flatnonzero(at < 0)
-            if len(new):
-                logs[new] = self._logs(codes[new])
-            out.append(np.add.reduceat(logs, np.cumsum(lengths) - lengths))
-        return np.concatenate(out) if out else np.zeros(0)
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        """log10 probability of each text, from a whole trie."""
+        codes, lengths = grams(texts, self.order)
+        distinct, at = np.unique(codes, return_inverse=True)
+        return np.add.reduceat(self._logs(distinct)[at], np.cumsum(lengths) - lengths)
+
+
+def level(codes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes with k bytes of context, and their counts."""
+    node, at = np.unique(codes & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+    return node, np.bincount(at, weights=counts, minlength=len(node))
 
 
 def gathered(rows: DataFrame, s: Settings) -> DataFrame:
@@ -166,22 +174,39 @@ def gathered(rows: DataFrame, s: Settings) -> DataFrame:
     return save(found.groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
 
 
-def trie(counted: DataFrame, s: Settings) -> Ppm:
-    """The nodes of each level. At most most_nodes of them are fetched: the threshold on counts doubles until they fit."""
-    masks = ", ".join(f"{(1 << 8 * (k + 1)) - 1}L" for k in range(s.order + 1))
-    nodes = counted.where("gram >= 0").selectExpr(f"posexplode(transform(array({masks}), m -> gram & m)) AS (level, node)", "n").groupBy("level", "node").agg(F.sum("n").alias("n"))
-    nodes = save(nodes, "ppm-nodes")
+def low_levels(counted: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Nodes with up to two bytes of context: at most 2**24, whatever the corpus."""
+    got = counted.where("gram >= 0").groupBy((F.col("gram").bitwiseAND(F.lit(0xFFFFFF))).alias("node")).agg(F.sum("n").alias("n")).toArrow()
+    node, n = got.column("node").to_numpy().astype(np.uint64), got.column("n").to_numpy()
+    return [level(node, n, k) for k in range(3)]
+
+
+def frequent(counted: DataFrame, s: Settings) -> tuple[Lookup, np.ndarray]:
+    """The most frequent grams and their log10 probabilities. The threshold on counts doubles until they are few enough."""
     steps = [1 << i for i in range(48)]
-    sizes = nodes.agg(*[F.count(F.when(F.col("n") >= t, 1)) for t in steps]).first()
-    least = next(t for t, size in zip(steps, sizes) if size <= s.most_nodes)
-    got = nodes.where(F.col("n") >= least).toArrow()
-    level, node, n = (got.column(c).to_numpy() for c in ("level", "node", "n"))
-    levels = []
-    for k in range(s.order + 1):
-        own = np.flatnonzero(level == k)
-        own = own[np.argsort(node[own])]
-        levels.append((node[own].astype(np.uint64), n[own]))
-    return Ppm(levels)
+    known = counted.where("gram >= 0")
+    sizes = known.agg(*[F.count(F.when(F.col("n") >= t, 1)) for t in steps]).first()
+    least = next(t for t, size in zip(steps, sizes) if size <= s.frequent)
+    got = known.withColumn("all", F.sum("n").over(W.partitionBy(F.shiftright("gram", 8)))).where(F.col("n") >= least).select("gram", "n", "all").toArrow()
+    gram, n, total = (got.column(c).to_numpy() for c in ("gram", "n", "all"))
+    order = np.argsort(gram)
+    return Lookup(gram[order].astype(np.uint64)), np.log10((2 * n[order] - 1) / (2 * total[order]))
+
+
+def looked_up(wanted: DataFrame, counted: DataFrame, s: Settings) -> DataFrame:
+    """gram and log, the log10 probability of its last byte after the others, for the distinct grams of `wanted`."""
+    shared = wanted.sparkSession.sparkContext.broadcast(low_levels(counted))
+    known = counted.where("gram >= 0")
+    parts = int(known.count() // s.part_grams) + 1
+    dealt = lambda df: df.withColumn("part", F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFFFF))), F.lit(parts)).cast("int"))
+
+    def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
+        codes = asked.column("gram").to_numpy().astype(np.uint64)
+        gram, n = own.column("gram").to_numpy().astype(np.uint64), own.column("n").to_numpy()
+        logs = Ppm([*shared.value, *(level(gram, n, k) for k in range(3, s.order + 1))])._logs(codes) if len(codes) else np.zeros(0)
+        return pa.table({"gram": asked.column("gram"), "log": pa.array(logs, pa.float64())})
+
+    return dealt(wanted.select("gram").distinct()).groupBy("part").cogroup(dealt(known).groupBy("part")).applyInArrow(answer, "gram long, log double")
 
 
 def _words(table: pa.Table) -> pa.Table:
@@ -200,10 +225,29 @@ def _words(table: pa.Table) -> pa.Table:
     return pa.table({"split": pa.array([split] * len(tokens), pa.int64()), "token": pa.array(tokens, pa.binary()), "n": pa.array([*known.values(), *[0] * len(other)], pa.int64())})
 
 
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, words long"
+RESULT = "doc_id long, place long, held_out boolean, n_tokens long, n_known long, logs double, part_score double, words long, rare array<struct<gram: bigint, times: bigint>>"
+
+
+def _summed(table: Lookup, log: np.ndarray, texts: list[bytes], s: Settings) -> tuple[np.ndarray, list]:
+    """For each text the sum over its frequent grams, and its other grams with their times."""
+    total, rare = [np.zeros(0)], []
+    for a, b in batches_of(texts, s.chunk_bytes):
+        codes, lengths = grams(texts[a:b], s.order)
+        at = table.find(codes)
+        found = log[at] if len(log) else np.zeros(len(codes))
+        new = np.flatnonzero(at < 0)
+        found[new] = 0
+        starts = np.cumsum(lengths) - lengths
+        total.append(np.add.reduceat(found, starts))
+        own = np.searchsorted(starts, new, side="right") - 1
+        edge = np.searchsorted(own, np.arange(b - a + 1))
+        for i in range(b - a):
+            gram, times = np.unique(codes[new[edge[i] : edge[i + 1]]], return_counts=True) if edge[i] < edge[i + 1] else ((), ())
+            rare.append([{"gram": int(g), "times": int(t)} for g, t in zip(gram, times)])
+    return np.concatenate(total), rare
 
 
-def _scored(shared, chunk: int):
+def _scored(shared, s: Settings):
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
         count = counts.column("c").to_numpy()
         tokens = counts.column("token").to_pylist()
@@ -217,8 +261,8 @@ def _scored(shared, chunk: int):
             known.append(sum(map(seen.__getitem__, words)) + end[1])
             logs.append(sum(map(log.__getitem__, words)) + end[0])
         more = int(counts.column("first").to_numpy(zero_copy_only=False).sum())
-        score = shared.value.scores(texts, chunk)
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "logs": pa.array(logs, pa.float64()), "score": pa.array(score, pa.float64()), "words": pa.array([more] + [0] * (len(n) - 1) if n else [], pa.int64())})
+        score, rare = _summed(*shared.value, texts, s)
+        return pa.table({"doc_id": docs.column("doc_id"), "place": docs.column("place"), "held_out": docs.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "logs": pa.array(logs, pa.float64()), "part_score": pa.array(score, pa.float64()), "words": pa.array([more] + [0] * (len(n) - 1) if n else [], pa.int64()), "rare": pa.array(rare, pa.list_(pa.struct([("gram", pa.int64()), ("times", pa.int64())])))})
 
     return run
 
@@ -229,7 +273,8 @@ def report(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     Learns from the documents outside the held-out fold; a null doc_id is in no fold, so it is learned from.
     Every split of about split_bytes of text meets the counts of its own distinct tokens only, so the
     vocabulary is never broadcast and no split grows with it; one shuffle carries the texts, one the
-    distinct tokens of the splits, and one takes their counts back.
+    distinct tokens of the splits, and one takes their counts back. Rare grams are looked up once each,
+    their documents meet the answers in a join, and each document's are summed before they are shuffled.
     """
     s = settings or Settings()
     spark = docs.sparkSession
@@ -238,12 +283,19 @@ def report(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(size // s.split_bytes) + 1
     train_tokens = (counted.where("gram = -1").agg(F.sum("n")).first() or [0])[0] or 0
-    shared = spark.sparkContext.broadcast(trie(counted, s))
-    parts = rows.withColumn("split", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("long")).repartition(n, "split")
+    shared = spark.sparkContext.broadcast(frequent(counted, s))
+    placed = rows.withColumn("place", F.xxhash64("doc_id", "text"))
+    parts = placed.withColumn("split", F.pmod("place", F.lit(n)).cast("long")).repartition(n, "split")
     tokens = parts.groupBy("split").applyInArrow(_words, "split long, token binary, n long")
     same = W.partitionBy("token")
     counts = tokens.select("split", "token", F.sum("n").over(same).alias("c"), F.row_number().over(same.orderBy("split")).alias("r")).select("split", "token", "c", ((F.col("r") == 1) & (F.col("c") > 0)).alias("first"))
-    out = save(parts.groupBy("split").cogroup(counts.groupBy("split")).applyInArrow(_scored(shared, s.chunk_bytes), RESULT), "ppm-scores")
+    out = save(parts.groupBy("split").cogroup(counts.groupBy("split")).applyInArrow(_scored(shared, s), RESULT), "ppm-scores")
+    rare = out.select("doc_id", "place", F.posexplode("rare").alias("i", "r")).select("doc_id", "place", "i", "r.gram", "r.times")
+    copies = F.count(F.when(F.col("i") == 0, 1))
+    rest = (F.sum(F.col("log") * F.col("times")) / copies).alias("rest")
+    answers = rare.join(looked_up(rare, counted, s), "gram").groupBy(F.col("doc_id").alias("d"), F.col("place").alias("p")).agg(rest)
     words = out.agg(F.sum("words")).first()[0] or 0
     base = F.col("logs") - F.col("n_tokens") * float(np.log10(train_tokens + 0.5 * (words + 1)))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(train_tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    score = F.col("part_score") + F.coalesce(F.col("rest"), F.lit(0.0))
+    joined = out.drop("rare").join(answers, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("place") == F.col("p")), "left")
+    return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(train_tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))

@@ -75,11 +75,14 @@ def test_whole_table(spark):
     assert all(abs(want[r["doc_id"]] - r["score"]) < 1e-6 * abs(r["score"]) for r in got)
 
 
-def test_odd_rows_and_pruning(spark):
+def test_odd_rows_and_parts(spark):
     rows = [(1, None, 0.5), (2, "", 0.5), (3, "long text " * 30_000, None), (None, "a b A", 0.5), (4, "same", 1.0), (4, "same", 1.0), (5, "\x00 é\n", 1.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score double")
-    for s in (P.Settings(), P.Settings(order=3, most_nodes=10, split_bytes=100_000)):
+    scores = []
+    for s in (P.Settings(), P.Settings(frequent=0, part_grams=4), P.Settings(frequent=10, split_bytes=100_000), P.Settings(order=3)):
         got = P.report(df, s).collect()
+        scores.append(sorted((str(r["doc_id"]), round(r["score"], 6)) for r in got))
         assert sorted(((*r[:5], round(r[5], 6)) for r in got), key=str) == slow_base([r[:2] for r in rows])
         assert all(math.isfinite(r["score"]) and r["score"] <= 0 for r in got)
+    assert scores[0] == scores[1] == scores[2]
     assert P.report(df.limit(0)).collect() == []
