@@ -38,14 +38,16 @@ SYMBOLS = 256
 class Settings:
     """order: bytes of context, 3 to 6. frequent: grams whose probability is broadcast; it changes no score.
 
-    part_grams: grams that a part of the trie should have. split_bytes and chunk_bytes: text that is held at once.
+    part_grams: grams that a part of the trie should have. split_bytes of text meet their counts at once;
+    of them count_bytes are counted and score_bytes scored at once, or one longer text.
     """
 
     order: int = 5
     frequent: int = 1_000_000
     part_grams: int = 100_000
     split_bytes: int = 8_000_000
-    chunk_bytes: int = 4_000_000
+    count_bytes: int = 3_000_000
+    score_bytes: int = 750_000
 
 
 def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +167,7 @@ def gathered(rows: DataFrame, s: Settings) -> DataFrame:
             texts = batch.column(0).to_pylist()
             tokens = sum(len(t.split()) + 1 for t in texts)
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([tokens], pa.int64())], names=["gram", "n"])
-            for a, b in batches_of(texts, s.chunk_bytes):
+            for a, b in batches_of(texts, s.count_bytes):
                 codes, _ = grams(texts[a:b], s.order)
                 code, n = np.unique(codes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
@@ -231,7 +233,7 @@ RESULT = "doc_id long, place long, held_out boolean, n_tokens long, n_known long
 def _summed(table: Lookup, log: np.ndarray, texts: list[bytes], s: Settings) -> tuple[np.ndarray, list]:
     """For each text the sum over its frequent grams, and its other grams with their times."""
     total, rare = [np.zeros(0)], []
-    for a, b in batches_of(texts, s.chunk_bytes):
+    for a, b in batches_of(texts, s.score_bytes):
         codes, lengths = grams(texts[a:b], s.order)
         at = table.find(codes)
         found = log[at] if len(log) else np.zeros(len(codes))
@@ -249,17 +251,17 @@ def _summed(table: Lookup, log: np.ndarray, texts: list[bytes], s: Settings) ->
 
 def _scored(shared, s: Settings):
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        count = counts.column("c").to_numpy()
-        tokens = counts.column("token").to_pylist()
-        log = dict(zip(tokens, np.log10(count + 0.5).tolist()))
-        seen = dict(zip(tokens, (count > 0).astype(int).tolist()))
-        texts, end = docs.column("text").to_pylist(), (log[b""], seen[b""]) if tokens else (0.0, 0)
+        log = dict(zip(counts.column("token").to_pylist(), np.log10(counts.column("c").to_numpy() + 0.5).tolist()))
+        never, texts = np.log10(0.5), docs.column("text").to_pylist()
         n, known, logs = [], [], []
         for t in texts:
             words = t.lower().split()
-            n.append(len(words) + 1)
-            known.append(sum(map(seen.__getitem__, words)) + end[1])
-            logs.append(sum(map(log.__getitem__, words)) + end[0])
+            words.append(b"")
+            each = np.fromiter(map(log.__getitem__, words), np.float64, len(words))
+            n.append(len(words))
+            known.append(int((each > never).sum()))
+            logs.append(float(each.sum()))
+        del log
         more = int(counts.column("first").to_numpy(zero_copy_only=False).sum())
         score, rare = _summed(*shared.value, texts, s)
         return pa.table({"doc_id": docs.column("doc_id"), "place": docs.column("place"), "held_out": docs.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "logs": pa.array(logs, pa.float64()), "part_score": pa.array(score, pa.float64()), "words": pa.array([more] + [0] * (len(n) - 1) if n else [], pa.int64()), "rare": pa.array(rare, pa.list_(pa.struct([("gram", pa.int64()), ("times", pa.int64())])))})
