@@ -22,7 +22,8 @@ from sensorloom.llm.common import bounded_sample, save
 class Settings:
     """sample_rows bounds what the tree is fitted on, most_leaves the tree, calibrating the queries of the calibration.
 
-    leaf_rows: rows that a leaf should have; block_rows and block_queries: what is compared at once.
+    leaf_rows: rows that a leaf should have; block_rows and block_queries: what is compared at once, rows of
+    several leaves that lie side by side, or a part of those of a large leaf.
     """
 
     k: int = 5
@@ -126,14 +127,16 @@ def usable(rows: DataFrame, column: str = "embedding") -> DataFrame:
     return good.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
 
 
-def best(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, k: int):
-    """(query row, vector row, cosine) of the k nearest of each query: larger cosine, then smaller id.
+def best(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, k: int, visited: np.ndarray | None = None):
+    """(query row, vector row, cosine) of the k nearest of each query: larger cosine, then smaller id. visited: which pairs count.
 
     A product of matrices finds the candidates; the cosines that count are then summed the same way for
     every pair, so that equal vectors tie whatever block they are in.
     """
     rough = (queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ unit(vectors).T
     rough[queries_own(own, ids)] = -np.inf
+    if visited is not None:
+        rough[~visited] = -np.inf
     kth = np.partition(rough, max(0, rough.shape[1] - k), axis=1)[:, max(0, rough.shape[1] - k)]
     q, v = np.nonzero((rough >= kth[:, None] - 1e-9) & np.isfinite(rough))
     score = np.empty(len(q))
@@ -196,12 +199,26 @@ def calibrated(tree: Tree, index: DataFrame, queries: DataFrame, s: Settings) ->
     return needed[min(len(needed) - 1, int(np.ceil(s.recall * len(needed))) - 1)]
 
 
+def open_leaves(leaves: pa.Array, leaf: np.ndarray) -> np.ndarray:
+    """For each query's list of leaves and each row's leaf: whether the list has it."""
+    local, at = np.unique(leaf, return_inverse=True)
+    lists = leaves.combine_chunks() if isinstance(leaves, pa.ChunkedArray) else leaves
+    flat = lists.flatten().to_numpy()
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    place = np.minimum(np.searchsorted(local, flat), len(local) - 1)
+    out = np.zeros((len(lists), len(local)), bool)
+    here = local[place] == flat
+    out[row[here], place[here]] = True
+    return out[:, at]
+
+
 def search(rows: DataFrame, is_query, settings: Settings | None = None, column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score (cosine) of the k nearest rows of each query, its own id left out.
 
     rows: vec_id and the vector; is_query: a condition on vec_id. All rows are indexed and all queries
-    answered; only the fit of the tree and the calibration use bounded samples. Leaves are compared in
-    blocks of rows and queries, so a leaf of very many equal vectors is many tasks. A vec_id given twice
+    answered; only the fit of the tree and the calibration use bounded samples. Leaves side by side make
+    a shard; a query goes once to each shard where it opens a leaf and gets at most k rows from each of
+    its blocks. A leaf of very many equal vectors is many blocks, so many tasks. A vec_id given twice
     is two candidates, as a query the smaller of its vectors. No rows give no result.
     """
     s = settings or Settings()
@@ -217,38 +234,47 @@ def search(rows: DataFrame, is_query, settings: Settings | None = None, column:
     sizes = np.zeros(tree.leaves, np.int64)
     for r in index.groupBy("leaf").count().collect():
         sizes[r["leaf"]] = r["count"]
-    shared = spark.sparkContext.broadcast((tree, sizes))
+    shard = (np.cumsum(sizes) - sizes) // s.block_rows
+    shared = spark.sparkContext.broadcast((tree, sizes, shard))
 
     def walked(batches):
-        tree, sizes = shared.value
+        tree, sizes, shard = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            row, leaf = [], []
+            row, at, leaves = [], [], []
             for i, walk in enumerate(tree.visits(unit(matrix(batch.column(1))))):
-                seen = held = 0
+                seen, held, opened = 0, 0, {}
                 for n in walk:
-                    row.append(i)
-                    leaf.append(n)
                     seen, held = seen + 1, held + sizes[n]
+                    if sizes[n]:
+                        opened.setdefault(int(shard[n]), []).append(n)
                     if seen >= visits and held > s.k:
                         break
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(leaf, pa.int32())], names=["query_id", "q", "leaf"])
-
-    asked = save(queries.repartition("vec_id").mapInArrow(walked, "query_id long, q array<double>, leaf int"), "ann-visits")
-    loads = {r["leaf"]: r["count"] for r in asked.groupBy("leaf").count().collect()}
-    plan = [(n, -(-int(sizes[n]) // s.block_rows), -(-loads.get(n, 0) // s.block_queries)) for n in range(tree.leaves)]
-    blocks = F.broadcast(spark.createDataFrame(plan, "leaf int, blocks int, groups int"))  # at most most_leaves rows
-    deal = lambda df, key, own, other: df.join(blocks, "leaf").where("blocks > 0 AND groups > 0").withColumn(own[0], F.pmod(F.xxhash64(key), F.col(own[1])).cast("int")).withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other[1]) - 1))).drop("blocks", "groups")
-    left = deal(index, "vec_id", ("b", "blocks"), ("g", "groups"))
-    right = deal(asked, "query_id", ("g", "groups"), ("b", "blocks"))
+                row += [i] * len(opened)
+                at += opened
+                leaves += opened.values()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int32())), batch.column(1).take(pa.array(row, pa.int32())), pa.array(at, pa.int64()), pa.array(leaves, pa.list_(pa.int32()))], names=["query_id", "q", "shard", "leaves"])
+
+    dealt = queries.repartition(int(queries.count() // s.block_queries) * 4 + 4, "vec_id")
+    asked = save(dealt.mapInArrow(walked, "query_id long, q array<double>, shard long, leaves array<int>"), "ann-visits")
+    loads = {r["shard"]: r["count"] for r in asked.groupBy("shard").count().collect()}
+    rows_in = {int(x): int(sizes[shard == x].sum()) for x in np.unique(shard)}
+    plan = {x: (-(-n // s.block_rows), -(-loads.get(x, 0) // s.block_queries)) for x, n in rows_in.items()}
+    # both tables have at most most_leaves rows
+    of_leaf = F.broadcast(spark.createDataFrame([(n, int(x), *plan[int(x)]) for n, x in enumerate(shard)], "leaf int, shard long, blocks int, groups int"))
+    of_shard = F.broadcast(spark.createDataFrame([(x, *y) for x, y in plan.items()], "shard long, blocks int, groups int"))
+    deal = lambda df, key, own, other: df.where("blocks > 0 AND groups > 0").withColumn(own[0], F.pmod(F.xxhash64(key), F.col(own[1])).cast("int")).withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other[1]) - 1))).drop("blocks", "groups")
+    left = deal(index.join(of_leaf, "leaf"), "vec_id", ("b", "blocks"), ("g", "groups"))
+    right = deal(asked.join(of_shard, "shard"), "query_id", ("g", "groups"), ("b", "blocks"))
 
     def compare(key, vectors: pa.Table, asking: pa.Table) -> pa.Table:
         if vectors.num_rows and asking.num_rows:
             ids, own = vectors.column("vec_id").to_numpy(), asking.column("query_id").to_numpy()
-            q, v, score = best(matrix(asking.column("q")), ids, matrix(vectors.column("v")), own, s.k)
+            visited = open_leaves(asking.column("leaves"), vectors.column("leaf").to_numpy())
+            q, v, score = best(matrix(asking.column("q")), ids, matrix(vectors.column("v")), own, s.k, visited)
             return pa.table({"query_id": own[q], "vec_id": ids[v], "score": score})
         return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
-    found = left.groupBy("leaf", "b", "g").cogroup(right.groupBy("leaf", "b", "g")).applyInArrow(compare, "query_id long, vec_id long, score double")
+    found = left.groupBy("shard", "b", "g").cogroup(right.groupBy("shard", "b", "g")).applyInArrow(compare, "query_id long, vec_id long, score double")
     return top(found, s.k).select("query_id", "rank", "vec_id", "score")
