@@ -6,12 +6,24 @@ sliding,<startMs>,<sensor>,<p50>,<p99>,<flag>
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions import text_of
 
 
+def _joined(kind: str, *parts: Column) -> Column:
+    return F.concat_ws(",", F.lit(kind), F.col("window_start_ms").cast("string"), "sensor_id", *parts)
+
+
+def lines_of_both(rows: DataFrame) -> DataFrame:
+    """Lines of both kinds from the rows of both_from_panes."""
+    sliding = _joined("sliding", text_of(F.col("p50")), text_of(F.col("p99")), F.lit("new"))
+    numbers = [text_of(F.col(f"tumbling.{c}")) for c in ("sum_value", "min_value", "max_value", "avg_value")]
+    tumbling = F.when(F.col("tumbling").isNotNull(), _joined("tumbling", F.col("tumbling.cnt").cast("string"), *numbers, F.lit("new")))
+    return rows.select(F.explode(F.array_compact(F.array(sliding, tumbling))).alias("line"))
+
+
 def tumbling_lines(rows: DataFrame) -> DataFrame:
     numbers = [text_of(F.col(c)) for c in ("sum_value", "min_value", "max_value", "avg_value")]
     return rows.select(F.concat_ws(",", "window_type", F.col("window_start_ms").cast("string"), "sensor_id", F.col("cnt").cast("string"), *numbers, "flag").alias("line"))

@@ -78,6 +78,18 @@ def sliding_from_panes(pane_rows: DataFrame, n: int = 5, slide_ms: int = 60_000)
     return _ranked(grouped, F.col("start"), F.col("v"))
 
 
+def both_from_panes(pane_rows: DataFrame, n: int = 5, slide_ms: int = 60_000) -> DataFrame:
+    """Sliding percentiles and, as the struct `tumbling`, the statistics of the pane that starts with the window; null if none does.
+
+    One pass gives both window kinds: the pane's statistics travel with its values to the first of its windows (batch).
+    """
+    own = F.when(F.col("k") == 0, F.struct("cnt", "sum_value", "min_value", "max_value"))
+    dealt = pane_rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select((F.col("pane_ms") - F.col("k") * slide_ms).alias("start"), "sensor_id", "pane_values", own.alias("own"))
+    grouped = dealt.groupBy("start", "sensor_id").agg(F.sort_array(F.flatten(F.collect_list("pane_values"))).alias("v"), F.max("own").alias("own"))
+    mean = F.round(F.col("own.sum_value") / F.col("own.cnt"), 2).cast("decimal(18,2)")
+    return grouped.select(F.col("start").alias("window_start_ms"), "sensor_id", nearest_rank(F.col("v"), 50).alias("p50"), nearest_rank(F.col("v"), 99).alias("p99"), F.when(F.col("own").isNotNull(), F.struct("own.*", mean.alias("avg_value"))).alias("tumbling"))
+
+
 def sliding_counted(events: DataFrame, n: int = 5, slide: str = MINUTE, slide_ms: int = 60_000) -> DataFrame:
     """Sliding percentiles from counts of distinct values (batch), for hot sensors.
 

@@ -83,6 +83,11 @@ for suffix, (key, size, wide, slide, ms) in GRAINS.items():
         lambda s, d, T=T, S=S: O.to_lines(T(s, d), S(s, d)),
         sliding_sql(ms, "concat_ws(',', 'sliding', window_start_ms, sensor_id, q50::VARCHAR, q99::VARCHAR, 'new') AS line", key) + " UNION ALL SELECT * FROM (" + tumbling_sql(ms, f"concat_ws(',', 'tumbling', window_start_ms, sensor_id, cnt, s::DECIMAL(28,2)::VARCHAR, lo::VARCHAR, hi::VARCHAR, ({AVG})::DECIMAL(18,2)::VARCHAR, 'new') AS line", key) + ")",
     )
+    add(
+        f"rendered_from_panes{suffix}",
+        lambda s, d, key=key, slide=slide, ms=ms: O.lines_of_both(O.both_from_panes(O.panes(read_events(s, d, key), slide), 5, ms)),
+        ORACLE_SQL[f"rendered_lines{suffix}"],
+    )
 
 
 def global_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,12 +28,11 @@ def parse_lines(lines: DataFrame, column: str = "value", scale: int = 2, lenient
     lenient: DOUBLE values in any number format that Spark reads, NaN and infinities included.
     """
     line = F.rtrim(F.rtrim(F.col(column), F.lit("\r")), F.lit(","))
-    commas = F.length(line) - F.length(F.replace(line, F.lit(","), F.lit("")))
     kind = "double" if lenient else f"decimal(18,{scale})"
-    ts = instant(F.substring_index(line, ",", 1))
-    sensor, value = F.substring_index(F.substring_index(line, ",", 2), ",", -1), F.substring_index(line, ",", -1).try_cast(kind)
-    # Filters are evaluated again in the projection; so the fields are cut by plain string functions, not by an array
-    return lines.where(commas == 2).select(ts.alias("ts"), sensor.alias("sensor_id"), value.alias("value")).where("ts IS NOT NULL AND value IS NOT NULL")
+    # explode() of one array keeps filters above it, so a line is split once and not in each filter and column
+    fields = lines.select(F.explode(F.array(F.split(line, ",", -1))).alias("f")).where(F.size("f") == 3)
+    events = fields.select(instant(F.col("f")[0]).alias("ts"), F.col("f")[1].alias("sensor_id"), F.col("f")[2].try_cast(kind).alias("value"))
+    return events.where("ts IS NOT NULL AND value IS NOT NULL")
 
 
 def read_text_events(spark: SparkSession, path: str, **options) -> DataFrame:
