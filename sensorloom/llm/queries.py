@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import chat, language, mixing, neighbours, quality, scoring, toxicity, urls
+from sensorloom.llm import chat, decontaminate, language, mixing, neighbours, quality, scoring, toxicity, urls
 from sensorloom.llm.common import table
-from sensorloom.llm.decontaminate import report
 from sensorloom.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,7 +44,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,4 +56,4 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op1_neighbours, op2_scoring, op3_mixing, op4_language, op5_quality, op6_toxicity, op7_decontaminate, op8_simhash, op9_urls, op10_chat)}
-ORACLE_SQL |= {"op3_mixing": mixing.sql(), "op10_chat": chat.SQL}
+ORACLE_SQL |= {"op3_mixing": mixing.sql(), "op7_decontaminate": decontaminate.SQL, "op10_chat": chat.SQL}

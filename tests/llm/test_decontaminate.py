@@ -2,8 +2,10 @@ import hashlib
 import random
 import re
 
+from oracle import compare
+
 from sensorloom.llm import decontaminate as D
-from sensorloom.llm.queries import QUERIES
+from sensorloom.llm.queries import ORACLE_SQL, QUERIES
 
 PATTERN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -41,6 +43,11 @@ def test_whole_tables_against_brute_force(spark):
         assert any(r[-1] for r in got) and not all(r[-1] for r in got)
 
 
+def test_against_sql(spark):
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        assert compare(QUERIES["op7_decontaminate"](spark, sf), ORACLE_SQL["op7_decontaminate"], sf) > 100
+
+
 def test_random_small_alphabet(spark):
     r = random.Random(2)
     text = lambda n: " ".join(r.choice("abc") for _ in range(n))
