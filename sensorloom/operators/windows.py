@@ -6,9 +6,12 @@ windows at either end do. Every function works on batch and streaming frames unl
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from sensorloom.functions import exact_avg, nearest_rank, sorted_values
 
@@ -19,6 +22,21 @@ def start_ms(window: Column) -> Column:
     return F.unix_millis(window["start"])
 
 
+def _scale(rows: DataFrame, column: str) -> int | None:
+    """Decimals of a column; None for doubles."""
+    kind = rows.schema[column].dataType
+    return kind.scale if isinstance(kind, DecimalType) else None
+
+
+def _packed(value: Column, scale: int | None) -> Column:
+    """Whole units of the last decimal: arrays of longs are sorted and joined as primitives."""
+    return value if scale is None else (value * 10**scale).cast("long")
+
+
+def _unpacked(units: Column, scale: int | None) -> Column:
+    return units if scale is None else (units.cast("decimal(19,0)") * F.lit(Decimal(1).scaleb(-scale))).cast(f"decimal(18,{scale})")
+
+
 def assign_windows(events: DataFrame, size: str = FIVE, slide: str = MINUTE) -> DataFrame:
     """A row for each event and window that holds it."""
     return events.withColumn("w", F.window("ts", size, slide)).withColumn("window_start_ms", start_ms(F.col("w"))).drop("w")
@@ -39,8 +57,9 @@ def tumbling_stats(events: DataFrame, size: str = MINUTE) -> DataFrame:
     )
 
 
-def _ranked(grouped: DataFrame, start: Column, ordered: Column) -> DataFrame:
-    return grouped.select(F.lit("sliding").alias("window_type"), start.alias("window_start_ms"), "sensor_id", nearest_rank(ordered, 50).alias("p50"), nearest_rank(ordered, 99).alias("p99"), F.size(ordered).cast("long").alias("cnt"), F.lit("new").alias("flag"))
+def _ranked(grouped: DataFrame, start: Column, ordered: Column, scale: int | None = None) -> DataFrame:
+    rank = lambda p: _unpacked(nearest_rank(ordered, p), scale)
+    return grouped.select(F.lit("sliding").alias("window_type"), start.alias("window_start_ms"), "sensor_id", rank(50).alias("p50"), rank(99).alias("p99"), F.size(ordered).cast("long").alias("cnt"), F.lit("new").alias("flag"))
 
 
 def sliding_percentiles(events: DataFrame, size: str = FIVE, slide: str = MINUTE) -> DataFrame:
@@ -60,10 +79,14 @@ def sliding_percentiles_disc(events: DataFrame, size: str = FIVE, slide: str = M
 
 
 def panes(events: DataFrame, slide: str = MINUTE) -> DataFrame:
-    """One row for each sensor and pane: count, sum, min, max and the values. Both window kinds can be made from it."""
+    """One row for each sensor and pane: count, sum, min, max and the values. Both window kinds can be made from it.
+
+    pane_values has decimals as whole units of their last place (1.25 as 125), doubles as they are.
+    """
+    units = events.select("ts", "sensor_id", "value", _packed(F.col("value"), _scale(events, "value")).alias("units"))
     return (
-        events.groupBy(F.window("ts", slide).alias("w"), "sensor_id")
-        .agg(F.count("*").alias("cnt"), F.sum("value").alias("sum_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.collect_list("value").alias("pane_values"))
+        units.groupBy(F.window("ts", slide).alias("w"), "sensor_id")
+        .agg(F.count("*").alias("cnt"), F.sum("value").alias("sum_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.collect_list("units").alias("pane_values"))
         .select(start_ms(F.col("w")).alias("pane_ms"), "sensor_id", "cnt", "sum_value", "min_value", "max_value", "pane_values")
     )
 
@@ -73,9 +96,10 @@ def sliding_from_panes(pane_rows: DataFrame, n: int = 5, slide_ms: int = 60_000)
 
     Pays on dense data, where a pane has many values; on sparse data sliding_percentiles is faster.
     """
+    scale = _scale(pane_rows, "min_value")
     dealt = pane_rows.select("sensor_id", "pane_values", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"), "pane_ms")
     grouped = dealt.groupBy((F.col("pane_ms") - F.col("k") * slide_ms).alias("start"), "sensor_id").agg(F.sort_array(F.flatten(F.collect_list("pane_values"))).alias("v"))
-    return _ranked(grouped, F.col("start"), F.col("v"))
+    return _ranked(grouped, F.col("start"), F.col("v"), scale)
 
 
 def both_from_panes(pane_rows: DataFrame, n: int = 5, slide_ms: int = 60_000) -> DataFrame:
@@ -87,7 +111,9 @@ def both_from_panes(pane_rows: DataFrame, n: int = 5, slide_ms: int = 60_000) ->
     dealt = pane_rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select((F.col("pane_ms") - F.col("k") * slide_ms).alias("start"), "sensor_id", "pane_values", own.alias("own"))
     grouped = dealt.groupBy("start", "sensor_id").agg(F.sort_array(F.flatten(F.collect_list("pane_values"))).alias("v"), F.max("own").alias("own"))
     mean = F.round(F.col("own.sum_value") / F.col("own.cnt"), 2).cast("decimal(18,2)")
-    return grouped.select(F.col("start").alias("window_start_ms"), "sensor_id", nearest_rank(F.col("v"), 50).alias("p50"), nearest_rank(F.col("v"), 99).alias("p99"), F.when(F.col("own").isNotNull(), F.struct("own.*", mean.alias("avg_value"))).alias("tumbling"))
+    scale = _scale(pane_rows, "min_value")
+    rank = lambda p: _unpacked(nearest_rank(F.col("v"), p), scale)
+    return grouped.select(F.col("start").alias("window_start_ms"), "sensor_id", rank(50).alias("p50"), rank(99).alias("p99"), F.when(F.col("own").isNotNull(), F.struct("own.*", mean.alias("avg_value"))).alias("tumbling"))
 
 
 def sliding_counted(events: DataFrame, n: int = 5, slide: str = MINUTE, slide_ms: int = 60_000) -> DataFrame:
@@ -109,7 +135,7 @@ def sliding_counted(events: DataFrame, n: int = 5, slide: str = MINUTE, slide_ms
 
 def pane_states(events: DataFrame, slide: str = MINUTE) -> DataFrame:
     """Panes with their sorted values as text."""
-    joined = F.concat_ws(" ", F.transform(F.sort_array("pane_values"), lambda v: v.cast("string")))
+    joined = F.concat_ws(" ", F.transform(F.sort_array("pane_values"), lambda v: _unpacked(v, _scale(events, "value")).cast("string")))
     return panes(events, slide).select("pane_ms", "sensor_id", "cnt", "sum_value", "min_value", "max_value", joined.alias("sorted_values"))
 
 

@@ -29,10 +29,11 @@ def parse_lines(lines: DataFrame, column: str = "value", scale: int = 2, lenient
     """
     line = F.rtrim(F.rtrim(F.col(column), F.lit("\r")), F.lit(","))
     kind = "double" if lenient else f"decimal(18,{scale})"
-    # explode() of one array keeps filters above it, so a line is split once and not in each filter and column
-    fields = lines.select(F.explode(F.array(F.split(line, ",", -1))).alias("f")).where(F.size("f") == 3)
-    events = fields.select(instant(F.col("f")[0]).alias("ts"), F.col("f")[1].alias("sensor_id"), F.col("f")[2].try_cast(kind).alias("value"))
-    return events.where("ts IS NOT NULL AND value IS NOT NULL")
+    # explode() of one value keeps filters above it, so a line is split and read once and not in each filter and column
+    once = lambda x: F.explode(F.array(x))
+    fields = lines.select(once(F.split(line, ",", -1)).alias("f")).where(F.size("f") == 3)
+    event = F.struct(instant(F.col("f")[0]).alias("ts"), F.col("f")[1].alias("sensor_id"), F.col("f")[2].try_cast(kind).alias("value"))
+    return fields.select(once(event).alias("e")).where("e.ts IS NOT NULL AND e.value IS NOT NULL").select("e.*")
 
 
 def read_text_events(spark: SparkSession, path: str, **options) -> DataFrame:

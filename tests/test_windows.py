@@ -47,6 +47,17 @@ def test_all_sliding_forms_agree(spark):
     assert O.same_rows(O.sliding_percentiles(df), O.sliding_counted(df))
 
 
+@pytest.mark.parametrize("kind", ["decimal(18,2)", "decimal(18,3)", "decimal(18,0)", "decimal(18,18)", "double"])
+def test_panes_keep_values_exact(spark, kind):
+    numbers = ["0.1", "-0.2", "0.005", "-0.00", "0.999"] + (["9999999999999999", "-9999999999999999"] if "18,18" not in kind and "18,3" not in kind else [])
+    df = spark.createDataFrame([(at("2025-01-01T00:00:00"), f"s{i % 2}", v) for i, v in enumerate(numbers)], "ts timestamp, sensor_id string, value string").withColumn("value", F.col("value").cast(kind))
+    want = O.sliding_percentiles(df)
+    got = O.sliding_from_panes(O.panes(df))
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    both = O.both_from_panes(O.panes(df)).select("window_start_ms", "sensor_id", "p50", "p99")
+    assert O.same_rows(both, want.select(both.columns))
+
+
 def test_each_event_is_in_five_windows(spark):
     df = dense(spark)
     total = lambda d: sum(r["cnt"] for r in d.collect())
