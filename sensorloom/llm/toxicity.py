@@ -18,10 +18,10 @@ PREFIXES = (4, 5, 6, 7, 8)
 class Settings:
     """sample_rows and sample_chars bound what the model is fitted on; terms, buckets and rank its size."""
 
-    sample_rows: int = 4_000
+    sample_rows: int = 12_000
     sample_chars: int = 20_000
     buckets: int = 1 << 22
-    terms: int = 1_024
+    terms: int = 2_048
     rank: int = 4
     least_z: float = 3.0
     least_docs: int = 5
@@ -92,20 +92,25 @@ def fit(texts: list, labels: np.ndarray, s: Settings) -> FactorizationMachine:
     pairs = np.unique(np.repeat(np.arange(len(texts)), lengths) * len(distinct) + codes)
     doc, code = (pairs // len(distinct)).astype(np.int32), (pairs % len(distinct)).astype(np.int32)
     del pairs, codes
-    uses = []
-    for own, b in word_terms(distinct, s.buckets):
-        of = np.full(len(distinct), -1, np.int64)
-        of[own] = b
-        has = of[code] >= 0
-        key, times = np.unique(doc[has].astype(np.int64) * s.buckets + of[code[has]], return_counts=True)
-        often = np.bincount(key % s.buckets, minlength=s.buckets) >= s.least_docs
-        keep = often[key % s.buckets]
-        uses.append((key[keep], times[keep]))
-    key, times = (np.concatenate(x) for x in zip(*uses))
-    d, b = key // s.buckets, key % s.buckets
-    terms, at = np.unique(b, return_inverse=True)
-    n = np.bincount(at)
-    a = np.bincount(at, weights=y[d])
+
+    def uses():
+        """Documents, buckets and times of the terms in use, one kind of term after another: the kinds are never held together."""
+        for own, b in word_terms(distinct, s.buckets):
+            of = np.full(len(distinct), -1, np.int32)
+            of[own] = b
+            found = of[code]
+            has = found >= 0
+            key, times = np.unique(doc[has].astype(np.int64) * s.buckets + found[has], return_counts=True)
+            often = np.bincount(key % s.buckets, minlength=s.buckets) >= s.least_docs
+            keep = often[key % s.buckets]
+            yield key[keep] // s.buckets, key[keep] % s.buckets, times[keep]
+
+    n, a = np.zeros(s.buckets, np.int64), np.zeros(s.buckets)
+    for d, b, _ in uses():
+        n += np.bincount(b, minlength=s.buckets)
+        a += np.bincount(b, weights=y[d], minlength=s.buckets)
+    terms = np.flatnonzero(n)
+    n, a = n[terms], a[terms]
     p, q = y.sum(), len(y) - y.sum()
     odds = np.log((a + 0.5) / (p + 1)) - np.log((n - a + 0.5) / (q + 1))
     z = np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (n - a + 0.5))
@@ -113,11 +118,12 @@ def fit(texts: list, labels: np.ndarray, s: Settings) -> FactorizationMachine:
     good = np.sort(good[np.argsort(-z[good], kind="stable")[: s.terms]])
     if not len(good):
         return none
-    place = np.full(len(terms), -1)
-    place[good] = np.arange(len(good))
-    use = place[at] >= 0
+    place = np.full(s.buckets, -1, np.int32)
+    place[terms[good]] = np.arange(len(good))
     x = np.zeros((len(texts), len(good)), np.float32)
-    np.add.at(x, (d[use], place[at[use]]), times[use])
+    for d, b, times in uses():
+        use = place[b] >= 0
+        np.add.at(x, (d[use], place[b[use]]), times[use])
     r = np.random.default_rng(s.seed)
     w = [np.array([bias]), np.zeros(len(good)), r.normal(0, 0.02, (len(good), s.rank))]
     m, v = [np.zeros_like(k) for k in w], [np.zeros_like(k) for k in w]
