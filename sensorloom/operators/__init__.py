@@ -1,5 +1,5 @@
 from sensorloom.operators.combine import all_windows, same_rows
 from sensorloom.operators.render import lines_of_both, sliding_lines, to_lines, tumbling_lines
-from sensorloom.operators.windows import assign_windows, both_from_panes, key_domain, pane_states, panes, sliding_counted, sliding_from_panes, sliding_percentiles, sliding_percentiles_disc, tumbling_stats, within_horizon
+from sensorloom.operators.windows import assign_windows, both_from_panes, key_domain, pane_states, panes, ranked_counts, sliding_counted, sliding_from_panes, sliding_percentiles, sliding_percentiles_disc, tumbling_stats, within_horizon
 
-__all__ = ["all_windows", "assign_windows", "both_from_panes", "key_domain", "lines_of_both", "pane_states", "panes", "same_rows", "sliding_counted", "sliding_from_panes", "sliding_lines", "sliding_percentiles", "sliding_percentiles_disc", "to_lines", "tumbling_lines", "tumbling_stats", "within_horizon"]
+__all__ = ["all_windows", "assign_windows", "both_from_panes", "key_domain", "lines_of_both", "pane_states", "panes", "ranked_counts", "same_rows", "sliding_counted", "sliding_from_panes", "sliding_lines", "sliding_percentiles", "sliding_percentiles_disc", "to_lines", "tumbling_lines", "tumbling_stats", "within_horizon"]

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom import operators as O
-from sensorloom.functions import nearest_rank, sorted_values
 from sensorloom.session import utc
 from sensorloom.sources import generate_events, parse_lines, read_events, read_table, stream_events
 from sensorloom.streaming import run_to_end
@@ -60,7 +59,10 @@ SLIDING_COLUMNS = "'sliding' AS window_type, window_start_ms, sensor_id, q50::DO
 
 for suffix, (key, size, wide, slide, ms) in GRAINS.items():
     T = lambda s, d, key=key, size=size: O.tumbling_stats(read_events(s, d, key), size)
-    S = lambda s, d, key=key, wide=wide, slide=slide: O.sliding_percentiles(read_events(s, d, key), wide, slide)
+    if suffix:  # few keys, each with a large share of all rows
+        S = lambda s, d, key=key, slide=slide, ms=ms: O.sliding_counted(read_events(s, d, key), 5, slide, ms)
+    else:
+        S = lambda s, d, key=key, wide=wide, slide=slide: O.sliding_percentiles(read_events(s, d, key), wide, slide)
     sliding = sliding_sql(ms, SLIDING_COLUMNS, key)
     add(f"tumbling_stats{suffix}", T, tumbling_sql(ms, TUMBLING_COLUMNS, key))
     add(f"sliding_percentiles{suffix}", S, sliding)
@@ -91,8 +93,8 @@ for suffix, (key, size, wide, slide, ms) in GRAINS.items():
 
 
 def global_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = read_events(spark, sf_dir, "event_type").groupBy("sensor_id").agg(sorted_values(F.col("value")).alias("v"))
-    return grouped.select("sensor_id", nearest_rank(F.col("v"), 50).alias("p50"), nearest_rank(F.col("v"), 99).alias("p99"))
+    counted = read_events(spark, sf_dir, "event_type").groupBy("sensor_id", "value").agg(F.count("*").alias("c"))
+    return O.ranked_counts(counted, ["sensor_id"]).select("sensor_id", "p50", "p99")
 
 
 add("global_percentiles", global_percentiles, f"WITH {events_sql('event_type')} SELECT sensor_id, quantile_disc(v, 0.5)::DOUBLE AS p50, quantile_disc(v, 0.99)::DOUBLE AS p99 FROM e GROUP BY 1")
