@@ -3,22 +3,48 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sensorloom.session import fresh_path
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write to the folder that driver and executors share and read back: cuts the lineage, survives lost executors."""
+#: Folders written by this process and not yet removed.
+WRITTEN: list[str] = []
+
+
+def save(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write to the folder that driver and executors share and read back: cuts the lineage, survives lost executors.
+
+    keep: `scratch` leaves it.
+    """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    if not keep:
+        WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes, at the end, the folders saved meanwhile: for work whose results don't read them any more."""
+    first = len(WRITTEN)
+    try:
+        yield
+    finally:
+        for path in WRITTEN[first:]:
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        del WRITTEN[first:]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -93,14 +119,21 @@ def numbered(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Row sums of consecutive runs of these lengths; a run of none sums to zero."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
-    ends = np.cumsum(lengths)
-    return total[ends] - total[ends - lengths]
+    """Row sums of consecutive runs of these lengths, each in its own order: a sum depends on its own values only."""
+    own = np.repeat(np.arange(len(lengths)), lengths)
+    add = lambda x: np.bincount(own, weights=x, minlength=len(lengths))
+    return add(values) if values.ndim == 1 else np.stack([add(x) for x in values.T], axis=1)
+
 
+WORDLIKE = re.compile(r"[^\W\d_]+")
 
-#: Runs of letters.
-LETTERS = re.compile(r"[^\W\d_]+")
+
+def letter_words(text: str) -> list[str]:
+    """Runs of letters: Unicode's category L, so no fractions, circled digits and the like."""
+    found = WORDLIKE.findall(text)
+    if "".join(found).isalpha() or not found:
+        return found
+    return [w for x in found for w in ([x] if x.isalpha() else "".join(c if c.isalpha() else " " for c in x).split())]
 
 
 def chunks(texts: list, most_chars: int = 6_000_000):
@@ -115,30 +148,63 @@ def chunks(texts: list, most_chars: int = 6_000_000):
         yield first, len(texts)
 
 
-def bounded_sample(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """At most so many rows, the first by a hash of the keys.
+def sampled(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The rows with the `most` smallest distinct hashes of `keys`, one for each, with the hash as `_hash`.
 
-    The hashes alone are ranked first, so that each task sends a few rows only, not `most` whole ones.
+    keys: columns that tell all different rows apart. Only hashes are ranked, in bounded numbers, and the rows
+    stay distributed, so neither the driver nor a task gets whole texts. Copies count once: should copies fill
+    the first ranks, the distinct hashes are ranked in a second pass.
     """
-    ranked = rows.withColumn("_hash", F.xxhash64(*keys))
-    last = ranked.select("_hash").orderBy("_hash").limit(most).agg(F.max("_hash")).first()[0]
-    near = ranked.where(F.col("_hash") <= F.lit(last)) if last is not None else ranked.limit(0)
-    return near.orderBy("_hash", *keys).limit(most).drop("_hash")
-
+    hashed = rows.withColumn("_hash", F.xxhash64(*keys))
+    ranked = lambda df, n: df.select("_hash").orderBy("_hash").limit(n).toArrow().column(0).to_numpy()
+    first = ranked(hashed, 2 * most)
+    found = np.unique(first)
+    if len(first) == 2 * most and len(found) < most:
+        found = ranked(hashed.select("_hash").distinct(), most)
+    near = hashed.where(F.col("_hash") <= F.lit(int(found[:most][-1]))) if len(found) else hashed.limit(0)
+    return near.dropDuplicates(["_hash"])
 
-def labelled_sample(rows: DataFrame, keys: list[str], most_rows: int, most_chars: int) -> list:
-    """At most so many rows of texts no longer than this: what a model is fitted on."""
-    return bounded_sample(rows.where(F.length("text") <= most_chars), keys, most_rows).collect()
 
+def coded(texts: list, longest: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of all words of the texts, words of each, and the distinct words: no list of all words is held.
 
-def coded(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of all words of the texts, words of each, and the distinct words: no list of all words is held."""
+    longest: longer words are cut into pieces of so many letters; 0: none are.
+    """
     seen: dict[str, int] = {}
     parts, lengths = [np.zeros(0, np.int32)], []
     for t in texts:
-        found = LETTERS.findall((t or "").lower())
+        found = letter_words((t or "").lower())
+        if longest:
+            found = [w[i : i + longest] for w in found for i in range(0, len(w), longest)]
         parts.append(np.fromiter((seen.setdefault(w, len(seen)) for w in found), np.int32, len(found)))
         lengths.append(len(found))
     distinct = np.empty(len(seen), dtype=object)
     distinct[:] = list(seen)
     return np.concatenate(parts), np.array(lengths, np.int64), distinct
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """`name`, with underscores in front until no column of docs has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def with_added(docs: DataFrame, first: str, fill, run: Callable, added: dict[str, str], kind: str = "string") -> DataFrame:
+    """docs with columns made in Python from the column `first`, as this kind. run(column of a batch) gives the new columns.
+
+    added: names and types of the new columns, which come last; a name that docs has gets underscores in front,
+    so no column of docs is lost or replaced.
+    """
+    names = {n: free_name(docs, n) for n in added}
+    numbered_ = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    source = numbered_.columns[docs.columns.index(first)]
+    rows = numbered_.select(F.coalesce(F.col(source), fill).cast(kind).alias("text"), *numbered_.columns)
+    schema = T.StructType([*numbered_.schema.fields, *T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in added.items())).fields])
+
+    def work(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *run(batch.column(0))], names=[*batch.schema.names[1:], *added])
+
+    return rows.mapInArrow(work, schema).toDF(*docs.columns, *names.values())

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import Words, chunks, coded, in_fold, labelled_sample, numbered
+from sensorloom.llm.common import Words, chunks, coded, in_fold, numbered, sampled, save, scratch, with_added
 from sensorloom.llm.toxicity import split_words
 
 UNKNOWN = "und"
@@ -17,10 +20,13 @@ UNKNOWN = "und"
 
 @dataclass
 class Settings:
-    """sample_rows, sample_chars and segments bound what the model is fitted on; buckets its size."""
+    """sample_rows, of texts of any length, and segments of `length` words from all over them bound what the model is fitted on.
+
+    For the fit, words of over `longest` letters are cut into pieces. buckets and lexicon (words a language) bound the model.
+    """
 
     sample_rows: int = 4_000
-    sample_chars: int = 20_000
+    longest: int = 256
     segments: int = 16_000
     length: int = 24
     buckets: int = 1 << 17
@@ -58,38 +64,44 @@ class Crf:
         return np.stack([np.bincount(own, weights=self.weights[bucket, k], minlength=len(words)) for k in range(len(self.languages))], axis=1)
 
     def posteriors(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Mean over its words of each text's posteriors, and its words. Texts advance together, the longest first."""
+        """Mean over its words of each text's posteriors, and its words. Texts advance together, the longest first.
+
+        Arrays are languages by texts, and sums over languages are added one after another: what a text gets depends
+        on that text only, to the last bit.
+        """
         words, lengths = split_words(texts)
         n, k = len(texts), len(self.languages)
-        total = np.zeros((n, k))
+        total = np.zeros((k, n))
         if not words or not k:
-            return total, lengths
+            return total.T, lengths
         codes, distinct = numbered(words)
         e = self.potentials(distinct)
-        e = np.exp(e - e.max(axis=1, keepdims=True)).astype(np.float32)
+        e = np.ascontiguousarray(np.exp(e - e.max(axis=1, keepdims=True)).astype(np.float32).T)
         order = np.argsort(-lengths, kind="stable")
         starts = (np.cumsum(lengths) - lengths)[order]
         longest = int(lengths[order[0]])
         active = np.searchsorted(-lengths[order], -np.arange(1, longest + 1), side="right")  # texts of over t words
         t = np.exp(self.transitions - self.transitions.max()).astype(np.float32)
-        alpha = np.empty((len(words), k), np.float32)
-        a = np.ones((active[0], k), np.float32)
+        add = (lambda rows: rows.sum(axis=0)) if k < 8 else lambda rows: reduce(np.add, rows)
+        ahead, behind = t[:, :, None], np.ascontiguousarray(t.T)[:, :, None]
+        alpha = np.empty((k, len(words)), np.float32)
+        a = None
         for i in range(longest):
             at = starts[: active[i]] + i
-            a = e[codes[at]] * (a[: active[i]] @ t if i else a)
-            a /= a.sum(axis=1, keepdims=True)
-            alpha[at] = a
-        beta, done = np.ones((0, k), np.float32), np.zeros((active[0], k))
+            a = e[:, codes[at]] * (add(a[:, None, : active[i]] * ahead) if i else np.float32(1))
+            a /= add(a)
+            alpha[:, at] = a
+        beta, done = np.ones((k, 0), np.float32), np.zeros((k, active[0]))
         for i in range(longest - 1, -1, -1):
-            if len(beta) < active[i]:
-                beta = np.concatenate([beta, np.ones((active[i] - len(beta), k), np.float32)])
+            if beta.shape[1] < active[i]:
+                beta = np.concatenate([beta, np.ones((k, active[i] - beta.shape[1]), np.float32)], axis=1)
             at = starts[: active[i]] + i
-            g = alpha[at] * beta
-            done[: active[i]] += g / g.sum(axis=1, keepdims=True)
-            beta = (beta * e[codes[at]]) @ t.T
-            beta /= beta.sum(axis=1, keepdims=True)
-        total[order[: active[0]]] = done
-        return total / np.maximum(lengths, 1)[:, None], lengths
+            g = alpha[:, at] * beta
+            done[:, : active[i]] += g / add(g)
+            beta = add((beta * e[:, codes[at]])[:, None] * behind)
+            beta /= add(beta)
+        total[:, order[: active[0]]] = done
+        return (total / np.maximum(lengths, 1)).T, lengths
 
     def predict(self, texts: list) -> tuple[list[str], np.ndarray]:
         mean, lengths = self.posteriors(texts)
@@ -99,40 +111,71 @@ class Crf:
         return [self.languages[b] if n else UNKNOWN for b, n in zip(best, lengths)], np.clip(mean[np.arange(len(texts)), best], 0, 1)
 
 
+@dataclass
+class Draw:
+    """Where the segments come from: for each piece its document, first word and words; pieces of a segment follow each other.
+
+    Half of the segments join pieces of two texts: code-switching. Words of longer texts are drawn more often;
+    a piece that meets the end of its text goes on at the beginning.
+    """
+
+    doc: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+
+    @staticmethod
+    def of(lengths: np.ndarray, s: Settings) -> Draw:
+        """lengths: words of each document."""
+        r = np.random.default_rng(s.seed)
+        n = min(s.segments, max(512, int(lengths.sum()) // s.length))
+        half = s.length // 2
+        size = np.concatenate([np.full(2, half) if i % 2 == 0 else np.full(1, 2 * half) for i in range(n)])
+        doc = np.searchsorted(np.cumsum(lengths), r.integers(0, max(1, lengths.sum()), len(size)), side="right")
+        return Draw(doc, r.integers(0, 1 << 40, len(size)) % lengths[doc], size)
+
+
+def pieces(words: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    return [words[(a + np.arange(n)) % len(words)] for a, n in zip(at, size)]
+
+
+def lexicon_of(rows, names: list[str]) -> dict[str, int]:
+    """rows: word, language, times. The language that has a word most often; of several the first."""
+    best: dict[str, tuple[int, int]] = {}
+    for word, lang, n in rows:
+        best[word] = max(best.get(word, (0, 0)), (n, -names.index(lang)))
+    return {w: -j for w, (_, j) in sorted(best.items())}
+
+
 def fit(texts: list[str], langs: list[str], s: Settings) -> Crf:
-    """Gradient steps on the log-likelihood of word labels. Half of the segments join pieces of two texts: code-switching."""
+    """The model of a few texts at hand."""
     names = sorted(set(langs))
+    read = [coded([t], s.longest) for t in texts]
+    some = [i for i, (_, n, _) in enumerate(read) if n[0]]
+    if not some:
+        return unlearned(names, s)
+    words = [read[i][2][read[i][0]] for i in some]
+    counts: dict[tuple[str, str], int] = {}
+    for i, x in zip(some, words):
+        for w in x:
+            counts[w, langs[i]] = counts.get((w, langs[i]), 0) + 1
+    top = {w for name in names for w, _ in sorted(((w, n) for (w, l), n in counts.items() if l == name and n > 1), key=lambda x: (-x[1], x[0]))[: s.lexicon]}
+    draw = Draw.of(np.array(list(map(len, words))), s)
+    x = np.concatenate([p for d, a, n in zip(draw.doc, draw.at, draw.size) for p in pieces(words[d], [a], [n])])
+    return learned(x, np.array([names.index(langs[some[d]]) for d in np.repeat(draw.doc, draw.size)]), names, lexicon_of([(w, l, n) for (w, l), n in counts.items() if w in top], names), s)
+
+
+def unlearned(names: list[str], s: Settings) -> Crf:
     k = len(names)
-    label = np.array([names.index(x) for x in langs], np.int64)
-    codes, lengths, distinct = coded(texts)
-    keep = lengths > 0
-    if not len(codes):
-        return Crf(names, s.buckets, np.zeros((s.buckets + k + 1, k), np.float32), np.zeros((k, k), np.float32), {})
-    label, lengths = label[keep], lengths[keep]
-    starts = np.cumsum(lengths) - lengths
-    lexicon: dict[str, int] = {}
-    word_label = np.repeat(label, lengths)
-    counts = np.stack([np.bincount(codes[word_label == j], minlength=len(distinct)) for j in range(k)], axis=1)
-    for j in range(k):
-        top = np.argsort(-counts[:, j], kind="stable")[: s.lexicon]
-        lexicon |= {distinct[i]: int(counts[i].argmax()) for i in top if counts[i, j] > 1}
-    r = np.random.default_rng(s.seed)
-    n = min(s.segments, max(512, int(lengths.sum()) // s.length))
-
-    def pieces(size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Words of random places in the texts, longer ones more often; a short text starts again."""
-        which = np.searchsorted(np.cumsum(lengths), r.integers(0, lengths.sum(), n), side="right")
-        at = (r.integers(0, 1 << 40, n)[:, None] % lengths[which][:, None] + np.arange(size)) % lengths[which][:, None]
-        return codes[starts[which][:, None] + at], np.repeat(label[which][:, None], size, axis=1)
-
-    half = s.length // 2
-    (xa, ya), (xb, yb) = pieces(half), pieces(half)
-    xl, yl = pieces(s.length)
-    mix = (np.arange(n) % 2 == 0)[:, None]
-    x, y = np.where(mix, np.hstack([xa, xb]), xl[:, : 2 * half]), np.where(mix, np.hstack([ya, yb]), yl[:, : 2 * half])
-    used, x = np.unique(x, return_inverse=True)
-    x = x.reshape(n, -1)
-    own, bucket = features(distinct[used], s.buckets, lexicon)
+    return Crf(names, s.buckets, np.zeros((s.buckets + k + 1, k), np.float32), np.zeros((k, k), np.float32), {})
+
+
+def learned(words: np.ndarray, labels: np.ndarray, names: list[str], lexicon: dict[str, int], s: Settings) -> Crf:
+    """Gradient steps on the log-likelihood of word labels, from the words of all segments and their labels."""
+    k, r = len(names), np.random.default_rng(s.seed + 1)
+    codes, used = numbered(words)
+    x, y = (v.reshape(-1, s.length // 2 * 2) for v in (codes, labels))
+    n = len(x)
+    own, bucket = features(used, s.buckets, lexicon)
     order = np.argsort(own, kind="stable")
     own, bucket = own[order], bucket[order]
     first = np.searchsorted(own, np.arange(len(used) + 1))
@@ -177,36 +220,82 @@ def fit(texts: list[str], langs: list[str], s: Settings) -> Crf:
 
 
 def train(docs: DataFrame, settings: Settings | None = None, held_out: tuple[int, int] = (3, 1)) -> Crf:
-    """Fit on texts with a language outside the held-out fold: at most sample_rows of them, by a hash's order."""
-    s = settings or Settings()
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~in_fold(F.col("doc_id"), *held_out)).select("text", "lang", F.col("doc_id").cast("long").alias("doc_id"))
-    sample = labelled_sample(rows, ["text", "lang", "doc_id"], s.sample_rows, s.sample_chars)
-    return fit([r["text"] for r in sample], [r["lang"] for r in sample], s)
+    """Fit on texts with a language outside the held-out fold: at most sample_rows of them, whole and of any length.
+
+    Tasks count the sampled texts' words; from these counts the driver draws the segments' places, and tasks fetch
+    their words. So what the driver gets is bounded by the settings, however long the texts are.
+    """
+    with scratch(docs.sparkSession):
+        s = settings or Settings()
+        known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~in_fold(F.col("doc_id"), *held_out))
+        rows = known.select("text", F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("string").alias("doc_id"))
+        sample = save(sampled(rows, ["text", "lang", "doc_id"], s.sample_rows).select("_hash", "lang", "text"), "language-sample")
+
+        def counted(batches):
+            """A row for each text with its words, and one for each word and language with its times."""
+            for batch in batches:
+                for key, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    codes, n, distinct = coded([text], s.longest)
+                    times = np.bincount(codes, minlength=len(distinct))
+                    m = len(distinct)
+                    yield pa.RecordBatch.from_arrays([pa.array([key] + [None] * m, pa.int64()), pa.array([lang] * (m + 1)), pa.array([None, *distinct], pa.string()), pa.array([int(n[0]), *times.tolist()], pa.int64())], names=["key", "lang", "word", "n"])
+
+        counts = save(sample.mapInArrow(counted, "key long, lang string, word string, n long"), "language-counts")
+        texts = counts.where("word IS NULL").select("key", "lang", "n").toArrow().sort_by("key")
+        names = sorted(set(texts.column("lang").to_pylist()))
+        texts = texts.filter(pa.compute.greater(texts.column("n"), 0))
+        if not len(texts):
+            return unlearned(names, s)
+        words = counts.where("word IS NOT NULL").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+        rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
+        top = words.where("n > 1").withColumn("r", rank).where(F.col("r") <= s.lexicon).select("word").distinct()
+        lexicon = lexicon_of([tuple(r) for r in words.join(F.broadcast(top), "word").select("word", "lang", "n").collect()], names)
+        draw = Draw.of(texts.column("n").to_numpy(), s)
+        keys = texts.column("key").to_numpy()
+        wanted: dict[int, list[tuple[int, int, int]]] = {}
+        for i, (d, a, n) in enumerate(zip(draw.doc.tolist(), draw.at.tolist(), draw.size.tolist())):
+            wanted.setdefault(int(keys[d]), []).append((i, a, n))
+        shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+        def fetched(batches):
+            for batch in batches:
+                for key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    if key in shared.value:
+                        codes, _, distinct = coded([text], s.longest)
+                        places, at, size = zip(*shared.value[key])
+                        yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array([distinct[c].tolist() for c in pieces(codes, at, size)], pa.list_(pa.string()))], names=["piece", "words"])
+
+        got = sample.select("_hash", "text").mapInArrow(fetched, "piece long, words array<string>").toArrow().sort_by("piece")
+        flat = got.column("words").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        label = np.array([names.index(x) for x in texts.column("lang").to_pylist()])
+        return learned(flat, np.repeat(label[draw.doc], draw.size), names, lexicon, s)
 
 
 def with_language(docs: DataFrame, model: Crf) -> DataFrame:
-    """The docs with _lang and _score, the mean posterior of that language over the text's words.
+    """The docs with _lang and _score, the mean posterior of that language over the text's words, as the last columns.
 
-    `und` with score 0 for null texts and texts without a letter, or if no language was learned. Columns of docs
-    with these names are replaced.
+    `und` with score 0 for null texts and texts without a letter, or if no language was learned. Where docs has
+    these names already, its columns stay and the new ones get further underscores in front.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        for batch in batches:
-            texts, lang, score = batch.column(0).to_pylist(), [], [np.zeros(0)]
-            for a, b in chunks(texts):
-                got = shared.value.predict(texts[a:b])
-                lang += got[0]
-                score.append(got[1])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(np.concatenate(score))], names=[*batch.schema.names[1:], "_lang", "_score"])
+    def run(column):
+        texts, lang, score = column.to_pylist(), [], [np.zeros(0)]
+        for a, b in chunks(texts):
+            got = shared.value.predict(texts[a:b])
+            lang += got[0]
+            score.append(got[1])
+        return [pa.array(lang, pa.string()), pa.array(np.concatenate(score))]
 
-    docs = docs.drop("_text", "_lang", "_score")
-    rows = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_text"), *docs.columns)
-    return rows.mapInArrow(run, docs.withColumns({"_lang": F.lit(""), "_score": F.lit(0.0)}).schema)
+    return with_added(docs, "text", F.lit(""), run, {"_lang": "string", "_score": "double"})
 
 
 def report(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred and score for each document."""
+    """doc_id, held_out, lang_pred and score for each row of docs; lang, source and doc_id are no inputs of a prediction.
+
+    `und` with score 0 for null and empty texts and those without a letter (Unicode's category L), and for all if
+    no text has a language. Equal texts get equal results, bit by bit. A null doc_id is in no fold, so it is learned
+    from. Other columns of docs don't matter. An empty table gives no rows.
+    """
     model = train(docs, settings)
     return with_language(docs.select("doc_id", "text"), model).select("doc_id", in_fold(F.col("doc_id"), 3, 1).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))

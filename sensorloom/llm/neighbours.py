@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import bounded_sample, save
+from sensorloom.llm.common import sampled, save
 
 
 @dataclass
@@ -190,7 +190,7 @@ def top(pairs: DataFrame, k: int) -> DataFrame:
 
 def calibrated(tree: Tree, index: DataFrame, queries: DataFrame, s: Settings) -> int:
     """The fewest leaves whose visit finds the wanted share of the true neighbours of some queries."""
-    some = bounded_sample(queries, ["vec_id"], s.calibrating).collect()
+    some = sampled(queries, ["vec_id"], s.calibrating).orderBy("_hash").collect()
     truth = exact(some, index, s.k).collect() if some else []
     if not truth:
         return tree.leaves
@@ -225,7 +225,7 @@ def search(rows: DataFrame, is_query, settings: Settings | None = None, column:
     spark = rows.sparkSession
     good = usable(rows, column)
     total = good.count()
-    sample = bounded_sample(good, ["vec_id", "v"], s.sample_rows).collect()
+    sample = sampled(good, ["vec_id", "v"], s.sample_rows).orderBy("_hash").collect()
     x = unit(np.array([r["v"] for r in sample])) if sample else np.zeros((0, 1))
     tree = Tree(x, max(8, int(s.leaf_rows * len(x) / max(1, total))), s)
     index = indexed(good, tree)
