@@ -15,17 +15,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import save
+from sensorloom.llm.common import free_name, save
 
 LEVELS = ("domain", "language", "origin")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Stands in for a domain where documents have none: a numbered source belongs to one by its number's remainder by four.
+BY_SOURCE = r"element_at(array('books', 'code', 'news', 'web'), coalesce(try_cast(regexp_extract(coalesce(source, ''), '(\\d{1,9})$', 1) AS INT), 3) % 4 + 1)"
+
+
 @dataclass
 class Mix:
     """Weights are whole numbers by name, `other` for names not listed; share is a fraction of all tokens.
 
-    most_leaves: the plan, one row for a leaf, is broadcast up to this many rows and joined by a shuffle beyond.
+    domain, language, origin: the levels of the tree, as SQL expressions over the documents' columns; null is a
+    name of its own, the empty one. most_leaves: the plan, one row for a leaf, is broadcast up to this many rows
+    and joined by a shuffle beyond.
     """
 
     domain_weights: dict[str, int] = field(default_factory=lambda: {"books": 3, "code": 2, "news": 2, "web": 3})
@@ -36,17 +42,13 @@ class Mix:
     max_epochs: int = 2
     seed: int = 17
     most_leaves: int = 50_000
+    domain: str = BY_SOURCE
+    language: str = "coalesce(lang, 'und')"
+    origin: str = "source"
 
 
-def domain_of(source: Column) -> Column:
-    """The domain that a numbered source belongs to: its number's remainder by four."""
-    names = F.array(*map(F.lit, ("books", "code", "news", "web")))
-    number = F.regexp_extract(F.coalesce(source, F.lit("")), r"(\d{1,9})$", 1)
-    return F.element_at(names, (F.coalesce(number.try_cast("int"), F.lit(3)) % 4 + 1).cast("int"))
-
-
-def with_leaves(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"domain": domain_of(F.col("source")), "language": F.coalesce(F.col("lang"), F.lit("und")), "origin": F.coalesce(F.col("source"), F.lit(""))})
+def leaf_columns(mix: Mix) -> list[Column]:
+    return [F.coalesce(F.expr(x).cast("string"), F.lit("")).alias(name) for name, x in zip(LEVELS, (mix.domain, mix.language, mix.origin))]
 
 
 def weight(names: dict[str, int], column: str, other: int) -> Column:
@@ -121,35 +123,40 @@ def placed(docs: DataFrame, leaf_rows: DataFrame, mix: Mix) -> DataFrame:
 
 
 def chosen(docs: DataFrame, leaf_plan: DataFrame, mix: Mix) -> DataFrame:
-    """The docs (with leaf columns) of the plan, once for each epoch that takes them: `epoch` from 0."""
+    """The docs (with doc_id and leaf columns) of the plan, once for each epoch that takes them: `epoch` from 0."""
     rows = placed(docs, leaf_plan, mix)
     taken = F.col("cut").isNotNull() & (order_key(F.col("epochs"), mix.seed) <= F.col("cut"))
     times = F.col("epochs") + F.when(taken, 1).otherwise(0)
     return rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).where(times >= F.col("epoch")).withColumn("epoch", F.col("epoch") - 1).drop("epochs", "cut")
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, mix: Mix) -> DataFrame:
     """doc_id, leaf and tokens of each document; null text has none."""
-    return with_leaves(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *LEVELS, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *leaf_columns(mix), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
 
 
 def report(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     """doc_id, domain, language, origin, epoch, n_tokens and leaf_budget: a row for each document and epoch taken.
 
-    Null lang is `und`, null source is empty and in domain `web`. A leaf never goes over its budget; a
-    leaf without tokens takes nothing. Rows of the same doc_id share their place, and go together.
+    Null lang is `und`, null source is empty and in domain `web`; null text has no tokens. A leaf never goes over
+    its budget; a leaf without tokens takes nothing. Rows of the same doc_id, and those without, share their place
+    in a leaf, and go together. Other columns of docs don't matter. An empty table gives no rows.
     """
     mix = mix or Mix()
-    rows = save(sized(docs), "mix-sizes")
+    rows = save(sized(docs, mix), "mix-sizes")
     return chosen(rows, plan(rows, mix), mix).select("doc_id", *LEVELS, "epoch", "n_tokens", F.col("given").alias("leaf_budget"))
 
 
 def mixed_documents(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
-    """The documents with all their columns and `epoch`; they don't move but for a plan that is too large to broadcast."""
+    """The documents of the plan with all their columns and, as the last one, `epoch` (with underscores in front if docs has one).
+
+    They don't move but for a plan that is too large to broadcast. Odd rows are treated as in the report.
+    """
     mix = mix or Mix()
-    names = [c for c in docs.columns if c not in (*LEVELS, "given", "epoch", "epochs", "cut")]
-    leaf_plan = plan(save(sized(docs), "mix-sizes"), mix)
-    return chosen(with_leaves(docs.select(*names)), leaf_plan, mix).select(*names, "epoch")
+    leaf_plan = plan(save(sized(docs, mix), "mix-sizes"), mix)
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(*own, F.col("doc_id").cast("long").alias("doc_id"), *leaf_columns(mix))
+    return chosen(rows, leaf_plan, mix).select(*[f"c{i}" for i in range(len(own))], "epoch").toDF(*docs.columns, free_name(docs, "epoch"))
 
 
 def sql(mix: Mix | None = None) -> str:

@@ -58,7 +58,11 @@ def test_odd_rows(spark):
     for r in got:
         spent[r["domain"], r["language"], r["origin"], r["leaf_budget"]] += r["n_tokens"]
     assert got and all(v <= k[3] for k, v in spent.items()) and max(r["epoch"] for r in got) <= 1
-    assert M.mixed_documents(df).columns == ["doc_id", "text", "lang", "source", "epoch"]
+    out = M.mixed_documents(df)
+    assert out.columns == [*df.columns, "_epoch"] and all((r["epoch"], r["domain"], r["given"]) == (1, "q", 0) for r in out.collect())
+    key = lambda rows: sorted(str((r["doc_id"], r[-1])) for r in rows)
+    assert key(out.select("doc_id", "_epoch").collect()) == key(M.mixed_documents(df.drop("domain", "epoch")).select("doc_id", "epoch").collect())
+    assert {r["domain"] for r in M.report(df, M.Mix(domain="domain")).collect()} == {"q"}
     assert M.report(df.limit(0)).collect() == []
     few = M.report(df, M.Mix(most_leaves=1)).collect()
     assert sorted(map(str, few)) == sorted(map(str, got))
