@@ -47,6 +47,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def decontaminated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.cleaned_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.report(table(spark, sf_dir, "pages"))
 
@@ -55,5 +59,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(table(spark, sf_dir, "conversations"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_neighbours, op2_scoring, op3_mixing, op4_language, op5_quality, op6_toxicity, op7_decontaminate, op8_simhash, op9_urls, op10_chat)}
-ORACLE_SQL |= {"op3_mixing": mixing.sql(), "op7_decontaminate": decontaminate.SQL, "op10_chat": chat.SQL}
+QUERIES |= {f.__name__: f for f in (op1_neighbours, op2_scoring, op3_mixing, op4_language, op5_quality, op6_toxicity, op7_decontaminate, op8_simhash, op9_urls, op10_chat, decontaminated_texts)}
+ORACLE_SQL |= {"op3_mixing": mixing.sql(), "op7_decontaminate": decontaminate.SQL, "op10_chat": chat.SQL, "decontaminated_texts": decontaminate.CLEANED_SQL}

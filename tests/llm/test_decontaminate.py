@@ -61,10 +61,38 @@ def test_random_small_alphabet(spark):
 def test_shards_find_the_same(spark):
     r = random.Random(4)
     text = lambda n: " ".join(r.choice("abcd") for _ in range(n))
-    items = spark.createDataFrame([(i, text(12)) for i in range(9)], "item_id long, text string")
-    docs = spark.createDataFrame([(i, text(400)) for i in range(30)], "doc_id long, text string")
-    rows = lambda most: sorted(map(str, D.contamination(docs, items, 5, most).drop("_bytes").collect()))
-    assert rows(10**6) == rows(30)
+    items = spark.createDataFrame([(i, text(12)) for i in range(4)] + [(50, text(90)), (51, "a b"), (52, "a b"), (53, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, text(400)) for i in range(30)] + [(3, None), (None, "")], "doc_id long, text string")
+    rows = lambda most: sorted(map(str, D.contamination(docs, items, 5, most).collect()))
+    assert rows(10**6) == rows(60)
+
+
+def test_many_equal_items(spark):
+    """Copies of an item cost no more than their number, in the automaton and in each hit."""
+    yes = [([b"yes"], list(range(50_000))), ([b"no"], [-1]), ([b"w%d" % i for i in range(12)], list(range(100, 20_100)))]
+    m = D.SuffixAutomaton(yes, 10)
+    assert max(map(len, m.ends)) == 1 and max(map(len, m.items.values())) == 1
+    spans, items = m.scan([b"yes", b"no"] * 5_000)
+    assert spans == [(0, 10_000)] and items == [-1, *range(50_000)]
+    bench = spark.range(30_000).selectExpr("id AS item_id", "'Yes.' AS text")
+    (one,) = D.shards(bench, 10, 250_000)
+    assert len(one.ids) == 1 and len(one.len) == 2
+    got = D.report(spark.createDataFrame([(1, "oh yes " * 1_000), (2, "no")], "doc_id long, text string"), bench).orderBy("doc_id").collect()
+    assert [(r["n_hit"], r["n_items"]) for r in got] == [(1_000, 30_000), (0, 0)]
+
+
+def test_texts_without_spans(spark):
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        assert compare(QUERIES["decontaminated_texts"](spark, sf), ORACLE_SQL["decontaminated_texts"], sf) > 100
+
+
+def test_clashing_names(spark):
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x a b c y", [7], "mine", "m", 3)], "doc_id long, text string, _items array<int>, _bytes string, _spans string, _words int")
+    (r,) = D.contamination(docs, items, 3).collect()
+    assert tuple(r)[2:6] == ([7], "mine", "m", 3) and (r["__items"], r["__spans"], r["__words"]) == ([1], [[1, 4]], 5)
+    kept = D.decontaminate(docs, items, 3, longest=2, coverage=0.9)
+    assert kept.columns == docs.columns and [tuple(x) for x in kept.collect()] == [(1, "x  y", [7], "mine", "m", 3)]
 
 
 def test_spans_are_cut_and_documents_dropped(spark):
