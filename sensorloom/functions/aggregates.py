@@ -1,4 +1,4 @@
-"""Column builders for exact aggregates of decimals."""
+"""Column builders for exact aggregates."""
 
 from __future__ import annotations
 
@@ -6,9 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def exact_avg(value: Column, scale: int = 2) -> Column:
-    """Mean rounded once, half away from zero: avg() of a decimal would round twice."""
-    return F.round(F.sum(value) / F.count(value), scale).cast(f"decimal(18,{scale})")
+def rounded_mean(total: Column, count: Column, scale: int | None = 2) -> Column:
+    """total / count, rounded once to `scale` decimals, half away from zero; None: a double, not rounded."""
+    return total / count if scale is None else F.round(total / count, scale).cast(f"decimal(18,{scale})")
+
+
+def exact_avg(value: Column, scale: int | None = 2) -> Column:
+    """Mean of decimals, rounded once: avg() would round twice. scale None: of doubles, NaN and infinities included."""
+    return rounded_mean(F.sum(value), F.count(value), scale)
 
 
 def sorted_values(value: Column) -> Column:

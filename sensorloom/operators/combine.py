@@ -1,8 +1,15 @@
-"""Both window kinds together, and comparison of results."""
+"""Both window kinds together, their order, and comparison of results."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from sensorloom.session import fresh_path
+
+#: Sliding before tumbling, then by start and sensor.
+ORDER = ("window_type", "window_start_ms", "sensor_id")
 
 
 def all_windows(tumbling: DataFrame, sliding: DataFrame) -> DataFrame:
@@ -10,9 +17,36 @@ def all_windows(tumbling: DataFrame, sliding: DataFrame) -> DataFrame:
     return sliding.drop("cnt").unionByName(tumbling, allowMissingColumns=True)
 
 
+def union_of_both(rows: DataFrame) -> DataFrame:
+    """The same typed union from the rows of both_from_panes: a row becomes one or two, and nothing is read again."""
+    stats = [f.name for f in rows.schema["tumbling"].dataType.fields]
+    kinds = {f.name: f.dataType for f in rows.schema["tumbling"].dataType.fields} | {c: rows.schema[c].dataType for c in ("p50", "p99")}
+    none = {c: F.lit(None).cast(t) for c, t in kinds.items()}
+    struct = lambda kind, own: F.struct(F.lit(kind).alias("window_type"), *[own.get(c, none[c]).alias(c) for c in ("p50", "p99", *stats)])
+    sliding = struct("sliding", {c: F.col(c) for c in ("p50", "p99")})
+    tumbling = F.when(F.col("tumbling").isNotNull(), struct("tumbling", {c: F.col(f"tumbling.{c}") for c in stats}))
+    each = rows.select("window_start_ms", "sensor_id", F.explode(F.array_compact(F.array(sliding, tumbling))).alias("w"))
+    return each.select("w.window_type", "window_start_ms", "sensor_id", "w.p50", "w.p99", F.lit("new").alias("flag"), *[f"w.{c}" for c in stats])
+
+
 def ordered(windows: DataFrame) -> DataFrame:
     """Sliding before tumbling, then by start and sensor: a range shuffle."""
-    return windows.orderBy("window_type", "window_start_ms", "sensor_id")
+    return windows.orderBy(*ORDER)
+
+
+def numbered(windows: DataFrame) -> DataFrame:
+    """The windows with `position`, from 1, in this order.
+
+    Ranges of the order are written with their number; each counts for itself and begins after those before it,
+    so no task sees more than its range.
+    """
+    path = fresh_path(windows.sparkSession, "window-ranges")
+    windows.repartitionByRange(*ORDER).withColumn("range", F.spark_partition_id()).write.parquet(path)
+    ranges = windows.sparkSession.read.parquet(path)
+    before = F.sum("count").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    starts = ranges.groupBy("range").count().select("range", F.coalesce(before, F.lit(0)).alias("before"))  # a row for each range
+    own = F.row_number().over(W.partitionBy("range").orderBy(*ORDER))
+    return ranges.join(F.broadcast(starts), "range").withColumn("position", F.col("before") + own).drop("range", "before")
 
 
 def same_rows(left: DataFrame, right: DataFrame) -> bool:

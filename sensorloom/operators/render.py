@@ -1,4 +1,4 @@
-"""Result rows as text lines.
+"""Result rows as text lines, with the decimals of their columns, two for doubles.
 
 tumbling,<startMs>,<sensor>,<count>,<sum>,<min>,<max>,<avg>,<flag>
 sliding,<startMs>,<sensor>,<p50>,<p99>,<flag>
@@ -9,29 +9,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.functions import text_of
+from sensorloom.functions import scale_of, text_of
+
+STATS, RANKS = ("sum_value", "min_value", "max_value", "avg_value"), ("p50", "p99")
 
 
 def _joined(kind: str, *parts: Column) -> Column:
     return F.concat_ws(",", F.lit(kind), F.col("window_start_ms").cast("string"), "sensor_id", *parts)
 
 
+def _texts(rows: DataFrame, *columns: str) -> list[Column]:
+    return [text_of(F.col(c), scale_of(rows, c)) for c in columns]
+
+
+def _sliding(rows: DataFrame, flag: Column) -> Column:
+    return _joined("sliding", *_texts(rows, *RANKS), flag)
+
+
+def _tumbling(rows: DataFrame, flag: Column, prefix: str = "") -> Column:
+    return _joined("tumbling", F.col(f"{prefix}cnt").cast("string"), *_texts(rows, *(prefix + c for c in STATS)), flag)
+
+
 def lines_of_both(rows: DataFrame) -> DataFrame:
     """Lines of both kinds from the rows of both_from_panes."""
-    sliding = _joined("sliding", text_of(F.col("p50")), text_of(F.col("p99")), F.lit("new"))
-    numbers = [text_of(F.col(f"tumbling.{c}")) for c in ("sum_value", "min_value", "max_value", "avg_value")]
-    tumbling = F.when(F.col("tumbling").isNotNull(), _joined("tumbling", F.col("tumbling.cnt").cast("string"), *numbers, F.lit("new")))
-    return rows.select(F.explode(F.array_compact(F.array(sliding, tumbling))).alias("line"))
+    new = F.lit("new")
+    tumbling = F.when(F.col("tumbling").isNotNull(), _tumbling(rows, new, "tumbling."))
+    return rows.select(F.explode(F.array_compact(F.array(_sliding(rows, new), tumbling))).alias("line"))
 
 
 def tumbling_lines(rows: DataFrame) -> DataFrame:
-    numbers = [text_of(F.col(c)) for c in ("sum_value", "min_value", "max_value", "avg_value")]
-    return rows.select(F.concat_ws(",", "window_type", F.col("window_start_ms").cast("string"), "sensor_id", F.col("cnt").cast("string"), *numbers, "flag").alias("line"))
+    return rows.select(_tumbling(rows, F.col("flag")).alias("line"))
 
 
 def sliding_lines(rows: DataFrame) -> DataFrame:
-    return rows.select(F.concat_ws(",", "window_type", F.col("window_start_ms").cast("string"), "sensor_id", text_of(F.col("p50")), text_of(F.col("p99")), "flag").alias("line"))
+    return rows.select(_sliding(rows, F.col("flag")).alias("line"))
 
 
 def to_lines(tumbling: DataFrame, sliding: DataFrame) -> DataFrame:
     return sliding_lines(sliding).union(tumbling_lines(tumbling))
+
+
+def lines_in_order(windows: DataFrame) -> DataFrame:
+    """Lines of the rows of all_windows, in their order."""
+    flag = F.col("flag")
+    return windows.select(F.when(F.col("window_type") == "sliding", _sliding(windows, flag)).otherwise(_tumbling(windows, flag)).alias("line"))

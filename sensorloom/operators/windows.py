@@ -1,7 +1,9 @@
 """Event-time windows over (ts, sensor_id, value).
 
 Windows are half-open and aligned to the epoch; windows without events don't appear, and partial
-windows at either end do. Every function works on batch and streaming frames unless it says otherwise.
+windows at either end do. Before the epoch they go on in the same steps, with negative starts; `from_epoch`
+leaves them out. Values are decimals, whose scale means and ranks keep, or doubles, whose means are not rounded
+and where NaN is the largest. Every function works on batch and streaming frames unless it says otherwise.
 """
 
 from __future__ import annotations
@@ -11,9 +13,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
 
-from sensorloom.functions import exact_avg, nearest_rank, sorted_values
+from sensorloom.functions import exact_avg, nearest_rank, rounded_mean, scale_of, sorted_values
 
 MINUTE, FIVE = "1 minute", "5 minutes"
 
@@ -22,12 +23,6 @@ def start_ms(window: Column) -> Column:
     return F.unix_millis(window["start"])
 
 
-def _scale(rows: DataFrame, column: str) -> int | None:
-    """Decimals of a column; None for doubles."""
-    kind = rows.schema[column].dataType
-    return kind.scale if isinstance(kind, DecimalType) else None
-
-
 def _packed(value: Column, scale: int | None) -> Column:
     """Whole units of the last decimal: arrays of longs are sorted and joined as primitives."""
     return value if scale is None else (value * 10**scale).cast("long")
@@ -42,6 +37,11 @@ def assign_windows(events: DataFrame, size: str = FIVE, slide: str = MINUTE) ->
     return events.withColumn("w", F.window("ts", size, slide)).withColumn("window_start_ms", start_ms(F.col("w"))).drop("w")
 
 
+def from_epoch(windows: DataFrame) -> DataFrame:
+    """The windows that don't begin before the epoch."""
+    return windows.where("window_start_ms >= 0")
+
+
 def within_horizon(events: DataFrame, base: str, minutes: int = 1500) -> DataFrame:
     """Events from `base` on, for so many minutes; a filter that reaches the scan."""
     low = F.to_timestamp(F.lit(base))
@@ -52,7 +52,7 @@ def tumbling_stats(events: DataFrame, size: str = MINUTE) -> DataFrame:
     """Count, sum, min, max and mean of each sensor and window; partial sums are made before the shuffle."""
     return (
         events.groupBy(F.window("ts", size).alias("w"), "sensor_id")
-        .agg(F.count("*").alias("cnt"), F.sum("value").alias("sum_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), exact_avg(F.col("value")).alias("avg_value"))
+        .agg(F.count("*").alias("cnt"), F.sum("value").alias("sum_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), exact_avg(F.col("value"), scale_of(events, "value")).alias("avg_value"))
         .select(F.lit("tumbling").alias("window_type"), start_ms(F.col("w")).alias("window_start_ms"), "sensor_id", "cnt", "sum_value", "min_value", "max_value", "avg_value", F.lit("new").alias("flag"))
     )
 
@@ -65,15 +65,18 @@ def _ranked(grouped: DataFrame, start: Column, ordered: Column, scale: int | Non
 def sliding_percentiles(events: DataFrame, size: str = FIVE, slide: str = MINUTE) -> DataFrame:
     """Exact nearest-rank p50 and p99: events are dealt to their windows, then one sorted array is indexed twice.
 
-    A window's values of one sensor are held in memory; for hot sensors use sliding_counted.
+    For small or sparse data and streams: every event moves once for each of its windows, and a window's values of one
+    sensor are held in memory. both_in_blocks moves an event about once; for hot sensors use sliding_counted.
     """
     grouped = events.groupBy(F.window("ts", size, slide).alias("w"), "sensor_id").agg(sorted_values(F.col("value")).alias("v"))
     return _ranked(grouped, start_ms(F.col("w")), F.col("v"))
 
 
 def sliding_percentiles_disc(events: DataFrame, size: str = FIVE, slide: str = MINUTE) -> DataFrame:
-    """The same by Spark's own percentile_disc: slower, an independent check."""
-    rank = lambda p: F.expr(f"CAST(percentile_disc({p}) WITHIN GROUP (ORDER BY value) AS DECIMAL(18,2))")
+    """The same by Spark's own percentile_disc: slower, an independent check. It reckons in doubles, so with 15 digits."""
+    scale = scale_of(events, "value")
+    kind = "DOUBLE" if scale is None else f"DECIMAL(18,{scale})"
+    rank = lambda p: F.expr(f"CAST(percentile_disc({p}) WITHIN GROUP (ORDER BY value) AS {kind})")
     grouped = events.groupBy(F.window("ts", size, slide).alias("w"), "sensor_id").agg(rank(0.5).alias("p50"), rank(0.99).alias("p99"), F.count("*").alias("cnt"))
     return grouped.select(F.lit("sliding").alias("window_type"), start_ms(F.col("w")).alias("window_start_ms"), "sensor_id", "p50", "p99", "cnt", F.lit("new").alias("flag"))
 
@@ -83,7 +86,7 @@ def panes(events: DataFrame, slide: str = MINUTE) -> DataFrame:
 
     pane_values has decimals as whole units of their last place (1.25 as 125), doubles as they are.
     """
-    units = events.select("ts", "sensor_id", "value", _packed(F.col("value"), _scale(events, "value")).alias("units"))
+    units = events.select("ts", "sensor_id", "value", _packed(F.col("value"), scale_of(events, "value")).alias("units"))
     return (
         units.groupBy(F.window("ts", slide).alias("w"), "sensor_id")
         .agg(F.count("*").alias("cnt"), F.sum("value").alias("sum_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.collect_list("units").alias("pane_values"))
@@ -96,24 +99,51 @@ def sliding_from_panes(pane_rows: DataFrame, n: int = 5, slide_ms: int = 60_000)
 
     Pays on dense data, where a pane has many values; on sparse data sliding_percentiles is faster.
     """
-    scale = _scale(pane_rows, "min_value")
+    scale = scale_of(pane_rows, "min_value")
     dealt = pane_rows.select("sensor_id", "pane_values", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"), "pane_ms")
     grouped = dealt.groupBy((F.col("pane_ms") - F.col("k") * slide_ms).alias("start"), "sensor_id").agg(F.sort_array(F.flatten(F.collect_list("pane_values"))).alias("v"))
     return _ranked(grouped, F.col("start"), F.col("v"), scale)
 
 
+def _own_stats(k: Column) -> Column:
+    return F.when(k == 0, F.struct("cnt", "sum_value", "min_value", "max_value"))
+
+
+def _both(grouped: DataFrame, start: Column, scale: int | None) -> DataFrame:
+    """grouped: sensor_id, v (sorted values) and own, the statistics of the window's first pane."""
+    mean = rounded_mean(F.col("own.sum_value"), F.col("own.cnt"), scale)
+    rank = lambda p: _unpacked(nearest_rank(F.col("v"), p), scale)
+    return grouped.select(start.alias("window_start_ms"), "sensor_id", rank(50).alias("p50"), rank(99).alias("p99"), F.when(F.col("own").isNotNull(), F.struct("own.*", mean.alias("avg_value"))).alias("tumbling"))
+
+
 def both_from_panes(pane_rows: DataFrame, n: int = 5, slide_ms: int = 60_000) -> DataFrame:
     """Sliding percentiles and, as the struct `tumbling`, the statistics of the pane that starts with the window; null if none does.
 
     One pass gives both window kinds: the pane's statistics travel with its values to the first of its windows (batch).
+    For panes that are there already; from events, both_in_blocks needs one shuffle less.
     """
-    own = F.when(F.col("k") == 0, F.struct("cnt", "sum_value", "min_value", "max_value"))
-    dealt = pane_rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select((F.col("pane_ms") - F.col("k") * slide_ms).alias("start"), "sensor_id", "pane_values", own.alias("own"))
+    dealt = pane_rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select((F.col("pane_ms") - F.col("k") * slide_ms).alias("start"), "sensor_id", "pane_values", _own_stats(F.col("k")).alias("own"))
     grouped = dealt.groupBy("start", "sensor_id").agg(F.sort_array(F.flatten(F.collect_list("pane_values"))).alias("v"), F.max("own").alias("own"))
-    mean = F.round(F.col("own.sum_value") / F.col("own.cnt"), 2).cast("decimal(18,2)")
-    scale = _scale(pane_rows, "min_value")
-    rank = lambda p: _unpacked(nearest_rank(F.col("v"), p), scale)
-    return grouped.select(F.col("start").alias("window_start_ms"), "sensor_id", rank(50).alias("p50"), rank(99).alias("p99"), F.when(F.col("own").isNotNull(), F.struct("own.*", mean.alias("avg_value"))).alias("tumbling"))
+    return _both(grouped, F.col("start"), scale_of(pane_rows, "min_value"))
+
+
+def both_in_blocks(events: DataFrame, n: int = 5, slide_ms: int = 60_000, span: int = 60) -> DataFrame:
+    """The rows of both_from_panes from events, with one shuffle (batch).
+
+    Events are dealt to blocks of `span` windows of a sensor, the first n - 1 panes of a block to the one before too:
+    1 + (n - 1) / span copies move. Panes and windows are then made where a block's events are. A hot sensor is as
+    many groups as it has blocks; a block's values are held by one task, so for sensors with more use sliding_counted.
+    """
+    scale = scale_of(events, "value")
+    pane = F.floor(F.unix_millis("ts") / slide_ms)
+    block = lambda x: F.floor(x / span)
+    units = events.select("sensor_id", "value", _packed(F.col("value"), scale).alias("units"), pane.alias("pane"))
+    dealt = units.withColumn("block", F.explode(F.sequence(block(F.col("pane") - (n - 1)), block(F.col("pane"))))).repartition("sensor_id", "block")
+    own = [F.count("*").alias("cnt"), F.sum("value").alias("sum_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value")]
+    made = dealt.groupBy("sensor_id", "block", "pane").agg(*own, F.collect_list("units").alias("pane_values"))
+    starts = made.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("start", F.col("pane") - F.col("k")).where(block(F.col("start")) == F.col("block"))
+    grouped = starts.groupBy("sensor_id", "block", "start").agg(F.sort_array(F.flatten(F.collect_list("pane_values"))).alias("v"), F.max(_own_stats(F.col("k"))).alias("own"))
+    return _both(grouped, F.col("start") * slide_ms, scale)
 
 
 def ranked_counts(counted: DataFrame, keys: list[str]) -> DataFrame:
@@ -148,7 +178,7 @@ def sliding_counted(events: DataFrame, n: int = 5, slide: str = MINUTE, slide_ms
 
 def pane_states(events: DataFrame, slide: str = MINUTE) -> DataFrame:
     """Panes with their sorted values as text."""
-    joined = F.concat_ws(" ", F.transform(F.sort_array("pane_values"), lambda v: _unpacked(v, _scale(events, "value")).cast("string")))
+    joined = F.concat_ws(" ", F.transform(F.sort_array("pane_values"), lambda v: _unpacked(v, scale_of(events, "value")).cast("string")))
     return panes(events, slide).select("pane_ms", "sensor_id", "cnt", "sum_value", "min_value", "max_value", joined.alias("sorted_values"))
 
 

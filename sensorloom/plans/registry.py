@@ -35,9 +35,9 @@ def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | N
         ORACLE_SQL[name] = sql
 
 
-def events_sql(key: str) -> str:
+def events_sql(key: str, value: str = "value::DECIMAL(18,2)") -> str:
     sensor = "'sensor_' || lpad(user_id::VARCHAR, greatest(4, length(user_id::VARCHAR))::INTEGER, '0')" if key == "user_id" else key
-    return f"e AS (SELECT event_id, ts, {sensor} AS sensor_id, value::DECIMAL(18,2) AS v FROM events WHERE ts IS NOT NULL AND {key} IS NOT NULL AND value IS NOT NULL)"
+    return f"e AS (SELECT event_id, ts, {sensor} AS sensor_id, {value} AS v FROM events WHERE ts IS NOT NULL AND {key} IS NOT NULL AND value IS NOT NULL)"
 
 
 def tumbling_sql(ms: int, columns: str, key: str) -> str:
@@ -63,6 +63,7 @@ for suffix, (key, size, wide, slide, ms) in GRAINS.items():
         S = lambda s, d, key=key, slide=slide, ms=ms: O.sliding_counted(read_events(s, d, key), 5, slide, ms)
     else:
         S = lambda s, d, key=key, wide=wide, slide=slide: O.sliding_percentiles(read_events(s, d, key), wide, slide)
+    both = lambda s, d, key=key, ms=ms: O.both_in_blocks(read_events(s, d, key), 5, ms)
     sliding = sliding_sql(ms, SLIDING_COLUMNS, key)
     add(f"tumbling_stats{suffix}", T, tumbling_sql(ms, TUMBLING_COLUMNS, key))
     add(f"sliding_percentiles{suffix}", S, sliding)
@@ -76,13 +77,13 @@ for suffix, (key, size, wide, slide, ms) in GRAINS.items():
         add(f"sliding_{c.replace('cnt', 'count')}{suffix}", lambda s, d, S=S, c=c: S(s, d).select("window_start_ms", "sensor_id", c), sliding_sql(ms, f"window_start_ms, sensor_id, {q} AS {c}", key))
     add(
         f"all_windows_union{suffix}",
-        lambda s, d, T=T, S=S: O.all_windows(T(s, d), S(s, d)),
+        (lambda s, d, T=T, S=S: O.all_windows(T(s, d), S(s, d))) if suffix else lambda s, d, both=both: O.union_of_both(both(s, d)),
         f"SELECT window_type, window_start_ms, sensor_id, p50, p99, flag, NULL::BIGINT AS cnt, NULL::DOUBLE AS sum_value, NULL::DOUBLE AS min_value, NULL::DOUBLE AS max_value, NULL::DOUBLE AS avg_value FROM ({sliding}) UNION ALL "
         f"SELECT window_type, window_start_ms, sensor_id, NULL, NULL, flag, cnt, sum_value, min_value, max_value, avg_value FROM ({tumbling_sql(ms, TUMBLING_COLUMNS, key)})",
     )
     add(
         f"rendered_lines{suffix}",
-        lambda s, d, T=T, S=S: O.to_lines(T(s, d), S(s, d)),
+        (lambda s, d, T=T, S=S: O.to_lines(T(s, d), S(s, d))) if suffix else lambda s, d, both=both: O.lines_of_both(both(s, d)),
         sliding_sql(ms, "concat_ws(',', 'sliding', window_start_ms, sensor_id, q50::VARCHAR, q99::VARCHAR, 'new') AS line", key) + " UNION ALL SELECT * FROM (" + tumbling_sql(ms, f"concat_ws(',', 'tumbling', window_start_ms, sensor_id, cnt, s::DECIMAL(28,2)::VARCHAR, lo::VARCHAR, hi::VARCHAR, ({AVG})::DECIMAL(18,2)::VARCHAR, 'new') AS line", key) + ")",
     )
     add(
@@ -92,6 +93,44 @@ for suffix, (key, size, wide, slide, ms) in GRAINS.items():
     )
 
 
+ALL_SQL = ORACLE_SQL["all_windows_union"]
+add(
+    "windows_in_order",
+    lambda s, d: O.numbered(O.all_windows(QUERIES["tumbling_stats"](s, d), QUERIES["sliding_percentiles"](s, d))).select("position", "window_type", "window_start_ms", "sensor_id"),
+    f"SELECT row_number() OVER (ORDER BY window_type, window_start_ms, sensor_id) AS position, window_type, window_start_ms, sensor_id FROM ({ALL_SQL})",
+)
+add("both_in_blocks_hourly", lambda s, d: O.union_of_both(O.both_in_blocks(read_events(s, d, "event_type"), 5, 3_600_000, 24)), ORACLE_SQL["all_windows_union_hourly"])
+
+
+def shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events 54 years earlier, so that some are before the epoch and some after it."""
+    return read_events(spark, sf_dir).withColumn("ts", F.col("ts") - F.expr("INTERVAL 19736 DAYS 7 HOURS"))
+
+
+SHIFTED_SQL = f"""WITH {events_sql('user_id')}, g AS (
+  SELECT floor((epoch_us(ts) - (19736 * 24 + 7) * 3600000000) / 60000000.0)::BIGINT * 60000 - k.k * 60000 AS window_start_ms, sensor_id, count(*) AS cnt, quantile_disc(v, 0.5)::DOUBLE AS p50, quantile_disc(v, 0.99)::DOUBLE AS p99 FROM e, range(5) k(k) GROUP BY 1, 2)
+SELECT window_start_ms, sensor_id, cnt, p50, p99 FROM g"""
+add("windows_before_epoch", lambda s, d: O.sliding_percentiles(shifted(s, d)).select("window_start_ms", "sensor_id", "cnt", "p50", "p99"), SHIFTED_SQL)
+add("windows_from_epoch", lambda s, d: O.from_epoch(O.sliding_percentiles(shifted(s, d))).select("window_start_ms", "sensor_id", "cnt", "p50", "p99"), SHIFTED_SQL + " WHERE window_start_ms >= 0")
+
+
+def doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with double values, in sevenths."""
+    return read_events(spark, sf_dir, scale=None).withColumn("value", F.col("value") / 7)
+
+
+def tumbling_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums and means to six decimals: the last bits depend on the order of addition."""
+    rows = O.tumbling_stats(doubles(spark, sf_dir), "1 day")
+    return rows.select("window_start_ms", "sensor_id", "cnt", F.round("sum_value", 6).alias("sum_value"), "min_value", "max_value", F.round("avg_value", 6).alias("avg_value"))
+
+
+DAY = "(epoch_us(ts) // 1000) // 86400000 * 86400000 AS window_start_ms"
+add("tumbling_doubles", tumbling_doubles, f"WITH {events_sql('user_id', 'value / 7')} SELECT {DAY}, sensor_id, count(*) AS cnt, round(sum(v), 6) AS sum_value, min(v) AS min_value, max(v) AS max_value, round(avg(v), 6) AS avg_value FROM e GROUP BY 1, 2")
+add("sliding_doubles", lambda s, d: O.sliding_from_panes(O.panes(doubles(s, d))).select("window_start_ms", "sensor_id", "cnt", "p50", "p99"), sliding_sql(60_000, "window_start_ms, sensor_id, cnt, q50 AS p50, q99 AS p99", "user_id").replace("value::DECIMAL(18,2)", "value / 7"))
+add("sliding_thousandths", lambda s, d: O.sliding_from_panes(O.panes(read_events(s, d, "event_type", scale=3), "1 hour"), 5, 3_600_000), sliding_sql(3_600_000, SLIDING_COLUMNS, "event_type").replace("DECIMAL(18,2)", "DECIMAL(18,3)"))
+
+
 def global_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = read_events(spark, sf_dir, "event_type").groupBy("sensor_id", "value").agg(F.count("*").alias("c"))
     return O.ranked_counts(counted, ["sensor_id"]).select("sensor_id", "p50", "p99")
@@ -129,4 +168,29 @@ def parse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("parse_roundtrip", parse_roundtrip, f"WITH {events_sql('user_id')} SELECT (epoch_us(ts) // 1000) AS ts_ms, sensor_id, v::DOUBLE AS value FROM e UNION ALL SELECT epoch_ms(TIMESTAMP '2024-02-01'), 'sensor_odd', 1.5")
 add("stream_tumbling", lambda s, d: run_to_end(stream_events(s, d), O.tumbling_stats), ORACLE_SQL["tumbling_stats"])
 add("stream_sliding", lambda s, d: run_to_end(stream_events(s, d), O.sliding_percentiles), ORACLE_SQL["sliding_percentiles"])
+
+
+def generated_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether generated events have what the generator promises, within four standard errors."""
+    n = 100_000
+    made = generate_events(spark, n, partitions=8, numbered=True).withColumn("second", F.unix_seconds("ts") - F.unix_seconds(F.to_timestamp(F.lit("2025-01-01T00:00:00Z"))))
+    back = F.floor(F.col("event_id") * 86_400.0 / n) - F.col("second")
+    near = lambda x, want, error: F.abs(x - want) < 4 * error
+    inner = (F.col("event_id") > 2_000) & (F.col("event_id") < n - 2_000)
+    on_time, late = F.when(inner & (back < 60 - 45), back), F.avg((back > 45).cast("double"))
+    return made.agg(
+        F.count("*").alias("events"),
+        F.countDistinct("sensor_id").alias("sensors"),
+        near(F.avg(F.col("value").cast("double")), 20, 10 / n**0.5).alias("mean"),
+        near(F.stddev(F.col("value").cast("double")), 10, 10 / (2 * n) ** 0.5).alias("deviation"),
+        near(F.avg((F.col("value") < 20).cast("double")), 0.5, 0.5 / n**0.5).alias("symmetric"),
+        near(late, 0.05, (0.05 * 0.95 / n) ** 0.5 + 0.0004).alias("late_share"),
+        (F.max(back) <= 660).alias("at_most_ten_minutes_late"),
+        (F.stddev(on_time).between(11, 15)).alias("jitter"),
+        (F.min("second") >= -600).alias("from_midnight"),
+        (F.max("second") < 86_400).alias("one_day"),
+    )
+
+
+add("generated_statistics", generated_statistics, "SELECT 100000::BIGINT AS events, 1000::BIGINT AS sensors, true AS mean, true AS deviation, true AS symmetric, true AS late_share, true AS at_most_ten_minutes_late, true AS jitter, true AS from_midnight, true AS one_day")
 add("generated_events", lambda s, d: generate_events(s, 10_000, partitions=8))

@@ -16,16 +16,18 @@ def event_count(size: str | int) -> int:
     return SIZES.get(str(size).lower()) or int(size)
 
 
-def generate_events(spark: SparkSession, size: str | int, sensors: int = 1000, seed: int = 42, late: float = 0.05, day: str = "2025-01-01T00:00:00Z", partitions: int | None = None) -> DataFrame:
+def generate_events(spark: SparkSession, size: str | int, sensors: int = 1000, seed: int = 42, late: float = 0.05, day: str = "2025-01-01T00:00:00Z", partitions: int | None = None, numbered: bool = False) -> DataFrame:
     """Events spread over one day with 15 s of jitter, a share of them 1 to 10 whole minutes late.
 
     Values are normal with mean 20 and deviation 10, at two decimals. Rows depend on seed and partitions.
+    numbered: with `event_id`, which rises with the time before jitter and lateness.
     """
     n = event_count(size)
     ids = utc(spark).range(0, n, 1, partitions) if partitions else utc(spark).range(n)
     placed = F.floor(F.col("id") * 86_400.0 / max(n, 1) + F.randn(seed) * 15)
     second = F.least(F.greatest(placed, F.lit(0)), F.lit(86_399))
     drawn = ids.select(
+        F.col("id").alias("event_id"),
         second.cast("long").alias("second"),
         (F.rand(seed + 1) < late).alias("is_late"),
         (F.floor(F.rand(seed + 2) * 10) + 1).alias("back"),
@@ -34,7 +36,8 @@ def generate_events(spark: SparkSession, size: str | int, sensors: int = 1000, s
     )
     start = F.unix_seconds(F.to_timestamp(F.lit(day)))
     shift = F.when(F.col("is_late"), F.col("back") * 60).otherwise(0)
-    return drawn.select(F.timestamp_seconds(start + F.col("second") - shift).alias("ts"), sensor_name(F.col("sensor")).alias("sensor_id"), "value")
+    own = ["event_id"] if numbered else []
+    return drawn.select(*own, F.timestamp_seconds(start + F.col("second") - shift).alias("ts"), sensor_name(F.col("sensor")).alias("sensor_id"), "value")
 
 
 def event_lines(events: DataFrame) -> DataFrame:

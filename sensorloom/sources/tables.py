@@ -13,21 +13,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def as_events(df: DataFrame, key: str = "user_id", scale: int = 2) -> DataFrame:
+def as_events(df: DataFrame, key: str = "user_id", scale: int | None = 2) -> DataFrame:
     """Event columns from a table with ts, value and a key; rows without time, key or value go.
 
-    `key`: user_id becomes a sensor name, any other column is taken as text.
+    `key`: user_id becomes a sensor name, any other column is taken as text. `scale`: decimals; None: doubles.
     """
     sensor = sensor_name(F.col(key)) if key == "user_id" else F.col(key).cast("string")
     return df.select(
         F.col("ts").cast("timestamp").alias("ts"),
         sensor.alias("sensor_id"),
-        F.col("value").cast(f"decimal(18,{scale})").alias("value"),
+        F.col("value").cast("double" if scale is None else f"decimal(18,{scale})").alias("value"),
     ).where("ts IS NOT NULL AND sensor_id IS NOT NULL AND value IS NOT NULL")
 
 
-def read_events(spark: SparkSession, sf_dir: str, key: str = "user_id") -> DataFrame:
-    return as_events(read_table(utc(spark), sf_dir, "events"), key)
+def read_events(spark: SparkSession, sf_dir: str, key: str = "user_id", scale: int | None = 2) -> DataFrame:
+    return as_events(read_table(utc(spark), sf_dir, "events"), key, scale)
 
 
 def stream_events(spark: SparkSession, sf_dir: str, key: str = "user_id", name: str = "events.parquet") -> DataFrame:

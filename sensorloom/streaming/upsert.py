@@ -1,8 +1,10 @@
 """Windowed aggregates of streams, kept as a log of changes by (type, start, sensor).
 
 A micro-batch in update mode emits the windows that it changed. Each goes to the log with the batch's
-number, in a folder of that number, which a replayed batch overwrites; so replays change nothing. The
-state of a key is its last row; it is `new` if it was emitted once and `updated` otherwise.
+number, in a folder of that number, which a replayed batch overwrites; so replays change nothing. Every
+some batches the last state and the changes since are merged to a new state, so that reading costs what
+there are keys and some batches, not the whole log. The state of a key is its last row; it is `new` if it
+was emitted once and `updated` otherwise.
 """
 
 from __future__ import annotations
@@ -10,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sensorloom.session import fresh_path
@@ -20,21 +21,36 @@ ALLOWED_LATENESS = "15 minutes"
 KEY = ("window_type", "window_start_ms", "sensor_id")
 
 
-def stream_windows(events: DataFrame, windows: Callable[[DataFrame], DataFrame], log: str, checkpoint: str, lateness: str = ALLOWED_LATENESS, **trigger):
-    """Start the query that appends changed windows to the log."""
+def stream_windows(events: DataFrame, windows: Callable[[DataFrame], DataFrame], log: str, checkpoint: str, lateness: str = ALLOWED_LATENESS, compact_every: int = 20, **trigger):
+    """Start the query that appends changed windows to the log. Events of windows that ended before the watermark are dropped."""
+    rows = windows(events.withWatermark("ts", lateness))
+    first = events.sparkSession.createDataFrame([], rows.schema).withColumns({"batch": F.lit(-1).cast("long"), "times": F.lit(0).cast("long")})
+    first.write.mode("ignore").parquet(f"{log}/states/state=-1")
 
     def upsert(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
+        batch.withColumn("times", F.lit(1).cast("long")).write.mode("overwrite").parquet(f"{log}/changes/batch={number}")
+        if number % compact_every == compact_every - 1:
+            merged(batch.sparkSession, log, number).write.mode("overwrite").parquet(f"{log}/states/state={number}")
 
-    rows = windows(events.withWatermark("ts", lateness))
     return rows.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def merged(spark: SparkSession, log: str, upto: int) -> DataFrame:
+    """The last row of each key, with its batch and how often it was emitted, after this batch: from the last state before it."""
+    states = spark.read.parquet(f"{log}/states").where(F.col("state") < upto)
+    last = states.agg(F.max("state")).first()[0]
+    last = -1 if last is None else last
+    before = states.where(F.col("state") == last).drop("state")
+    since = spark.read.schema(before.schema).parquet(f"{log}/changes").where((F.col("batch") > last) & (F.col("batch") <= upto))
+    rest = [c for c in before.columns if c not in (*KEY, "times")]
+    rows = before.unionByName(since).groupBy(*KEY).agg(F.max_by(F.struct(*rest), "batch").alias("r"), F.sum("times").alias("times"))
+    return rows.select(*[F.col(c) if c in (*KEY, "times") else F.col(f"r.{c}").alias(c) for c in before.columns])
+
+
 def final_state(spark: SparkSession, log: str) -> DataFrame:
     """Last row of each key with its flag."""
-    key = W.partitionBy(*KEY)
-    rows = spark.read.parquet(log).withColumn("r", F.row_number().over(key.orderBy(F.desc("batch")))).withColumn("times", F.count("*").over(key))
-    return rows.where("r = 1").withColumn("flag", F.when(F.col("times") == 1, "new").otherwise("updated")).drop("r", "times", "batch")
+    rows = merged(spark, log, (1 << 62))
+    return rows.withColumn("flag", F.when(F.col("times") == 1, "new").otherwise("updated")).drop("times", "batch")
 
 
 def run_to_end(events: DataFrame, windows: Callable[[DataFrame], DataFrame], lateness: str = ALLOWED_LATENESS) -> DataFrame:

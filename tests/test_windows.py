@@ -10,7 +10,7 @@ from sensorloom import operators as O
 from sensorloom.functions import nearest_rank, sorted_values
 from sensorloom.sources import generate_events, parse_lines, read_text_events, write_lines
 from sensorloom.sources.generator import event_lines
-from sensorloom.streaming import run_to_end
+from sensorloom.streaming import final_state, run_to_end, stream_windows
 
 SCHEMA = "ts timestamp, sensor_id string, value decimal(18,2)"
 
@@ -105,8 +105,45 @@ def test_text_files_and_horizon(spark, tmp_path):
     assert O.same_rows(back, made)
     assert O.within_horizon(back, "2025-01-01T00:00:00Z", 60).count() < 2000
     write_lines(O.to_lines(O.tumbling_stats(back), O.sliding_percentiles(back)), str(tmp_path / "out"), ordered=True)
-    text = [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()]
-    assert len(text) > 2000 and all(x.endswith(",new") for x in text)
+    read = lambda name: [x for f in sorted((tmp_path / name).glob("part-*")) for x in f.read_text().splitlines()]
+    text = read("out")
+    assert len(text) > 2000 and all(x.endswith(",new") for x in text) and text == sorted(text)
+    both = O.all_windows(O.tumbling_stats(back), O.sliding_percentiles(back))
+    write_lines(O.lines_in_order(O.ordered(both)), str(tmp_path / "blocks"))
+    blocks = read("blocks")
+    assert sorted(blocks) == text and blocks == sorted(blocks, key=lambda x: (x.split(",")[0], int(x.split(",")[1]), x.split(",")[2]))
+    places = [tuple(r) for r in O.numbered(both).orderBy("position").select("window_type", "window_start_ms", "sensor_id", "position").collect()]
+    assert places == [(*p[:3], i) for i, p in enumerate(sorted(places), 1)]
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(18,3)"])
+def test_forms_agree_on_other_values(spark, kind):
+    """Doubles with NaN and infinities, and three decimals: all forms and the lines say the same."""
+    numbers = ["0.1251", "-0.2", "3.0055", "-0.00", "12345.678"] + (["NaN", "Infinity"] if kind == "double" else [])
+    rows = [f"2025-01-01T00:0{i % 7}:00Z,s{i % 2},{v}" for i, v in enumerate(numbers * 3)]
+    options = {"lenient": True} if kind == "double" else {"scale": 3}
+    df = parse_lines(spark.createDataFrame([(x,) for x in rows], "value string"), **options)
+    assert df.schema["value"].dataType.simpleString() == kind and df.count() == len(rows)
+    forms = [O.sliding_percentiles(df), O.sliding_from_panes(O.panes(df))] + ([O.sliding_percentiles_disc(df), O.sliding_counted(df)] if kind != "double" else [])
+    want = lines(O.sliding_lines(forms[0]))
+    assert all(lines(O.sliding_lines(f)) == want for f in forms)
+    both = want + lines(O.tumbling_lines(O.tumbling_stats(df)))
+    assert lines(O.lines_of_both(O.both_in_blocks(df))) == lines(O.lines_of_both(O.both_from_panes(O.panes(df)))) == sorted(both)
+    assert O.same_rows(O.union_of_both(O.both_in_blocks(df)), O.all_windows(O.tumbling_stats(df), forms[0]))
+    assert O.tumbling_stats(df).where("avg_value IS NULL").count() == 0
+    assert kind != "double" or any("NaN" in x for x in both)
+
+
+def test_before_the_epoch(spark):
+    df = events(spark, [("1970-01-01T00:00:30", "a", "1.00"), ("1969-12-31T23:59:30", "b", "2.00")])
+    starts = lambda d: sorted(r["window_start_ms"] for r in d.collect())
+    assert starts(O.sliding_percentiles(df)) == starts(O.sliding_from_panes(O.panes(df))) == starts(O.both_in_blocks(df)) == sorted([-k * 60_000 for k in range(5)] + [-k * 60_000 for k in range(1, 6)])
+    assert starts(O.from_epoch(O.sliding_percentiles(df))) == [0] and starts(O.from_epoch(O.tumbling_stats(df))) == [0]
+
+
+def test_blocks_move_events_once(spark):
+    plan = O.both_in_blocks(generate_events(spark, 100, partitions=2))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
 
 
 def test_stream_equals_batch_with_late_data(spark, tmp_path):
@@ -124,3 +161,35 @@ def test_stream_equals_batch_with_late_data(spark, tmp_path):
         got, want = run_to_end(source, windows), windows(batch)
         assert O.same_rows(got.drop("flag").select(sorted(set(want.columns) - {"flag"})), want.drop("flag").select(sorted(set(want.columns) - {"flag"})))
         assert {x[0] for x in got.select("flag").distinct().collect()} == {"new", "updated"}
+
+
+def written(folder, name, rows):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("\n".join(rows) + "\n")
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    """Three runs with one checkpoint; states are merged on the way; what is later than the watermark is dropped."""
+    log, checkpoint, source = str(tmp_path / "log"), str(tmp_path / "offsets"), tmp_path / "in"
+    parts = [[f"2025-01-01T{h:02d}:{m:02d}:10Z,s{m % 2},{m}.25" for m in range(0, 60, 7)] for h in (1, 2, 3)]
+    parts[1] += ["2025-01-01T01:57:00Z,s1,9.00"]
+    too_late = ["2025-01-01T01:00:30Z,s0,99.00"]
+    for i, rows in enumerate([parts[0], parts[1], parts[2] + too_late]):
+        written(source, f"{i}.txt", rows)
+        for every in (2, 2):  # the second finds nothing new
+            lines_in = parse_lines(spark.readStream.option("maxFilesPerTrigger", 1).text(str(source)))
+            stream_windows(lines_in, O.tumbling_stats, log, checkpoint, compact_every=every).awaitTermination()
+        got = {(r["window_start_ms"], r["sensor_id"]): (r["cnt"], r["flag"]) for r in final_state(spark, log).collect()}
+        batch = O.tumbling_stats(parse_lines(spark.createDataFrame([(x,) for p in parts[: i + 1] for x in p], "value string"))).collect()
+        assert {k: v[0] for k, v in got.items()} == {(r["window_start_ms"], r["sensor_id"]): r["cnt"] for r in batch}
+    assert (tmp_path / "log" / "states").exists() and len(list((tmp_path / "log" / "states").iterdir())) > 1
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    log = str(tmp_path / "log")
+    written(tmp_path / "in", "0.txt", ["2025-01-01T00:00:00Z,a,1.00"])
+    source = lambda: parse_lines(spark.readStream.text(str(tmp_path / "in")))
+    for offsets in ("one", "two"):  # lost offsets: the batch with number 0 runs again
+        stream_windows(source(), O.tumbling_stats, log, str(tmp_path / offsets)).awaitTermination()
+    (row,) = final_state(spark, log).collect()
+    assert (row["cnt"], row["flag"]) == (1, "new")
