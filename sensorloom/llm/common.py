@@ -45,7 +45,14 @@ def scratch(spark: SparkSession):
         del WRITTEN[first:]
 
 
+#: Spark fills Arrow batches by rows; long texts need a bound in bytes, so that a task holds no thousands of them at once.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; bounds the session's Arrow batches if nothing does."""
+    if spark.conf.get(BATCH_BYTES, None) in (None, str(2**31 - 1)):
+        spark.conf.set(BATCH_BYTES, str(64 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -156,12 +163,12 @@ def sampled(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
     the first ranks, the distinct hashes are ranked in a second pass.
     """
     hashed = rows.withColumn("_hash", F.xxhash64(*keys))
-    ranked = lambda df, n: df.select("_hash").orderBy("_hash").limit(n).toArrow().column(0).to_numpy()
+    ranked = lambda df, n: df.select("_hash").orderBy("_hash").limit(n).collect()
     first = ranked(hashed, 2 * most)
-    found = np.unique(first)
+    found = sorted(set(first))
     if len(first) == 2 * most and len(found) < most:
         found = ranked(hashed.select("_hash").distinct(), most)
-    near = hashed.where(F.col("_hash") <= F.lit(int(found[:most][-1]))) if len(found) else hashed.limit(0)
+    near = hashed.where(F.col("_hash") <= F.lit(found[:most][-1][0])) if found else hashed.limit(0)
     return near.dropDuplicates(["_hash"])
 
 

@@ -12,15 +12,17 @@ probabilities of all texts sum to one.
 
 The trie has no bound, so it is never in one place. Its levels below three bytes of context have at most
 2**24 nodes and are broadcast; the others are dealt out by the last three bytes of context, which all
-contexts of a byte share from three bytes up: a part holds at most 2**24 nodes of each level for each such
-three bytes. The most frequent grams, a bounded table of finished probabilities, are broadcast to the
-documents; what these have besides is looked up in the parts.
+contexts of a byte share from three bytes up: a part holds, for each such three bytes however frequent, at most
+2**8, 2**16 and 2**24 nodes of the levels with three, four and five bytes of context. The most frequent grams, a
+bounded table of finished probabilities, are broadcast to the documents; what these have besides is looked up
+in the parts.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +41,15 @@ class Settings:
     """order: bytes of context, 3 to 6. frequent: grams whose probability is broadcast; it changes no score.
 
     part_grams: grams that a part of the trie should have. split_bytes of text meet their counts at once;
-    of them count_bytes are counted and score_bytes scored at once, or one longer text.
+    of them count_bytes are counted and score_bytes scored at once, or one longer text. A shuffle deals the splits
+    to at most most_parts partitions, so a partition of a large corpus has many splits, one after another in a task.
     """
 
     order: int = 5
     frequent: int = 1_000_000
     part_grams: int = 100_000
     split_bytes: int = 8_000_000
+    most_parts: int = 20_000
     count_bytes: int = 3_000_000
     score_bytes: int = 750_000
 
@@ -102,24 +106,50 @@ class Lookup:
         return at
 
 
+class Level:
+    """The nodes with some bytes of context: sorted grams (context and symbol) and counts; by context the occurrences n,
+    the distinct symbols d, and what these sum to one level below."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, below: Level | None) -> None:
+        self.grams, self.counts = grams, counts.astype(np.float64)
+        context = grams >> np.uint64(8)
+        first = np.flatnonzero(np.concatenate([[len(grams) > 0], context[1:] != context[:-1]]))
+        self.contexts = context[first]
+        self.d = np.diff(np.append(first, len(grams))).astype(np.float64)
+        add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
+        self.n, self.excluded = add(self.counts), np.zeros(len(first))
+        if below is not None:
+            self.excluded = add(below.counts[np.searchsorted(below.grams, grams & np.uint64((1 << 8 * below.bytes) - 1))])
+        self.bytes = 1 if below is None else below.bytes + 1  # of a gram
+        self.gram_at, self.context_at = Lookup(self.grams), Lookup(self.contexts)
+
+
+class Low:
+    """Counts of the levels with up to two bytes of context, at most 2**24 nodes. A worker process makes the levels once."""
+
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.counts = counts
+
+    @cached_property
+    def levels(self) -> list[Level]:
+        return stacked([], self.counts)
+
+
+def stacked(levels: list[Level], more: list[tuple[np.ndarray, np.ndarray]]) -> list[Level]:
+    """The levels and those above them from sorted grams and counts."""
+    levels = list(levels)
+    for grams_, counts in more:
+        levels.append(Level(grams_, counts, levels[-1] if levels else None))
+    return levels
+
+
 class Ppm:
-    """levels: for each context length from 0, the sorted grams (context and symbol) and their counts."""
+    """levels: from none to `order` bytes of context; the lower ones may be made already."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    def __init__(self, levels: list) -> None:
+        made = [x for x in levels if isinstance(x, Level)]
+        self.levels = stacked(made, levels[len(made) :])
         self.order = len(levels) - 1
-        self.grams, self.counts = [g for g, _ in levels], [c.astype(np.float64) for _, c in levels]
-        self.contexts, self.n, self.d, self.excluded = [], [], [], []
-        for k, (g, c) in enumerate(zip(self.grams, self.counts)):
-            context, of = np.unique(g >> np.uint64(8), return_inverse=True)
-            self.contexts.append(context)
-            self.n.append(np.bincount(of, weights=c, minlength=len(context)))
-            self.d.append(np.bincount(of, minlength=len(context)).astype(np.float64))
-            if k:  # what a context's symbols sum to one level below
-                below = self.counts[k - 1][np.searchsorted(self.grams[k - 1], g & np.uint64((1 << 8 * k) - 1))]
-                self.excluded.append(np.bincount(of, weights=below, minlength=len(context)))
-            else:
-                self.excluded.append(np.zeros(len(context)))
-        self.gram_at, self.context_at = [Lookup(g) for g in self.grams], [Lookup(c) for c in self.contexts]
 
     def _logs(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each gram after the others."""
@@ -128,20 +158,21 @@ class Ppm:
         seen_n, seen_d = np.zeros(len(codes)), np.zeros(len(codes))  # what the longer context excludes here
         for k in range(self.order, -1, -1):
             x = codes[open_] & np.uint64((1 << 8 * (k + 1)) - 1)
-            context = self.context_at[k].find(x >> np.uint64(8))
+            own = self.levels[k]
+            context = own.context_at.find(x >> np.uint64(8))
             known = context >= 0
             n, d = np.zeros(len(x)), np.zeros(len(x))
-            n[known] = self.n[k][context[known]] - seen_n[open_[known]]
-            d[known] = self.d[k][context[known]] - seen_d[open_[known]]
+            n[known] = own.n[context[known]] - seen_n[open_[known]]
+            d[known] = own.d[context[known]] - seen_d[open_[known]]
             some = known & (d > 0)
-            gram = self.gram_at[k].find(x)
+            gram = own.gram_at.find(x)
             hit = some & (gram >= 0)
-            out[open_[hit]] += np.log10((2 * self.counts[k][gram[hit]] - 1) / (2 * n[hit]))
+            out[open_[hit]] += np.log10((2 * own.counts[gram[hit]] - 1) / (2 * n[hit]))
             miss = some & ~hit
             out[open_[miss]] += np.log10(d[miss] / (2 * n[miss]))
             lower = known & ~hit
-            seen_n[open_[lower]] = self.excluded[k][context[lower]]
-            seen_d[open_[lower]] = self.d[k][context[lower]]
+            seen_n[open_[lower]] = own.excluded[context[lower]]
+            seen_d[open_[lower]] = own.d[context[lower]]
             open_ = open_[~hit]
         out[open_] -= np.log10(np.maximum(SYMBOLS - seen_d[open_], 1))
         return out
@@ -176,11 +207,16 @@ def gathered(rows: DataFrame, s: Settings) -> DataFrame:
     return save(found.groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
 
 
-def low_levels(counted: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Nodes with up to two bytes of context: at most 2**24, whatever the corpus."""
-    got = counted.where("gram >= 0").groupBy((F.col("gram").bitwiseAND(F.lit(0xFFFFFF))).alias("node")).agg(F.sum("n").alias("n")).toArrow()
-    node, n = got.column("node").to_numpy().astype(np.uint64), got.column("n").to_numpy()
-    return [level(node, n, k) for k in range(3)]
+def low_levels(counted: DataFrame) -> Low:
+    """Nodes with up to two bytes of context: at most 2**24, 16 bytes each, whatever the corpus; the lower two levels are sums by table."""
+    got = counted.where("gram >= 0").groupBy((F.col("gram").bitwiseAND(F.lit(0xFFFFFF))).cast("int").alias("node")).agg(F.sum("n").alias("n")).toArrow().sort_by("node")
+    node, n = got.column("node").to_numpy(), got.column("n").to_numpy()
+    low = []
+    for k in (0, 1):
+        total = np.bincount(node & ((1 << 8 * (k + 1)) - 1), weights=n, minlength=1 << 8 * (k + 1))
+        at = np.flatnonzero(total)
+        low.append((at.astype(np.uint64), total[at]))
+    return Low([*low, (node.astype(np.uint64), n)])
 
 
 def frequent(counted: DataFrame, s: Settings) -> tuple[Lookup, np.ndarray]:
@@ -205,7 +241,7 @@ def looked_up(wanted: DataFrame, counted: DataFrame, s: Settings) -> DataFrame:
     def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
         codes = asked.column("gram").to_numpy().astype(np.uint64)
         gram, n = own.column("gram").to_numpy().astype(np.uint64), own.column("n").to_numpy()
-        logs = Ppm([*shared.value, *(level(gram, n, k) for k in range(3, s.order + 1))])._logs(codes) if len(codes) else np.zeros(0)
+        logs = Ppm([*shared.value.levels, *(level(gram, n, k) for k in range(3, s.order + 1))])._logs(codes) if len(codes) else np.zeros(0)
         return pa.table({"gram": asked.column("gram"), "log": pa.array(logs, pa.float64())})
 
     return dealt(wanted.select("gram").distinct()).groupBy("part").cogroup(dealt(known).groupBy("part")).applyInArrow(answer, "gram long, log double")
@@ -227,7 +263,7 @@ def _words(table: pa.Table) -> pa.Table:
     return pa.table({"split": pa.array([split] * len(tokens), pa.int64()), "token": pa.array(tokens, pa.binary()), "n": pa.array([*known.values(), *[0] * len(other)], pa.int64())})
 
 
-RESULT = "doc_id long, place long, held_out boolean, n_tokens long, n_known long, logs double, part_score double, words long, rare array<struct<gram: bigint, times: bigint>>"
+RESULT = "doc_id long, place long, held_out boolean, n_tokens long, n_known long, logs double, part_score double, rare array<struct<gram: bigint, times: bigint>>"
 
 
 def _summed(table: Lookup, log: np.ndarray, texts: list[bytes], s: Settings) -> tuple[np.ndarray, list]:
@@ -262,20 +298,22 @@ def _scored(shared, s: Settings):
             known.append(int((each > never).sum()))
             logs.append(float(each.sum()))
         del log
-        more = int(counts.column("first").to_numpy(zero_copy_only=False).sum())
         score, rare = _summed(*shared.value, texts, s)
-        return pa.table({"doc_id": docs.column("doc_id"), "place": docs.column("place"), "held_out": docs.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "logs": pa.array(logs, pa.float64()), "part_score": pa.array(score, pa.float64()), "words": pa.array([more] + [0] * (len(n) - 1) if n else [], pa.int64()), "rare": pa.array(rare, pa.list_(pa.struct([("gram", pa.int64()), ("times", pa.int64())])))})
+        return pa.table({"doc_id": docs.column("doc_id"), "place": docs.column("place"), "held_out": docs.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "logs": pa.array(logs, pa.float64()), "part_score": pa.array(score, pa.float64()), "rare": pa.array(rare, pa.list_(pa.struct([("gram", pa.int64()), ("times", pa.int64())])))})
 
     return run
 
 
 def report(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of each text; null text is empty.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) for each row of docs.
+
+    Null text is empty; an empty text has its end alone. Learns from the documents outside the held-out fold; a null
+    doc_id is in no fold, so it is learned from; repeated rows count each. Other columns of docs don't matter. An
+    empty table gives no rows.
 
-    Learns from the documents outside the held-out fold; a null doc_id is in no fold, so it is learned from.
     Every split of about split_bytes of text meets the counts of its own distinct tokens only, so the
     vocabulary is never broadcast and no split grows with it; one shuffle carries the texts, one the
-    distinct tokens of the splits, and one takes their counts back. Rare grams are looked up once each,
+    distinct tokens of the splits summed by token, and one takes these sums back. Rare grams are looked up once each,
     their documents meet the answers in a join, and each document's are summed before they are shuffled.
     """
     s = settings or Settings()
@@ -287,16 +325,17 @@ def report(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     train_tokens = (counted.where("gram = -1").agg(F.sum("n")).first() or [0])[0] or 0
     shared = spark.sparkContext.broadcast(frequent(counted, s))
     placed = rows.withColumn("place", F.xxhash64("doc_id", "text"))
-    parts = placed.withColumn("split", F.pmod("place", F.lit(n)).cast("long")).repartition(n, "split")
+    parts = placed.withColumn("split", F.pmod("place", F.lit(n)).cast("long")).repartition(min(n, s.most_parts), "split")
     tokens = parts.groupBy("split").applyInArrow(_words, "split long, token binary, n long")
-    same = W.partitionBy("token")
-    counts = tokens.select("split", "token", F.sum("n").over(same).alias("c"), F.row_number().over(same.orderBy("split")).alias("r")).select("split", "token", "c", ((F.col("r") == 1) & (F.col("c") > 0)).alias("first"))
+    tokens = save(tokens, "ppm-tokens")
+    totals = save(tokens.groupBy("token").agg(F.sum("n").alias("c")), "ppm-totals")
+    words = totals.where("c > 0").count()
+    counts = tokens.select("split", "token").join(totals, "token")
     out = save(parts.groupBy("split").cogroup(counts.groupBy("split")).applyInArrow(_scored(shared, s), RESULT), "ppm-scores")
     rare = out.select("doc_id", "place", F.posexplode("rare").alias("i", "r")).select("doc_id", "place", "i", "r.gram", "r.times")
     copies = F.count(F.when(F.col("i") == 0, 1))
     rest = (F.sum(F.col("log") * F.col("times")) / copies).alias("rest")
     answers = rare.join(looked_up(rare, counted, s), "gram").groupBy(F.col("doc_id").alias("d"), F.col("place").alias("p")).agg(rest)
-    words = out.agg(F.sum("words")).first()[0] or 0
     base = F.col("logs") - F.col("n_tokens") * float(np.log10(train_tokens + 0.5 * (words + 1)))
     score = F.col("part_score") + F.coalesce(F.col("rest"), F.lit(0.0))
     joined = out.drop("rare").join(answers, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("place") == F.col("p")), "left")

@@ -86,3 +86,15 @@ def test_odd_rows_and_parts(spark):
         assert all(math.isfinite(r["score"]) and r["score"] <= 0 for r in got)
     assert scores[0] == scores[1] == scores[2]
     assert P.report(df.limit(0)).collect() == []
+
+
+def test_dominant_token_and_few_partitions(spark):
+    """One token is most of the text and in every split; many splits share two partitions."""
+    rows = [(i, "the " * 300 + f"word{i % 7} end{i}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    small = P.Settings(split_bytes=2_000, most_parts=2, part_grams=20, frequent=5)
+    got, want = (sorted(((r["doc_id"], round(r["base_score"], 6), round(r["score"], 6)) for r in P.report(df, s).collect())) for s in (small, P.Settings()))
+    assert got == want
+    assert sorted(((*r[:5], round(r[5], 6)) for r in P.report(df, small).collect()), key=str) == slow_base(rows)
+    plan = P.report(df, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
