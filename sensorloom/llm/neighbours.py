@@ -22,20 +22,22 @@ from sensorloom.llm.common import sampled, save
 class Settings:
     """sample_rows bounds what the tree is fitted on, most_leaves the tree, calibrating the queries of the calibration.
 
-    leaf_rows: rows that a leaf should have; block_rows and block_queries: what is compared at once, rows of
-    several leaves that lie side by side, or a part of those of a large leaf.
+    leaf_rows: rows that a leaf should have. block_rows: vectors that a task holds at once, of several leaves that lie
+    side by side, or a part of those of a large leaf. Queries stream past a block; only beyond block_queries of
+    them is it copied, so that others take a part. at_once: queries compared at once.
     """
 
     k: int = 5
-    recall: float = 0.97
+    recall: float = 0.95
     sample_rows: int = 20_000
     leaf_rows: int = 200
     most_leaves: int = 4_096
     branch: int = 8
     rounds: int = 8
-    calibrating: int = 100
-    block_rows: int = 4_096
-    block_queries: int = 1_024
+    calibrating: int = 200
+    block_rows: int = 2_048
+    block_queries: int = 65_536
+    at_once: int = 1_024
     seed: int = 9
 
 
@@ -215,11 +217,13 @@ def open_leaves(leaves: pa.Array, leaf: np.ndarray) -> np.ndarray:
 def search(rows: DataFrame, is_query, settings: Settings | None = None, column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score (cosine) of the k nearest rows of each query, its own id left out.
 
-    rows: vec_id and the vector; is_query: a condition on vec_id. All rows are indexed and all queries
-    answered; only the fit of the tree and the calibration use bounded samples. Leaves side by side make
-    a shard; a query goes once to each shard where it opens a leaf and gets at most k rows from each of
-    its blocks. A leaf of very many equal vectors is many blocks, so many tasks. A vec_id given twice
-    is two candidates, as a query the smaller of its vectors. No rows give no result.
+    rows: vec_id, the vector and any other columns; is_query: a condition on vec_id. All rows are indexed and all
+    queries answered; only the fit of the tree and the calibration use bounded samples. Leaves side by side make
+    a shard; a query goes once to each block of a shard where it opens a leaf and gets at most k rows from it.
+    A leaf of very many equal vectors is many blocks, so many tasks. Equal scores: the smaller vec_id first.
+    Vectors null, zero, with null or non-finite components, or of another length than most (see `usable`), and rows
+    without vec_id take no part. A vec_id given twice is two candidates, as a query the smaller of its vectors.
+    An empty table gives no rows.
     """
     s = settings or Settings()
     spark = rows.sparkSession
@@ -256,7 +260,7 @@ def search(rows: DataFrame, is_query, settings: Settings | None = None, column:
                 leaves += opened.values()
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int32())), batch.column(1).take(pa.array(row, pa.int32())), pa.array(at, pa.int64()), pa.array(leaves, pa.list_(pa.int32()))], names=["query_id", "q", "shard", "leaves"])
 
-    dealt = queries.repartition(int(queries.count() // s.block_queries) * 4 + 4, "vec_id")
+    dealt = queries.repartition(int(queries.count() // s.at_once) + 4, "vec_id")
     asked = save(dealt.mapInArrow(walked, "query_id long, q array<double>, shard long, leaves array<int>"), "ann-visits")
     loads = {r["shard"]: r["count"] for r in asked.groupBy("shard").count().collect()}
     rows_in = {int(x): int(sizes[shard == x].sum()) for x in np.unique(shard)}
@@ -265,16 +269,33 @@ def search(rows: DataFrame, is_query, settings: Settings | None = None, column:
     of_leaf = F.broadcast(spark.createDataFrame([(n, int(x), *plan[int(x)]) for n, x in enumerate(shard)], "leaf int, shard long, blocks int, groups int"))
     of_shard = F.broadcast(spark.createDataFrame([(x, *y) for x, y in plan.items()], "shard long, blocks int, groups int"))
     deal = lambda df, key, own, other: df.where("blocks > 0 AND groups > 0").withColumn(own[0], F.pmod(F.xxhash64(key), F.col(own[1])).cast("int")).withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other[1]) - 1))).drop("blocks", "groups")
-    left = deal(index.join(of_leaf, "leaf"), "vec_id", ("b", "blocks"), ("g", "groups"))
-    right = deal(asked.join(of_shard, "shard"), "query_id", ("g", "groups"), ("b", "blocks"))
-
-    def compare(key, vectors: pa.Table, asking: pa.Table) -> pa.Table:
-        if vectors.num_rows and asking.num_rows:
-            ids, own = vectors.column("vec_id").to_numpy(), asking.column("query_id").to_numpy()
-            visited = open_leaves(asking.column("leaves"), vectors.column("leaf").to_numpy())
-            q, v, score = best(matrix(asking.column("q")), ids, matrix(vectors.column("v")), own, s.k, visited)
-            return pa.table({"query_id": own[q], "vec_id": ids[v], "score": score})
-        return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-
-    found = left.groupBy("shard", "b", "g").cogroup(right.groupBy("shard", "b", "g")).applyInArrow(compare, "query_id long, vec_id long, score double")
-    return top(found, s.k).select("query_id", "rank", "vec_id", "score")
+    left = deal(index.join(of_leaf, "leaf"), "vec_id", ("b", "blocks"), ("g", "groups")).selectExpr("shard", "b", "g", "false AS asks", "vec_id AS id", "v", "array(leaf) AS leaves")
+    right = deal(asked.join(of_shard, "shard"), "query_id", ("g", "groups"), ("b", "blocks")).selectExpr("shard", "b", "g", "true AS asks", "query_id AS id", "q AS v", "leaves")
+    together = left.union(right).repartition("shard", "b", "g").sortWithinPartitions("shard", "b", "g", "asks", "id")
+    return top(together.mapInArrow(_compared(s), "query_id long, vec_id long, score double"), s.k).select("query_id", "rank", "vec_id", "score")
+
+
+def _compared(s: Settings):
+    """Rows sorted by block, its vectors before the queries: one block is held while its queries stream by."""
+
+    def run(batches):
+        block, vectors, held = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
+            edge = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip(np.append(0, edge), np.append(edge, len(keys))) if len(keys) else ():
+                if block != tuple(keys[a, :3]):
+                    block, vectors, held = tuple(keys[a, :3]), [], None
+                part = batch.slice(a, b - a)
+                if not keys[a, 3]:
+                    vectors.append((part.column(4).to_numpy(), matrix(part.column(5)), part.column(6).flatten().to_numpy()))
+                elif vectors:
+                    held = held or tuple(np.concatenate(x) for x in zip(*vectors))
+                    ids, x, leaf = held
+                    for i in range(0, part.num_rows, s.at_once):
+                        some = part.slice(i, s.at_once)
+                        own = some.column(4).to_numpy()
+                        q, v, score = best(matrix(some.column(5)), ids, x, own, s.k, open_leaves(some.column(6), leaf))
+                        yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(ids[v]), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    return run

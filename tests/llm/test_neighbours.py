@@ -36,7 +36,7 @@ def test_odd_rows_and_ties(spark):
     rows = [(i, r.normal(size=6).tolist()) for i in range(300)] + [(1000 + i, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(700)]
     bad = [(2000, None), (2050, [0.0] * 6), (2100, [1.0, float("nan"), 1.0, 1.0, 1.0, 1.0]), (2150, [float("inf")] * 6), (2200, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (2250, [1.0, 2.0]), (None, [1.0] * 6)]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows + bad], "vec_id long, embedding array<float>, leaf string, rank int")
-    s = N.Settings(recall=1.0, leaf_rows=50, block_rows=64, block_queries=3)
+    s = N.Settings(recall=1.0, leaf_rows=50, block_rows=64, block_queries=3, at_once=2)
     got = N.search(df, "vec_id % 50 = 0", s).collect()
     x = [(i, np.float32(v).tolist()) for i, v in rows]
     want = slow(x, [i for i, _ in rows if i % 50 == 0])
@@ -54,3 +54,23 @@ def test_few_and_no_rows(spark):
     assert sorted(map(tuple, N.search(df, "vec_id = 0").select("rank", "vec_id").collect())) == [(1, 1), (2, 2)]
     assert N.search(df.limit(0), "vec_id = 0").collect() == []
     assert N.search(df.where("vec_id = 0"), "vec_id = 0").collect() == []
+
+
+def test_clustered_vectors_need_few_leaves(spark):
+    """Recall against brute force on clustered vectors, with a tenth of the leaves opened or fewer."""
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(60, 16))
+    x = [(i, (centres[i % 60] + 0.15 * r.normal(size=16)).tolist()) for i in range(6_000)]
+    df = spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    s = N.Settings(leaf_rows=50)
+    seen = []
+    calibrated = N.calibrated
+    try:
+        N.calibrated = lambda tree, *more: seen.append((calibrated(tree, *more), tree.leaves)) or seen[-1][0]
+        got = N.search(df, "vec_id % 50 = 0", s).collect()
+    finally:
+        N.calibrated = calibrated
+    want = slow(x, [i for i, _ in x if i % 50 == 0])
+    hit = sum(len({g["vec_id"] for g in got if g["query_id"] == q} & {i for i, _ in near}) for q, near in want.items())
+    print("recall", hit / (5 * len(want)), "leaves opened, all", seen)
+    assert hit >= 0.9 * 5 * len(want) and seen[0][0] <= 0.1 * seen[0][1]
