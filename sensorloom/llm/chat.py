@@ -31,7 +31,8 @@ def examples(turns: DataFrame, trainable: str = "assistant") -> DataFrame:
     with one has a last example with all its turns and nothing trainable, so no turn is lost. Rows come
     in the order of turn, then role, then text, nulls first; null roles and texts are empty. Rows with
     null conv_id are one conversation. Examples repeat their context, so the output of a conversation
-    grows with the square of its turns; it is made after the one shuffle and is never shuffled.
+    grows with the square of its turns; it is made after the one shuffle and is never shuffled. Repeated rows are
+    turns each; other columns don't matter. An empty table gives no rows.
     """
     filled = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = filled.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))

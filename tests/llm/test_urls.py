@@ -48,3 +48,39 @@ def test_odd_urls(spark):
                 host, path, rule, verdict = slow(odd[r["page_id"]])
                 assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] in ({verdict} if verdict else {"allow", "block"})
     assert U.filtered(df.limit(0), labels).collect() == []
+
+
+def test_many_rules(spark):
+    """A table of 3,000 rules and odd hosts: the longest that fits, of equal ones the first; the plan has no CASE for each."""
+    rules = [("block" if i % 2 else "allow", f"h{i % 700}.{'com' if i % 3 else 'net'}", f"/p{i % 11}") for i in range(2_998)] + [("allow", "com", ""), ("block", "h5.com", "/p5")]
+    urls = [f"http://{sub}h{i}.{'com' if i % 2 else 'net'}/p{i % 13}/x" for i in range(0, 900, 7) for sub in ("", "a.", "a.b.", "x")] + ["http:///p1", "http://.com/", "http://com./p"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame([(*r, i) for i, r in enumerate(rules)], "what string, host string, path string, place int")
+    labels = spark.createDataFrame([], "url string, label int")
+    for most in (100_000, 0):
+        got = {r["page_id"]: r for r in U.filtered(pages, labels, table, U.Settings(most_rows=most)).collect()}
+        for i, url in enumerate(urls):
+            host, path = slow(url)[:2]
+            best = None
+            for what, h, p in rules:
+                if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or len(h + p) > len(best[0])):
+                    best = (h + p, what)
+            assert (got[i]["rule"], got[i]["verdict"]) == (best or (None, "allow")), url
+
+
+def test_unseen_hosts(spark):
+    """Fitted on some hosts, judged on others."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    host, _ = U.host_and_path(pages["url"])
+    labelled = U.labelled_by_terms(pages).withColumn("far", U.UrlModel._fold(host, U.Settings()) == 0)
+    model = U.UrlModel(labelled.where("NOT far"), U.Settings())
+    got = model.judged(U.with_features(labelled.where("far"))).selectExpr("label", "score >= 0.5 AS block").collect()
+    right = sum(r["block"] == bool(r["label"]) for r in got) / len(got)
+    print("unseen hosts", len(got), right, "blocked of all", sum(r["label"] for r in got) / len(got))
+    assert right > 0.85
+
+
+def test_repeated_urls_do_not_fill_the_sample(spark):
+    rows = [("http://casino-x.com/a", 1)] * 5_000 + [(f"http://site{i}.org/{i}", 0) for i in range(40)] + [(f"http://pills{i}.net/{i}", 1) for i in range(40)]
+    model = U.UrlModel(spark.createDataFrame(rows, "url string, label int"), U.Settings(sample_rows=60))
+    assert model.model is not None
