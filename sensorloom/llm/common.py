@@ -52,7 +52,7 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder; bounds the session's Arrow batches if nothing does."""
     if spark.conf.get(BATCH_BYTES, None) in (None, str(2**31 - 1)):
-        spark.conf.set(BATCH_BYTES, str(64 << 20))
+        spark.conf.set(BATCH_BYTES, str(16 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -143,7 +143,7 @@ def letter_words(text: str) -> list[str]:
     return [w for x in found for w in ([x] if x.isalpha() else "".join(c if c.isalpha() else " " for c in x).split())]
 
 
-def chunks(texts: list, most_chars: int = 6_000_000):
+def chunks(texts: list, most_chars: int = 3_000_000):
     """Index ranges of consecutive texts of about so many characters: whole texts, at least one."""
     first = size = 0
     for i, t in enumerate(texts):
@@ -198,20 +198,19 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
-def with_added(docs: DataFrame, first: str, fill, run: Callable, added: dict[str, str], kind: str = "string") -> DataFrame:
-    """docs with columns made in Python from the column `first`, as this kind. run(column of a batch) gives the new columns.
+def with_added(docs: DataFrame, column: str, run: Callable, added: dict[str, str]) -> DataFrame:
+    """docs with columns made in Python from one of them. run(this column of a batch) gives the new ones.
 
     added: names and types of the new columns, which come last; a name that docs has gets underscores in front,
     so no column of docs is lost or replaced.
     """
     names = {n: free_name(docs, n) for n in added}
-    numbered_ = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    source = numbered_.columns[docs.columns.index(first)]
-    rows = numbered_.select(F.coalesce(F.col(source), fill).cast(kind).alias("text"), *numbered_.columns)
-    schema = T.StructType([*numbered_.schema.fields, *T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in added.items())).fields])
+    at = docs.columns.index(column)
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in added.items())).fields])
 
     def work(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *run(batch.column(0))], names=[*batch.schema.names[1:], *added])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *run(batch.column(at))], names=[*batch.schema.names, *added])
 
     return rows.mapInArrow(work, schema).toDF(*docs.columns, *names.values())

@@ -171,8 +171,8 @@ PAIRS, LONGS = pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64())
 
 def _scanned(automaton: SuffixAutomaton, column: pa.Array) -> tuple[list, list, list]:
     n_words, spans, items = [], [], []
-    for text in column:
-        words = words_of(text.as_py())
+    for text in column.cast(pa.binary()):
+        words = words_of(text.as_py() or b"")
         got, own = automaton.scan(words)
         n_words.append(len(words))
         spans.append([list(map(int, s)) for s in got])
@@ -226,7 +226,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
         def run(column):
             return [pa.array(x, t) for x, t in zip(_scanned(shared.value, column), (pa.int64(), PAIRS, LONGS))]
 
-        return with_added(docs, "text", F.lit(""), run, {"_words": "bigint", "_spans": "array<array<bigint>>", "_items": "array<bigint>"}, "binary")
+        return with_added(docs, "text", run, {"_words": "bigint", "_spans": "array<array<bigint>>", "_items": "array<bigint>"})
 
     def all_() -> Iterator[SuffixAutomaton]:
         yield first

@@ -287,7 +287,7 @@ def with_language(docs: DataFrame, model: Crf) -> DataFrame:
             score.append(got[1])
         return [pa.array(lang, pa.string()), pa.array(np.concatenate(score))]
 
-    return with_added(docs, "text", F.lit(""), run, {"_lang": "string", "_score": "double"})
+    return with_added(docs, "text", run, {"_lang": "string", "_score": "double"})
 
 
 def report(docs: DataFrame, settings: Settings | None = None) -> DataFrame:

@@ -195,7 +195,7 @@ def train(docs: DataFrame, settings: Settings | None = None) -> tuple[dict[int,
         def counted(batches):
             for batch in batches:
                 texts = batch.column(0).to_pylist()
-                for a, b in chunks(texts):
+                for a, b in chunks(texts, 1_000_000):
                     bucket, n = np.unique(features(texts[a:b], s.buckets)[1], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n)], names=["bucket", "n"])
 
@@ -205,7 +205,7 @@ def train(docs: DataFrame, settings: Settings | None = None) -> tuple[dict[int,
         def reduced(batches):
             for batch in batches:
                 texts = batch.column(1).to_pylist()
-                for a, b in chunks(texts):
+                for a, b in chunks(texts, 1_000_000):
                     doc, bucket, value, pattern = features(texts[a:b], s.buckets)
                     kept = np.isin(bucket, use)
                     edge = pa.array(np.searchsorted(doc[kept], np.arange(b - a + 1)), pa.int32())

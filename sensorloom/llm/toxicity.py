@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from sensorloom.llm.common import Words, chunks, coded, in_fold, letter_words, numbered, sampled, save, scratch, sums, with_added
 
 PREFIXES = (4, 5, 6, 7, 8)
+#: Characters of sampled texts whose terms are held at once.
+FIT_CHARS = 1_000_000
 
 
 @dataclass
@@ -219,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None,
         def counted(batches):
             for batch in batches:
                 texts, label = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-                for a, b in chunks(texts):
+                for a, b in chunks(texts, FIT_CHARS):
                     yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in term_counts(texts[a:b], label[a:b], s.buckets)], names=["bucket", "n", "a", "whole"])
 
         total = sample.select("text", "label").mapInArrow(counted, "bucket long, n long, a long, whole long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("whole").alias("whole"))
@@ -233,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None,
         def used(batches):
             for batch in batches:
                 texts = batch.column(1).to_pylist()
-                for a, b in chunks(texts):
+                for a, b in chunks(texts, FIT_CHARS):
                     kept = [(d[i], k[i], t[i]) for _, d, k, t in term_uses(texts[a:b], s.buckets) for i in [np.isin(k, wanted)]]
                     doc, bucket, times = (np.concatenate(x) for x in zip(*kept))
                     of = np.argsort(doc, kind="stable")
@@ -260,7 +262,7 @@ def with_scores(docs: DataFrame, model: FactorizationMachine, threshold: float =
         score = np.concatenate([np.zeros(0), *(shared.value.scores(texts[a:b]) for a, b in chunks(texts))])
         return [pa.array(score), pa.array((score >= threshold).astype(np.int32))]
 
-    return with_added(docs, "text", F.lit(""), run, {"_score": "double", "_predicted": "int"})
+    return with_added(docs, "text", run, {"_score": "double", "_predicted": "int"})
 
 
 def report(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
