@@ -8,7 +8,7 @@ import statistics
 import tempfile
 import time
 
-from sensorloom.operators import both_from_panes, lines_of_both, panes
+from sensorloom.operators import both_in_blocks, lines_of_both
 from sensorloom.plans import QUERIES
 from sensorloom.session import build_session
 from sensorloom.sources import read_text_events
@@ -43,7 +43,7 @@ def main() -> None:
 
             def full() -> None:
                 events = read_text_events(spark, f"{folder}/in")
-                lines_of_both(both_from_panes(panes(events))).write.mode("overwrite").text(f"{folder}/out")
+                lines_of_both(both_in_blocks(events)).write.mode("overwrite").text(f"{folder}/out")
 
             took, warm = timed(full, 1), timed(full)
         extra = {"text_to_text_events": rows, "text_to_text_sec": round(took, 2), "text_to_text_events_per_sec": round(rows / took), "text_to_text_warm_sec": round(warm, 2)}

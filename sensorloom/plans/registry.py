@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom import operators as O
-from sensorloom.session import utc
+from sensorloom.session import fresh_path, utc
 from sensorloom.sources import generate_events, parse_lines, read_events, read_table, stream_events
-from sensorloom.streaming import run_to_end
+from sensorloom.streaming import final_state, run_to_end, stream_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -170,6 +170,34 @@ add("stream_tumbling", lambda s, d: run_to_end(stream_events(s, d), O.tumbling_s
 add("stream_sliding", lambda s, d: run_to_end(stream_events(s, d), O.sliding_percentiles), ORACLE_SQL["sliding_percentiles"])
 
 
+def in_runs(parts: list[DataFrame], windows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The state after a stream has read the parts one after another, each in a run of its own, from one checkpoint."""
+    spark = parts[0].sparkSession
+    source, log, offsets = (fresh_path(spark, n) for n in ("stream-source", "window-log", "window-offsets"))
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        rows = spark.readStream.schema(part.schema).parquet(source)
+        stream_windows(rows, windows, log, offsets, compact_every=2).awaitTermination()
+    return final_state(spark, log).drop("flag")
+
+
+def stream_restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs over the events in the order of time: the state outlives a run."""
+    rows, cuts = read_events(spark, sf_dir), [F.to_timestamp(F.lit(f"2024-01-{d}T00:00:30Z")) for d in ("10", "20")]
+    return in_runs([rows.where(F.col("ts") < cuts[0]), rows.where((F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1])), rows.where(F.col("ts") >= cuts[1])], O.tumbling_stats)
+
+
+def stream_late_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later events first: those before them are behind the watermark when they come."""
+    rows, cut = read_events(spark, sf_dir), F.to_timestamp(F.lit("2024-01-10T00:00:00Z"))
+    return in_runs([rows.where(F.col("ts") >= cut), rows.where(F.col("ts") < cut)], O.tumbling_stats)
+
+
+NO_FLAG = TUMBLING_COLUMNS.removesuffix(", 'new' AS flag")
+add("stream_restarted", stream_restarted, tumbling_sql(60_000, NO_FLAG, "user_id"))
+add("stream_late_dropped", stream_late_dropped, tumbling_sql(60_000, NO_FLAG, "user_id").replace("WHERE ts IS NOT NULL", "WHERE ts >= TIMESTAMP '2024-01-10'"))
+
+
 def generated_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether generated events have what the generator promises, within four standard errors."""
     n = 100_000
