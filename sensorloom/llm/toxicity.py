@@ -14,6 +14,8 @@ from sensorloom.llm.common import Words, chunks, coded, in_fold, letter_words, n
 PREFIXES = (4, 5, 6, 7, 8)
 #: Characters of sampled texts whose terms are held at once.
 FIT_CHARS = 1_000_000
+#: Uses of terms that are placed in a matrix at once.
+PLACED = 500_000
 
 
 @dataclass
@@ -133,7 +135,7 @@ def pair_words(x: np.ndarray, y: np.ndarray, s: Settings) -> np.ndarray:
 
     The effect is the difference of log odds between the four cells of a pair, against its standard error.
     """
-    n, t = x.sum(axis=0, dtype=np.float64), (x * y[:, None].astype(np.float32)).sum(axis=0, dtype=np.float64)
+    n, t = (v.sum(axis=0, dtype=np.float64) for v in (x, x[y == 1]))
     best = np.zeros(x.shape[1])
     for a in range(0, x.shape[1], 128):
         block = x[:, a : a + 128].T
@@ -154,10 +156,13 @@ def pair_words(x: np.ndarray, y: np.ndarray, s: Settings) -> np.ndarray:
 def matrix(rows: int, doc: np.ndarray, bucket: np.ndarray, times: np.ndarray, columns: np.ndarray) -> np.ndarray:
     """Documents by these buckets."""
     order = np.argsort(columns)
-    at = np.minimum(np.searchsorted(columns[order], bucket), max(0, len(columns) - 1))
-    use = columns[order][at] == bucket if len(columns) else np.zeros(len(bucket), bool)
+    ordered = columns[order]
     x = np.zeros((rows, len(columns)), np.float32)
-    np.add.at(x, (doc[use], order[at[use]]), times[use])
+    for a in range(0, len(doc) if len(columns) else 0, PLACED):
+        d, b, t = (v[a : a + PLACED] for v in (doc, bucket, times))
+        at = np.minimum(np.searchsorted(ordered, b), len(columns) - 1)
+        use = ordered[at] == b
+        np.add.at(x, (d[use], order[at[use]]), t[use])
     return x
 
 
@@ -168,8 +173,10 @@ def learned(doc: np.ndarray, bucket: np.ndarray, times: np.ndarray, y: np.ndarra
     bias = float(np.log((rate + 1e-4) / (1 - rate + 1e-4)))
     if not 0 < rate < 1:
         return FactorizationMachine(s.buckets, bias, np.zeros(0, np.int64), np.zeros((0, s.rank + 2)))
-    paired = often[pair_words(np.minimum(matrix(len(y), doc, bucket, times, often), 1), y, s)]
+    x = matrix(len(y), doc, bucket, times, often)
+    paired = often[pair_words(np.minimum(x, 1, out=x), y, s)]
     chosen = np.sort(np.append(paired, apart[~np.isin(apart, paired)][: s.terms - len(paired)]))
+    del x
     x = matrix(len(y), doc, bucket, times, chosen)
     r = np.random.default_rng(s.seed)
     w = [np.array([bias]), np.zeros(len(chosen)), r.normal(0, 0.02, (len(chosen), s.rank))]
@@ -244,10 +251,11 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None,
                     yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], *lists], names=["_hash", "label", "bucket", "times"])
 
         rows = sample.mapInArrow(used, "_hash long, label int, bucket array<int>, times array<int>").toArrow().sort_by("_hash")
-        lists = rows.column("bucket").combine_chunks()
-        flat = [x.flatten().to_numpy().astype(np.int64) for x in (lists, rows.column("times").combine_chunks())]
-        doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-        return learned(doc, *flat, rows.column("label").to_numpy(), apart, often, s)
+        label, lists = rows.column("label").to_numpy(), rows.column("bucket").combine_chunks()
+        doc = np.repeat(np.arange(len(lists), dtype=np.int32), lists.value_lengths().to_numpy())
+        bucket, times = (x.flatten().to_numpy() for x in (lists, rows.column("times").combine_chunks()))
+        del rows, lists
+        return learned(doc, bucket, times, label, apart, often, s)
 
 
 def with_scores(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.3) -> DataFrame:
