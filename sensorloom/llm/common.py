@@ -61,6 +61,12 @@ def in_fold(key: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def crc32_sql(key: str) -> str:
+    """The unsigned crc32 of a whole number's decimal text, in DuckDB's SQL, bit by bit with the reversed polynomial."""
+    bits = f"flatten(list_transform(string_split({key}::VARCHAR, ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce({bits}, lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384), 4294967295::BIGINT), 4294967295)"
+
+
 def binary(column: str = "text") -> Column:
     """UTF-8 bytes of a text column, empty for null."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary").alias(column)
