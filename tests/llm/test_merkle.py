@@ -78,7 +78,7 @@ def test_empty_table(spark):
 
 def test_crc32_in_sql():
     for x in (0, 7, 10, 128, 99999, 123456789, -5):
-        assert duckdb.sql(f"SELECT {crc32_sql(str(x) if x >= 0 else f'({x})')}").fetchone()[0] == zlib.crc32(str(x).encode())
+        assert duckdb.sql(f"SELECT {crc32_sql(str(x) if x >= 0 else f'({x})')}").fetchall()[0][0] == zlib.crc32(str(x).encode())
 
 
 def test_against_sql(spark):
