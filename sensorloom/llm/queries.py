@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import chat, decontaminate, language, merkle, mixing, neighbours, quality, scoring, toxicity, trie, urls
+from sensorloom.llm import chat, decontaminate, language, merkle, mixing, neighbours, quality, repeats, scoring, toxicity, trie, urls
 from sensorloom.llm.common import table
 from sensorloom.llm.simhash import near_duplicates
 
@@ -59,6 +59,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(table(spark, sf_dir, "conversations"))
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.report(table(spark, sf_dir, "conversations"))
 
@@ -67,5 +71,5 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_neighbours, op2_scoring, op3_mixing, op4_language, op5_quality, op6_toxicity, op7_decontaminate, op8_simhash, op9_urls, op10_chat, op12_trie, op13_merkle, decontaminated_texts)}
-ORACLE_SQL |= {"op3_mixing": mixing.sql(), "op7_decontaminate": decontaminate.SQL, "op10_chat": chat.SQL, "op12_trie": trie.SQL, "op13_merkle": merkle.SQL, "decontaminated_texts": decontaminate.CLEANED_SQL}
+QUERIES |= {f.__name__: f for f in (op1_neighbours, op2_scoring, op3_mixing, op4_language, op5_quality, op6_toxicity, op7_decontaminate, op8_simhash, op9_urls, op10_chat, op11_repeats, op12_trie, op13_merkle, decontaminated_texts)}
+ORACLE_SQL |= {"op3_mixing": mixing.sql(), "op7_decontaminate": decontaminate.SQL, "op10_chat": chat.SQL, "op11_repeats": repeats.SQL, "op12_trie": trie.SQL, "op13_merkle": merkle.SQL, "decontaminated_texts": decontaminate.CLEANED_SQL}
