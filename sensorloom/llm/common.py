@@ -150,13 +150,14 @@ def letter_words(text: str) -> list[str]:
 
 
 def chunks(texts: list, most_chars: int = 3_000_000):
-    """Index ranges of consecutive texts of about so many characters: whole texts, at least one."""
+    """Index ranges of consecutive texts, or of their sizes, of about so many characters: whole texts, at least one."""
     first = size = 0
     for i, t in enumerate(texts):
-        if i > first and size + len(t or "") > most_chars:
+        own = t if isinstance(t, int) else len(t or "")
+        if i > first and size + own > most_chars:
             yield first, i
             first, size = i, 0
-        size += len(t or "")
+        size += own
     if first < len(texts):
         yield first, len(texts)
 

@@ -12,6 +12,7 @@ What many documents share is resolved before it moves: a batch of documents send
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,15 +23,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorloom.llm.common import binary, free_name, mixed
+from sensorloom.llm.common import binary, chunks, free_name, mixed
 
 
 @dataclass(frozen=True)
 class Settings:
-    """size: words of a window. gram: words of the grams that choose a bucket. bucket_bytes: text for one bucket, of which there are `buckets` at least."""
+    """size: words of a window. gram: words of the grams that choose a bucket. batch_bytes: whole texts of about so many bytes are
+    hashed at once. bucket_bytes: text for one bucket, of which there are `buckets` at least."""
 
     size: int = 13
     gram: int = 5
+    batch_bytes: int = 6 << 20
     bucket_bytes: int = 8 << 20
     buckets: int = 256
 
@@ -39,7 +42,7 @@ class WordHashes(dict):
     """XXH64 of words, kept for those seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word, 11)
         return h
@@ -74,9 +77,9 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[: max(0, len(x) - rest)], x[rest:]) if rest else x
 
 
-def windows(texts: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(texts: Iterable[bytes], count: int, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document, place, hash and bucket hash of every window of the texts."""
-    parts, lengths = [], np.zeros(len(texts), np.int64)
+    parts, lengths = [], np.zeros(count, np.int64)
     for i, t in enumerate(texts):
         words = t.split()
         lengths[i] = len(words)
@@ -84,7 +87,7 @@ def windows(texts: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray, np
     h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     edges = rolled(h, s.size)
     least = sliding_min(rolled(h, s.gram), s.size - s.gram + 1)
-    doc = np.repeat(np.arange(len(texts)), lengths)[: len(edges)]
+    doc = np.repeat(np.arange(count, dtype=np.int32), lengths)[: len(edges)]
     place = np.arange(len(edges)) - (np.cumsum(lengths) - lengths)[doc]
     own = np.flatnonzero(place + s.size <= lengths[doc])
     return doc[own], place[own], edges[own], mixed(least[own])
@@ -150,27 +153,31 @@ def _dealt(s: Settings, buckets: int):
         for batch in batches:
             ids, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             _, once = np.unique(np.stack([ids, hashes]), axis=1, return_index=True)  # sorted by doc_id
-            texts = batch.column(2)
-            doc, place, edges, least = windows([texts[i].as_py() for i in once.tolist()], s)
-            doc_id, h = ids[once][doc], hashes[once][doc]
-            first = first_of_each(edges, doc_id)
-            repeated = doc_id > doc_id[first]
-            r, f, rows = np.flatnonzero(repeated), first[repeated], []
-            if len(r):
-                rows.append((int(mixed(edges[r[:1]])[0] % np.uint64(buckets)), packed(*pieces(doc_id[r], h[r], place[r], doc_id[f], place[f])), None, None))
-            left = np.flatnonzero(~repeated)
-            bucket = (least[left] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            left, bucket = left[order], bucket[order]
-            step, own = np.arange(len(left)), doc[left]
-            run_at = starts_of(bucket, own, place[left] - step)
-            runs = [doc_id[left][run_at], h[left][run_at], place[left][run_at], lengths_of(run_at, len(left))]
-            cut = starts_of(bucket[run_at])
-            for a, b in zip(cut, [*cut[1:], len(run_at)]):
-                i, j = run_at[a], run_at[b] if b < len(run_at) else len(left)
-                rows.append((int(bucket[i]), None, packed(*(c[a:b] for c in runs)), edges[left[i:j]].tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "pieces", "runs", "edges"])
+            texts = batch.column(2).take(pa.array(once))
+            for a, b in chunks([len(t.as_buffer()) for t in texts], s.batch_bytes):
+                rows = dealt(ids[once[a:b]], hashes[once[a:b]], texts[a:b])
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "pieces", "runs", "edges"])
+
+    def dealt(ids, hashes, texts) -> list[tuple]:
+        doc, place, edges, least = windows((t.as_py() for t in texts), len(texts), s)
+        doc_id, h, rows = ids[doc], hashes[doc], []
+        first = first_of_each(edges, doc_id)
+        repeated = doc_id > doc_id[first]
+        r, f = np.flatnonzero(repeated), first[repeated]
+        if len(r):
+            rows.append((int(mixed(edges[r[:1]])[0] % np.uint64(buckets)), packed(*pieces(doc_id[r], h[r], place[r], doc_id[f], place[f])), None, None))
+        left = np.flatnonzero(~repeated)
+        bucket = (least[left] % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        left, bucket = left[order], bucket[order]
+        run_at = starts_of(bucket, doc[left], place[left] - np.arange(len(left)))
+        runs = [doc_id[left][run_at], h[left][run_at], place[left][run_at], lengths_of(run_at, len(left))]
+        cut = starts_of(bucket[run_at])
+        for a, b in zip(cut, [*cut[1:], len(run_at)]):
+            i, j = run_at[a], run_at[b] if b < len(run_at) else len(left)
+            rows.append((int(bucket[i]), None, packed(*(c[a:b] for c in runs)), edges[left[i:j]].tobytes()))
+        return rows
 
     return run
 
