@@ -1,5 +1,6 @@
 from sensorloom.operators.combine import all_windows, numbered, ordered, same_rows, union_of_both
 from sensorloom.operators.render import lines_in_order, lines_of_both, sliding_lines, to_lines, tumbling_lines
-from sensorloom.operators.windows import assign_windows, both_from_panes, both_in_blocks, from_epoch, key_domain, pane_states, panes, ranked_counts, sliding_counted, sliding_from_panes, sliding_percentiles, sliding_percentiles_disc, tumbling_stats, within_horizon
+from sensorloom.operators.selection import cells_of, keyed, narrowed, ranked_counts
+from sensorloom.operators.windows import assign_windows, both_from_panes, both_in_blocks, from_epoch, key_domain, pane_states, panes, sliding_counted, sliding_from_panes, sliding_percentiles, sliding_percentiles_disc, tumbling_stats, within_horizon
 
-__all__ = ["all_windows", "assign_windows", "both_from_panes", "both_in_blocks", "from_epoch", "key_domain", "lines_in_order", "lines_of_both", "numbered", "ordered", "pane_states", "panes", "ranked_counts", "same_rows", "sliding_counted", "sliding_from_panes", "sliding_lines", "sliding_percentiles", "sliding_percentiles_disc", "to_lines", "tumbling_lines", "tumbling_stats", "union_of_both", "within_horizon"]
+__all__ = ["all_windows", "assign_windows", "both_from_panes", "both_in_blocks", "cells_of", "from_epoch", "key_domain", "keyed", "lines_in_order", "lines_of_both", "narrowed", "numbered", "ordered", "pane_states", "panes", "ranked_counts", "same_rows", "sliding_counted", "sliding_from_panes", "sliding_lines", "sliding_percentiles", "sliding_percentiles_disc", "to_lines", "tumbling_lines", "tumbling_stats", "union_of_both", "within_horizon"]

@@ -11,10 +11,10 @@ from __future__ import annotations
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sensorloom.functions import exact_avg, nearest_rank, rounded_mean, scale_of, sorted_values
+from sensorloom.operators.selection import ranked_counts
 
 MINUTE, FIVE = "1 minute", "5 minutes"
 
@@ -146,23 +146,6 @@ def both_in_blocks(events: DataFrame, n: int = 5, slide_ms: int = 60_000, span:
     return _both(grouped, F.col("start") * slide_ms, scale)
 
 
-def ranked_counts(counted: DataFrame, keys: list[str]) -> DataFrame:
-    """Nearest-rank p50 and p99, and cnt, of each group of `keys` from rows of keys, value and c, how often it occurs.
-
-    The values may repeat. Running counts go over cells of 64 units first and then within the cells that hold
-    a rank, so a task gets a group's cells or one cell's distinct values, never a list of all values.
-    """
-    summed = counted.groupBy(*keys, "value").agg(F.sum("c").alias("c")).withColumn("cell", F.floor(F.col("value") / 64))
-    cells = summed.groupBy(*keys, "cell").agg(F.sum("c").alias("own"))
-    key = W.partitionBy(*keys)
-    below = cells.select("*", (F.sum("own").over(key.orderBy("cell").rowsBetween(W.unboundedPreceding, 0)) - F.col("own")).alias("below"), F.sum("own").over(key).alias("total"))
-    holds = [(F.col("below") * 100 < F.col("total") * p) & ((F.col("below") + F.col("own")) * 100 >= F.col("total") * p) for p in (50, 99)]
-    within = summed.join(below.where(holds[0] | holds[1]), [*keys, "cell"])
-    upto = within.select("*", (F.col("below") + F.sum("c").over(W.partitionBy(*keys, "cell").orderBy("value").rowsBetween(W.unboundedPreceding, 0))).alias("upto"))
-    at = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, F.col("value")))
-    return upto.groupBy(*keys).agg(at(50).alias("p50"), at(99).alias("p99"), F.max("total").alias("cnt"))
-
-
 def sliding_counted(events: DataFrame, n: int = 5, slide: str = MINUTE, slide_ms: int = 60_000) -> DataFrame:
     """Sliding percentiles from counts of distinct values (batch), for hot sensors.
 

@@ -137,6 +137,33 @@ def global_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("global_percentiles", global_percentiles, f"WITH {events_sql('event_type')} SELECT sensor_id, quantile_disc(v, 0.5)::DOUBLE AS p50, quantile_disc(v, 0.99)::DOUBLE AS p99 FROM e GROUP BY 1")
+NAN, INF = "CAST('NaN' AS DOUBLE)", "CAST('Infinity' AS DOUBLE)"
+#: The events as three groups of doubles: in [0, 1), up to 10^12, and with NaN and infinities.
+ANY_RANGE = {
+    "unit": "value * 7919 % 1000003 / 1000003",
+    "wide": "value * value * value * value",
+    "odd": f"CASE WHEN event_id % 5 = 0 THEN {NAN} WHEN event_id % 7 = 0 THEN {INF} WHEN event_id % 11 = 0 THEN -{INF} ELSE value - 50 END",
+}
+
+
+def percentiles_any_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact ranks whatever the range, as text with all digits that tell doubles apart."""
+    events = read_table(spark, sf_dir, "events").where("value IS NOT NULL")
+    rows = events.selectExpr("stack(3, " + ", ".join(f"'{k}', CAST({x} AS DOUBLE)" for k, x in ANY_RANGE.items()) + ") AS (sensor_id, value)")
+    found = O.ranked_counts(rows.groupBy("sensor_id", "value").agg(F.count("*").alias("c")), ["sensor_id"])
+    return found.select("sensor_id", *[F.when(F.isnan(c), "NaN").when(F.abs(c) == float("inf"), "inf").otherwise(F.format_string("%.12e", c)).alias(c) for c in ("p50", "p99")], "cnt")
+
+
+def _digits(x: str) -> str:
+    return f"CASE WHEN isnan({x}) THEN 'NaN' WHEN isinf({x}) THEN 'inf' ELSE printf('%.12e', {x}) END"
+
+
+add(
+    "percentiles_any_range",
+    percentiles_any_range,
+    "WITH e AS (" + " UNION ALL ".join(f"SELECT '{k}' AS sensor_id, ({x})::DOUBLE AS v FROM events WHERE value IS NOT NULL" for k, x in ANY_RANGE.items()) + ")"
+    f" SELECT sensor_id, {_digits('quantile_disc(v, 0.5)')} AS p50, {_digits('quantile_disc(v, 0.99)')} AS p99, count(*) AS cnt FROM e GROUP BY 1",
+)
 add(
     "pane_states",
     lambda s, d: O.pane_states(read_events(s, d, "event_type"), "1 hour"),
