@@ -138,7 +138,9 @@ def both_in_blocks(events: DataFrame, n: int = 5, slide_ms: int = 60_000, span:
     pane = F.floor(F.unix_millis("ts") / slide_ms)
     block = lambda x: F.floor(x / span)
     units = events.select("sensor_id", "value", _packed(F.col("value"), scale).alias("units"), pane.alias("pane"))
-    dealt = units.withColumn("block", F.explode(F.sequence(block(F.col("pane") - (n - 1)), block(F.col("pane"))))).repartition("sensor_id", "block")
+    # a number of its own: adaptive execution would merge small shuffles of events, though n times their rows follow in the same stage
+    shuffles = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = units.withColumn("block", F.explode(F.sequence(block(F.col("pane") - (n - 1)), block(F.col("pane"))))).repartition(shuffles, "sensor_id", "block")
     own = [F.count("*").alias("cnt"), F.sum("value").alias("sum_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value")]
     made = dealt.groupBy("sensor_id", "block", "pane").agg(*own, F.collect_list("units").alias("pane_values"))
     starts = made.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("start", F.col("pane") - F.col("k")).where(block(F.col("start")) == F.col("block"))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom import operators as O
+from sensorloom.functions import sensor_name
 from sensorloom.session import fresh_path, utc
-from sensorloom.sources import generate_events, parse_lines, read_events, read_table, stream_events
+from sensorloom.sources import as_events, generate_events, parse_lines, read_events, read_table, stream_events
 from sensorloom.streaming import final_state, run_to_end, stream_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +100,15 @@ add(
     lambda s, d: O.numbered(O.all_windows(QUERIES["tumbling_stats"](s, d), QUERIES["sliding_percentiles"](s, d))).select("position", "window_type", "window_start_ms", "sensor_id"),
     f"SELECT row_number() OVER (ORDER BY window_type, window_start_ms, sensor_id) AS position, window_type, window_start_ms, sensor_id FROM ({ALL_SQL})",
 )
+
+
+def with_hot_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events, of which every third is of one sensor."""
+    events = read_table(utc(spark), sf_dir, "events")
+    return as_events(events.withColumn("sensor", F.when(F.col("event_id") % 3 == 0, "sensor_hot").otherwise(sensor_name(F.col("user_id")))), "sensor")
+
+
+add("windows_by_heat", lambda s, d: O.windows_by_heat(with_hot_sensor(s, d)), ALL_SQL.replace("AS sensor_id, value::DECIMAL(18,2) AS v", "AS own_name, CASE WHEN event_id % 3 = 0 THEN 'sensor_hot' ELSE own_name END AS sensor_id, value::DECIMAL(18,2) AS v"))
 add("both_in_blocks_hourly", lambda s, d: O.union_of_both(O.both_in_blocks(read_events(s, d, "event_type"), 5, 3_600_000, 24)), ORACLE_SQL["all_windows_union_hourly"])
 
 
