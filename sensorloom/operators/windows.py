@@ -66,7 +66,7 @@ def sliding_percentiles(events: DataFrame, size: str = FIVE, slide: str = MINUTE
     """Exact nearest-rank p50 and p99: events are dealt to their windows, then one sorted array is indexed twice.
 
     For small or sparse data and streams: every event moves once for each of its windows, and a window's values of one
-    sensor are held in memory. both_in_blocks moves an event about once; for hot sensors use sliding_counted.
+    sensor are held in memory. sliding_in_blocks moves an event about once; for hot sensors use windows_by_heat.
     """
     grouped = events.groupBy(F.window("ts", size, slide).alias("w"), "sensor_id").agg(sorted_values(F.col("value")).alias("v"))
     return _ranked(grouped, start_ms(F.col("w")), F.col("v"))
@@ -127,13 +127,8 @@ def both_from_panes(pane_rows: DataFrame, n: int = 5, slide_ms: int = 60_000) ->
     return _both(grouped, F.col("start"), scale_of(pane_rows, "min_value"))
 
 
-def both_in_blocks(events: DataFrame, n: int = 5, slide_ms: int = 60_000, span: int = 60) -> DataFrame:
-    """The rows of both_from_panes from events, with one shuffle (batch).
-
-    Events are dealt to blocks of `span` windows of a sensor, the first n - 1 panes of a block to the one before too:
-    1 + (n - 1) / span copies move. Panes and windows are then made where a block's events are. A hot sensor is as
-    many groups as it has blocks; a block's values are held by one task, so for sensors with more use sliding_counted.
-    """
+def _grouped_in_blocks(events: DataFrame, n: int, slide_ms: int, span: int) -> DataFrame:
+    """sensor_id, block, start (in slides), v (a window's sorted values) and own, the statistics of its first pane; one shuffle."""
     scale = scale_of(events, "value")
     pane = F.floor(F.unix_millis("ts") / slide_ms)
     block = lambda x: F.floor(x / span)
@@ -144,8 +139,22 @@ def both_in_blocks(events: DataFrame, n: int = 5, slide_ms: int = 60_000, span:
     own = [F.count("*").alias("cnt"), F.sum("value").alias("sum_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value")]
     made = dealt.groupBy("sensor_id", "block", "pane").agg(*own, F.collect_list("units").alias("pane_values"))
     starts = made.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("start", F.col("pane") - F.col("k")).where(block(F.col("start")) == F.col("block"))
-    grouped = starts.groupBy("sensor_id", "block", "start").agg(F.sort_array(F.flatten(F.collect_list("pane_values"))).alias("v"), F.max(_own_stats(F.col("k"))).alias("own"))
-    return _both(grouped, F.col("start") * slide_ms, scale)
+    return starts.groupBy("sensor_id", "block", "start").agg(F.sort_array(F.flatten(F.collect_list("pane_values"))).alias("v"), F.max(_own_stats(F.col("k"))).alias("own"))
+
+
+def both_in_blocks(events: DataFrame, n: int = 5, slide_ms: int = 60_000, span: int = 60) -> DataFrame:
+    """The rows of both_from_panes from events, with one shuffle (batch).
+
+    Events are dealt to blocks of `span` windows of a sensor, the first n - 1 panes of a block to the one before too:
+    1 + (n - 1) / span copies move. Panes and windows are then made where a block's events are. A hot sensor is as
+    many groups as it has blocks; a block's values are held by one task, so for sensors with more use windows_by_heat.
+    """
+    return _both(_grouped_in_blocks(events, n, slide_ms, span), F.col("start") * slide_ms, scale_of(events, "value"))
+
+
+def sliding_in_blocks(events: DataFrame, n: int = 5, slide_ms: int = 60_000, span: int = 60) -> DataFrame:
+    """The rows of sliding_percentiles, moved as both_in_blocks moves them: about once instead of n times (batch)."""
+    return _ranked(_grouped_in_blocks(events, n, slide_ms, span).drop("own"), F.col("start") * slide_ms, F.col("v"), scale_of(events, "value"))
 
 
 def sliding_counted(events: DataFrame, n: int = 5, slide: str = MINUTE, slide_ms: int = 60_000) -> DataFrame:

@@ -63,11 +63,13 @@ for suffix, (key, size, wide, slide, ms) in GRAINS.items():
     if suffix:  # few keys, each with a large share of all rows
         S = lambda s, d, key=key, slide=slide, ms=ms: O.sliding_counted(read_events(s, d, key), 5, slide, ms)
     else:
-        S = lambda s, d, key=key, wide=wide, slide=slide: O.sliding_percentiles(read_events(s, d, key), wide, slide)
+        S = lambda s, d, key=key, ms=ms: O.sliding_in_blocks(read_events(s, d, key), 5, ms)
     both = lambda s, d, key=key, ms=ms: O.both_in_blocks(read_events(s, d, key), 5, ms)
     sliding = sliding_sql(ms, SLIDING_COLUMNS, key)
     add(f"tumbling_stats{suffix}", T, tumbling_sql(ms, TUMBLING_COLUMNS, key))
     add(f"sliding_percentiles{suffix}", S, sliding)
+    if not suffix:
+        add("sliding_dealt", lambda s, d, key=key, wide=wide, slide=slide: O.sliding_percentiles(read_events(s, d, key), wide, slide), sliding)
     add(f"sliding_percentiles_disc{suffix}", lambda s, d, key=key, wide=wide, slide=slide: O.sliding_percentiles_disc(read_events(s, d, key), wide, slide), sliding)
     add(f"sliding_from_panes{suffix}", lambda s, d, key=key, slide=slide, ms=ms: O.sliding_from_panes(O.panes(read_events(s, d, key), slide), 5, ms), sliding)
     add(f"sliding_counted{suffix}", lambda s, d, key=key, slide=slide, ms=ms: O.sliding_counted(read_events(s, d, key), 5, slide, ms), sliding)

@@ -42,7 +42,7 @@ def test_nearest_rank(spark, n):
 def test_all_sliding_forms_agree(spark):
     df = dense(spark)
     want = sorted(map(tuple, O.sliding_percentiles(df).collect()))
-    for other in (O.sliding_percentiles_disc(df), O.sliding_from_panes(O.panes(df)), O.sliding_counted(df), O.sliding_percentiles(df.repartition(7))):
+    for other in (O.sliding_in_blocks(df), O.sliding_percentiles_disc(df), O.sliding_from_panes(O.panes(df)), O.sliding_counted(df), O.sliding_percentiles(df.repartition(7))):
         assert sorted(map(tuple, other.collect())) == want
     assert O.same_rows(O.sliding_percentiles(df), O.sliding_counted(df))
 
@@ -124,7 +124,7 @@ def test_forms_agree_on_other_values(spark, kind):
     options = {"lenient": True} if kind == "double" else {"scale": 3}
     df = parse_lines(spark.createDataFrame([(x,) for x in rows], "value string"), **options)
     assert df.schema["value"].dataType.simpleString() == kind and df.count() == len(rows)
-    forms = [O.sliding_percentiles(df), O.sliding_from_panes(O.panes(df))] + [O.sliding_percentiles_disc(df), O.sliding_counted(df)]
+    forms = [O.sliding_percentiles(df), O.sliding_in_blocks(df), O.sliding_from_panes(O.panes(df))] + [O.sliding_percentiles_disc(df), O.sliding_counted(df)]
     want = lines(O.sliding_lines(forms[0]))
     assert all(lines(O.sliding_lines(f)) == want for f in forms)
     both = want + lines(O.tumbling_lines(O.tumbling_stats(df)))
