@@ -11,7 +11,7 @@ from sensorloom import operators as O
 from sensorloom.functions import sensor_name
 from sensorloom.session import fresh_path, utc
 from sensorloom.sources import as_events, generate_events, parse_lines, read_events, read_table, stream_events
-from sensorloom.streaming import final_state, run_to_end, stream_windows
+from sensorloom.streaming import changelog, corrected_windows, current_windows, final_state, run_panes, run_to_end, stream_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -237,6 +237,45 @@ add("stream_restarted", stream_restarted, tumbling_sql(60_000, NO_FLAG, "user_id
 add("stream_late_dropped", stream_late_dropped, tumbling_sql(60_000, NO_FLAG, "user_id").replace("WHERE ts IS NOT NULL", "WHERE ts >= TIMESTAMP '2024-01-10'"))
 
 
+def by_time(rows: DataFrame, *days: str) -> list[DataFrame]:
+    """The rows before the first of these times, between the first and the second, and so on."""
+    cuts = [F.to_timestamp(F.lit(f"2024-01-{d}T00:00:30Z")) for d in days]
+    lower, upper = [None, *cuts], [*cuts, None]
+    return [rows.where((F.lit(True) if a is None else F.col("ts") >= a) & (F.lit(True) if b is None else F.col("ts") < b)) for a, b in zip(lower, upper)]
+
+
+def stream_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both window kinds after three runs in the order of time: windows that have closed, once, and those that are open."""
+    return current_windows(spark, run_panes(by_time(read_events(spark, sf_dir), "10", "20")))
+
+
+def stream_late_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later events first; what comes behind the watermark is merged into the windows that had closed."""
+    first, second, third = by_time(read_events(spark, sf_dir), "10", "20")
+    return corrected_windows(spark, run_panes([second, first, third]))
+
+
+def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second event, then the others, with all windows open: each change of a window's values, with those before it."""
+    rows = [as_events(read_table(utc(spark), sf_dir, "events").where(F.col("event_id") % 2 == i)) for i in (0, 1)]
+    changes = changelog(spark, run_panes(rows, lateness_ms=100 * 86_400_000))
+    both = [F.col(f"{side}.{c}").cast("double").alias(f"{side}_{c}") for side in ("before", "after") for c in ("p50", "p99", "cnt", "sum_value")]
+    return changes.select("window_type", "window_start_ms", "sensor_id", "flag", *both)
+
+
+WITH_NO_FLAG = f"SELECT * EXCLUDE (flag) FROM ({ALL_SQL})"
+add("stream_panes", stream_panes, WITH_NO_FLAG)
+add("stream_late_corrected", stream_late_corrected, WITH_NO_FLAG)
+add(
+    "stream_changes",
+    stream_changes,
+    f"WITH first AS (SELECT * FROM ({ALL_SQL.replace('WHERE ts IS NOT NULL', 'WHERE event_id % 2 = 0 AND ts IS NOT NULL')})), whole AS (SELECT * FROM ({ALL_SQL})), r AS (SELECT 'new' AS flag, NULL::DOUBLE AS b50, NULL::DOUBLE AS b99, NULL::DOUBLE AS bc, NULL::DOUBLE AS bs, * EXCLUDE (flag) FROM first"
+    " UNION ALL SELECT CASE WHEN f.sensor_id IS NULL THEN 'new' ELSE 'updated' END, f.p50, f.p99, f.cnt, f.sum_value, w.* EXCLUDE (flag) FROM whole w LEFT JOIN first f USING (window_type, window_start_ms, sensor_id)"
+    " WHERE f.sensor_id IS NULL OR (f.p50, f.p99, f.cnt, f.sum_value, f.min_value, f.max_value, f.avg_value) IS DISTINCT FROM (w.p50, w.p99, w.cnt, w.sum_value, w.min_value, w.max_value, w.avg_value))"
+    " SELECT window_type, window_start_ms, sensor_id, flag, b50 AS before_p50, b99 AS before_p99, bc AS before_cnt, bs AS before_sum_value, p50 AS after_p50, p99 AS after_p99, cnt::DOUBLE AS after_cnt, sum_value AS after_sum_value FROM r",
+)
+
+
 def generated_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether generated events have what the generator promises, within four standard errors."""
     n = 100_000
