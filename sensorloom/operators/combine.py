@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sensorloom.operators.difference import difference
 from sensorloom.session import fresh_path
 
 #: Sliding before tumbling, then by start and sensor.
@@ -34,21 +35,26 @@ def ordered(windows: DataFrame) -> DataFrame:
     return windows.orderBy(*ORDER)
 
 
-def numbered(windows: DataFrame) -> DataFrame:
-    """The windows with `position`, from 1, in this order.
+def numbered(windows: DataFrame, weight: Column | None = None, name: str = "offset") -> DataFrame:
+    """The windows with `position`, from 1, in this order; with a weight, also the sum of those before, from 0, as `name`.
 
-    Ranges of the order are written with their number; each counts for itself and begins after those before it,
+    Ranges of the order are written with their number; each sums up for itself and begins after those before it,
     so no task sees more than its range.
     """
     path = fresh_path(windows.sparkSession, "window-ranges")
-    windows.repartitionByRange(*ORDER).withColumn("range", F.spark_partition_id()).write.parquet(path)
-    ranges = windows.sparkSession.read.parquet(path)
-    before = F.sum("count").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1))
-    starts = ranges.groupBy("range").count().select("range", F.coalesce(before, F.lit(0)).alias("before"))  # a row for each range
-    own = F.row_number().over(W.partitionBy("range").orderBy(*ORDER))
-    return ranges.join(F.broadcast(starts), "range").withColumn("position", F.col("before") + own).drop("range", "before")
+    weighed = windows if weight is None else windows.withColumn("weight", weight)
+    weighed.repartitionByRange(*ORDER).withColumn("range", F.spark_partition_id()).write.parquet(path)
+    ranges, sums = windows.sparkSession.read.parquet(path), {"position": F.count("*")} | ({} if weight is None else {name: F.sum("weight")})
+    whole = ranges.groupBy("range").agg(*[x.alias(f"{c}_own") for c, x in sums.items()])
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    starts = whole.select("range", *[F.coalesce(F.sum(f"{c}_own").over(before), F.lit(0)).alias(f"{c}_before") for c in sums])  # a row for each range
+    own = W.partitionBy("range").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)
+    placed = ranges.join(F.broadcast(starts), "range").withColumn("position", F.col("position_before") + F.count("*").over(own))
+    if weight is not None:
+        placed = placed.withColumn(name, F.col(f"{name}_before") + F.sum("weight").over(own) - F.col("weight")).drop("weight", f"{name}_before")
+    return placed.drop("range", "position_before")
 
 
 def same_rows(left: DataFrame, right: DataFrame) -> bool:
-    """Whether both hold the same rows as often."""
-    return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+    """Whether both hold the same rows as often; columns are matched by name. Only sums of hashes move, unless there is a difference."""
+    return sorted(left.columns) == sorted(right.columns) and difference(left, right, [left.columns[0]]).isEmpty()

@@ -49,7 +49,12 @@ def to_lines(tumbling: DataFrame, sliding: DataFrame) -> DataFrame:
     return sliding_lines(sliding).union(tumbling_lines(tumbling))
 
 
+def line_of(windows: DataFrame) -> Column:
+    """The line of a row of all_windows."""
+    flag = F.col("flag")
+    return F.when(F.col("window_type") == "sliding", _sliding(windows, flag)).otherwise(_tumbling(windows, flag))
+
+
 def lines_in_order(windows: DataFrame) -> DataFrame:
     """Lines of the rows of all_windows, in their order."""
-    flag = F.col("flag")
-    return windows.select(F.when(F.col("window_type") == "sliding", _sliding(windows, flag)).otherwise(_tumbling(windows, flag)).alias("line"))
+    return windows.select(line_of(windows).alias("line"))

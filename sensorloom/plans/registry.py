@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom import operators as O
-from sensorloom.functions import sensor_name
-from sensorloom.session import fresh_path, utc
-from sensorloom.sources import as_events, generate_events, parse_lines, read_events, read_table, stream_events
+from sensorloom.functions import exact_sums, sensor_name
+from sensorloom.functions.ordering import magnitude_bits
+from sensorloom.session import fresh_path, utc, written
+from sensorloom.sources import ParseMetrics, as_events, generate_events, parse_lines, read_events, read_table, stream_events
 from sensorloom.streaming import changelog, corrected_windows, current_windows, final_state, run_panes, run_to_end, stream_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,6 +140,26 @@ def tumbling_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DAY = "(epoch_us(ts) // 1000) // 86400000 * 86400000 AS window_start_ms"
 add("tumbling_doubles", tumbling_doubles, f"WITH {events_sql('user_id', 'value / 7')} SELECT {DAY}, sensor_id, count(*) AS cnt, round(sum(v), 6) AS sum_value, min(v) AS min_value, max(v) AS max_value, round(avg(v), 6) AS avg_value FROM e GROUP BY 1, 2")
+
+
+def tumbling_doubles_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, but the sums to the last bit, given as the bits of their IEEE form, all values being positive."""
+    day = F.unix_millis(F.window("ts", "1 day")["start"]).alias("window_start_ms")
+    rows = doubles(spark, sf_dir)
+    sums = exact_sums(rows.select("sensor_id", day, "value"), [F.col("window_start_ms"), F.col("sensor_id")])
+    return sums.select("window_start_ms", "sensor_id", "cnt", magnitude_bits(F.col("sum_value")).alias("sum_bits"), F.round("avg_value", 6).alias("avg_value"))
+
+
+# the sum in whole 2^-70, cut to 53 bits, ties to even; q * 2^r of it is the double
+add(
+    "tumbling_doubles_exact",
+    tumbling_doubles_exact,
+    f"""WITH {events_sql('user_id', 'value / 7')}, s AS (SELECT {DAY}, sensor_id, count(*) AS cnt, sum((v * 1180591620717411303424.0)::HUGEINT)::HUGEINT AS t, round(avg(v), 6) AS avg_value FROM e GROUP BY 1, 2),
+g AS (SELECT *, greatest(0, CASE WHEN t > 0 THEN floor(log2(t::DOUBLE))::BIGINT - 52 ELSE 0 END) AS about FROM s),
+r AS (SELECT *, CASE WHEN t // (2::HUGEINT ** about)::HUGEINT >= 9007199254740992 THEN about + 1 WHEN about > 0 AND t // (2::HUGEINT ** about)::HUGEINT < 4503599627370496 THEN about - 1 ELSE about END AS r FROM g),
+q AS (SELECT *, t // (2::HUGEINT ** r)::HUGEINT AS q, 2 * (t % (2::HUGEINT ** r)::HUGEINT) - (2::HUGEINT ** r)::HUGEINT AS more FROM r)
+SELECT window_start_ms, sensor_id, cnt, (CASE WHEN t = 0 THEN 0 ELSE (r - 70 + 52 + 1023) * 4503599627370496 + q - 4503599627370496 + CASE WHEN more > 0 OR more = 0 AND q % 2 = 1 THEN 1 ELSE 0 END END)::BIGINT AS sum_bits, avg_value FROM q""",
+)
 add("sliding_doubles", lambda s, d: O.sliding_from_panes(O.panes(doubles(s, d))).select("window_start_ms", "sensor_id", "cnt", "p50", "p99"), sliding_sql(60_000, "window_start_ms, sensor_id, cnt, q50 AS p50, q99 AS p99", "user_id").replace("value::DECIMAL(18,2)", "value / 7"))
 add("sliding_thousandths", lambda s, d: O.sliding_from_panes(O.panes(read_events(s, d, "event_type", scale=3), "1 hour"), 5, 3_600_000), sliding_sql(3_600_000, SLIDING_COLUMNS, "event_type").replace("DECIMAL(18,2)", "DECIMAL(18,3)"))
 
@@ -198,13 +219,55 @@ add(
 ODD_LINES = ["", "a,b", "2025-01-01T00:00:00Z,sensor_1", "2025-01-01T00:00:00Z,sensor_1,1.00,x", "2025-01-01,sensor_1,1.00", "2025-01-01T00:00:00,sensor_1,1.00", "2025-01-01T00:00:00Z,sensor_1,x", "2025-01-01T00:00:00Z,sensor_1,NaN", ",,", "2024-02-01T00:00:00.000Z,sensor_odd,1.50,,"]
 
 
-def parse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines_with_odd_ones(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read_events(spark, sf_dir).select(F.concat_ws(",", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "sensor_id", F.col("value").cast("string")).alias("value"))
-    odd = spark.createDataFrame([(x,) for x in ODD_LINES], "value string")
-    return parse_lines(lines.union(odd)).select(F.unix_millis("ts").alias("ts_ms"), "sensor_id", "value")
+    return lines.union(spark.createDataFrame([(x,) for x in ODD_LINES], "value string"))
+
+
+def parse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_lines(lines_with_odd_ones(spark, sf_dir)).select(F.unix_millis("ts").alias("ts_ms"), "sensor_id", "value")
 
 
 add("parse_roundtrip", parse_roundtrip, f"WITH {events_sql('user_id')} SELECT (epoch_us(ts) // 1000) AS ts_ms, sensor_id, v::DOUBLE AS value FROM e UNION ALL SELECT epoch_ms(TIMESTAMP '2024-02-01'), 'sensor_odd', 1.5")
+
+
+def parse_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the parse read and dropped, and why, counted while the tumbling windows are made from it."""
+    metrics = ParseMetrics()
+    written(O.tumbling_stats(parse_lines(lines_with_odd_ones(spark, sf_dir), metrics=metrics)), "parsed-windows")
+    return spark.createDataFrame([metrics.counts()], "lines long, not_three_fields long, no_instant long, no_number long, events long")
+
+
+add("parse_metrics", parse_metrics, f"WITH {events_sql('user_id')} SELECT count(*) + 10 AS lines, 5::BIGINT AS not_three_fields, 2::BIGINT AS no_instant, 2::BIGINT AS no_number, count(*) + 1 AS events FROM e")
+
+
+def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte at which each line begins in the text of all windows in order: sums over ranges, none of which is the whole."""
+    windows = O.union_of_both(O.both_in_blocks(read_events(spark, sf_dir)))
+    lines = windows.withColumn("line", O.line_of(windows))
+    return O.numbered(lines, F.octet_length("line") + 1).select("offset", "line")
+
+
+add(
+    "line_offsets",
+    line_offsets,
+    "SELECT (sum(strlen(line) + 1) OVER (ORDER BY kind, start, sensor ROWS UNBOUNDED PRECEDING) - strlen(line) - 1)::BIGINT AS \"offset\", line FROM"
+    f" (SELECT line, split_part(line, ',', 1) AS kind, split_part(line, ',', 2)::BIGINT AS start, split_part(line, ',', 3) AS sensor FROM ({ORACLE_SQL['rendered_lines']}))",
+)
+
+
+def changed_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs between the events and a copy with one row changed, one doubled and one missing."""
+    rows = read_table(utc(spark), sf_dir, "events").select("event_id", "user_id", "value")
+    copy = rows.where("event_id <> 7").withColumn("value", F.when(F.col("event_id") == 42, -1.0).otherwise(F.col("value"))).union(rows.where("event_id = 99"))
+    return O.difference(rows, copy, ["event_id"])
+
+
+add(
+    "difference",
+    changed_copy,
+    "SELECT event_id, user_id, value, 1::BIGINT AS times, 'left' AS side FROM events WHERE event_id IN (7, 42) UNION ALL SELECT event_id, user_id, CASE WHEN event_id = 42 THEN -1 ELSE value END, 1, 'right' FROM events WHERE event_id IN (42, 99)",
+)
 add("stream_tumbling", lambda s, d: run_to_end(stream_events(s, d), O.tumbling_stats), ORACLE_SQL["tumbling_stats"])
 add("stream_sliding", lambda s, d: run_to_end(stream_events(s, d), O.sliding_percentiles), ORACLE_SQL["sliding_percentiles"])
 

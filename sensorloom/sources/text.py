@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.session import utc
@@ -20,20 +20,40 @@ def instant(text: Column) -> Column:
     return F.when(text.rlike(INSTANT), F.try_to_timestamp(text))
 
 
-def parse_lines(lines: DataFrame, column: str = "value", scale: int = 2, lenient: bool = False) -> DataFrame:
+class ParseMetrics:
+    """Counts of one parse: lines, not_three_fields, no_instant, no_number (with an instant) and events, which add up to lines.
+
+    They are there after the first action on the parsed events, and come from its own pass over the text.
+    """
+
+    def __init__(self) -> None:
+        self.observations = Observation(), Observation()
+
+    def counts(self) -> dict[str, int]:
+        return self.observations[0].get | self.observations[1].get
+
+
+def parse_lines(lines: DataFrame, column: str = "value", scale: int = 2, lenient: bool = False, metrics: ParseMetrics | str | None = None) -> DataFrame:
     """Events of the lines with exactly three fields, a valid instant and a valid number.
 
     All other lines are dropped silently. Trailing empty fields don't count, so `a,b,c,` has three.
     Values have `scale` decimals, rounded half up; NaN and infinities are no values.
     lenient: DOUBLE values in any number format that Spark reads, NaN and infinities included.
+    metrics: counts what is read and dropped in the same pass, see ParseMetrics; a name, for streams: their progress has the
+    counts as <name>_lines and <name>_events.
     """
     line = F.rtrim(F.rtrim(F.col(column), F.lit("\r")), F.lit(","))
     kind = "double" if lenient else f"decimal(18,{scale})"
     # explode() of one value keeps filters above it, so a line is split and read once and not in each filter and column
     once = lambda x: F.explode(F.array(x))
-    fields = lines.select(once(F.split(line, ",", -1)).alias("f")).where(F.size("f") == 3)
+    first, second = metrics.observations if isinstance(metrics, ParseMetrics) else (f"{metrics}_lines", f"{metrics}_events")
+    observed = lambda df, to, **counts: df if metrics is None else df.observe(to, *[F.count_if(F.coalesce(x, F.lit(False))).alias(n) for n, x in counts.items()])
+    split = lines.select(once(F.split(line, ",", -1)).alias("f"))
+    fields = observed(split, first, lines=F.lit(True), not_three_fields=F.col("f").isNull() | (F.size("f") != 3)).where(F.size("f") == 3)
     event = F.struct(instant(F.col("f")[0]).alias("ts"), F.col("f")[1].alias("sensor_id"), F.col("f")[2].try_cast(kind).alias("value"))
-    return fields.select(once(event).alias("e")).where("e.ts IS NOT NULL AND e.value IS NOT NULL").select("e.*")
+    no_time, no_value = F.col("e.ts").isNull(), F.col("e.value").isNull()
+    events = observed(fields.select(once(event).alias("e")), second, no_instant=no_time, no_number=~no_time & no_value, events=~no_time & ~no_value)
+    return events.where("e.ts IS NOT NULL AND e.value IS NOT NULL").select("e.*")
 
 
 def read_text_events(spark: SparkSession, path: str, **options) -> DataFrame:
