@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from oracle import compare
 
@@ -21,3 +25,10 @@ def test_entry(spark):
 def test_scan_is_pruned(spark):
     plan = QUERIES["tumbling_stats"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "props" not in plan and "PushedFilters: [IsNotNull(ts)" in plan and "Python" not in plan
+
+
+@pytest.mark.parametrize("hidden", ["xxhash", "sensorloom.llm", "corpus_pipeline"])
+def test_core_queries_without_the_rest(hidden):
+    """In a process of its own in which a module can't be imported."""
+    code = f"import sys; sys.modules[{hidden!r}] = None; import __spark_entry__ as e; names = set(e.queries()); assert 'tumbling_stats' in names and 'pipeline' not in names and set(e.oracle_sql()) <= names"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parent.parent)
