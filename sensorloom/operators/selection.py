@@ -58,28 +58,34 @@ def narrowed(rows: DataFrame, keys: list[str], percents: tuple[int, ...] = (50,
 
 
 def _least(condition: Column) -> Column:
-    return F.min(F.when(condition, F.struct("_key", "value")))["value"]
+    """The first value in order; NaN is the largest here too."""
+    return F.min(F.when(condition, F.col("value")))
 
 
-def ranked_counts(counted: DataFrame, keys: list[str], most: int = MOST) -> DataFrame:
+def _counted_through(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The ranks of groups that have few distinct values, by running counts over these."""
+    running = W.partitionBy(*keys).orderBy("_key").rowsBetween(W.unboundedPreceding, 0)
+    upto = rows.select("*", F.sum("c").over(running).alias("upto"), F.sum("c").over(W.partitionBy(*keys)).alias("total"))
+    at = lambda p: _least(F.col("upto") * 100 >= F.col("total") * p)
+    return upto.groupBy(*keys).agg(at(50).alias("p50"), at(99).alias("p99"), F.max("total").alias("cnt"))
+
+
+def ranked_counts(counted: DataFrame, keys: list[str], most: int = MOST, few_values: bool = False) -> DataFrame:
     """Nearest-rank p50 and p99, and cnt, of each group of `keys` from rows of keys, value and c, how often it occurs (batch).
 
     The values may repeat; they are decimals, whole numbers or doubles, of which NaN is the largest. Groups of up to `most`
-    distinct values are counted through at once; larger ones are narrowed first. The distinct values are written once.
+    distinct values are counted through at once; larger ones are narrowed first, for which the distinct values are written once.
+    few_values: the caller has counted that no group has more.
     """
+    if few_values:
+        return _counted_through(keyed(counted, keys), keys)
     rows = written(keyed(counted, keys), "rank-values")
     ranges = narrowed(rows, keys, (50, 99), most)
-    through = lambda *more: W.partitionBy(*keys, *more).orderBy("_key").rowsBetween(W.unboundedPreceding, 0)
-
-    def counted_through(small: DataFrame) -> DataFrame:
-        upto = small.select("*", F.sum("c").over(through()).alias("upto"), F.sum("c").over(W.partitionBy(*keys)).alias("total"))
-        at = lambda p: _least(F.col("upto") * 100 >= F.col("total") * p)
-        return upto.groupBy(*keys).agg(at(50).alias("p50"), at(99).alias("p99"), F.max("total").alias("cnt"))
-
     if ranges.isEmpty():
-        return counted_through(rows)
+        return _counted_through(rows, keys)
     large = ranges.select(*keys).distinct()
     small = rows.join(F.broadcast(large) if large.count() <= FEW else large, keys, "left_anti")
-    upto = _within(rows, ranges, keys).withColumn("upto", F.sum("c").over(through("p")))
+    running = W.partitionBy(*keys, "p").orderBy("_key").rowsBetween(W.unboundedPreceding, 0)
+    upto = _within(rows, ranges, keys).withColumn("upto", F.sum("c").over(running))
     at = lambda p: _least((F.col("p") == p) & (F.col("upto") >= F.col("need")))
-    return counted_through(small).unionByName(upto.groupBy(*keys).agg(at(50).alias("p50"), at(99).alias("p99"), F.max("total").alias("cnt")))
+    return _counted_through(small, keys).unionByName(upto.groupBy(*keys).agg(at(50).alias("p50"), at(99).alias("p99"), F.max("total").alias("cnt")))

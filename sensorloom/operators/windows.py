@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions import exact_avg, nearest_rank, rounded_mean, scale_of, sorted_values
-from sensorloom.operators.selection import ranked_counts
+from sensorloom.operators.selection import MOST, ranked_counts
 
 MINUTE, FIVE = "1 minute", "5 minutes"
 
@@ -32,6 +32,22 @@ def _unpacked(units: Column, scale: int | None) -> Column:
     return units if scale is None else (units.cast("decimal(19,0)") * F.lit(Decimal(1).scaleb(-scale))).cast(f"decimal(18,{scale})")
 
 
+def _unit_sums(scale: int | None) -> list[Column]:
+    """Statistics of `units`, whole numbers: sums in two halves of longs, which are added faster than decimals and can't overflow."""
+    if scale is None:
+        return [F.count("*").alias("cnt"), F.sum("units").alias("sum_value"), F.min("units").alias("min_value"), F.max("units").alias("max_value")]
+    upper, lower = F.shiftright("units", 32), F.col("units").bitwiseAND(F.lit((1 << 32) - 1))
+    return [F.count("*").alias("cnt"), F.sum(upper).alias("upper"), F.sum(lower).alias("lower"), F.min("units").alias("min_value"), F.max("units").alias("max_value")]
+
+
+def _with_stats(rows: DataFrame, scale: int | None) -> DataFrame:
+    """sum_value, min_value and max_value as decimals again."""
+    if scale is None:
+        return rows
+    total = (F.col("upper").cast("decimal(19,0)") * F.lit(Decimal(1 << 32)) + F.col("lower").cast("decimal(19,0)")) * F.lit(Decimal(1).scaleb(-scale))
+    return rows.withColumns({"sum_value": total.cast(f"decimal(28,{scale})"), "min_value": _unpacked(F.col("min_value"), scale), "max_value": _unpacked(F.col("max_value"), scale)}).drop("upper", "lower")
+
+
 def assign_windows(events: DataFrame, size: str = FIVE, slide: str = MINUTE) -> DataFrame:
     """A row for each event and window that holds it."""
     return events.withColumn("w", F.window("ts", size, slide)).withColumn("window_start_ms", start_ms(F.col("w"))).drop("w")
@@ -86,10 +102,10 @@ def panes(events: DataFrame, slide: str = MINUTE) -> DataFrame:
 
     pane_values has decimals as whole units of their last place (1.25 as 125), doubles as they are.
     """
-    units = events.select("ts", "sensor_id", "value", _packed(F.col("value"), scale_of(events, "value")).alias("units"))
+    scale = scale_of(events, "value")
+    units = events.select("ts", "sensor_id", _packed(F.col("value"), scale).alias("units"))
     return (
-        units.groupBy(F.window("ts", slide).alias("w"), "sensor_id")
-        .agg(F.count("*").alias("cnt"), F.sum("value").alias("sum_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.collect_list("units").alias("pane_values"))
+        _with_stats(units.groupBy(F.window("ts", slide).alias("w"), "sensor_id").agg(*_unit_sums(scale), F.collect_list("units").alias("pane_values")), scale)
         .select(start_ms(F.col("w")).alias("pane_ms"), "sensor_id", "cnt", "sum_value", "min_value", "max_value", "pane_values")
     )
 
@@ -132,12 +148,11 @@ def _grouped_in_blocks(events: DataFrame, n: int, slide_ms: int, span: int) -> D
     scale = scale_of(events, "value")
     pane = F.floor(F.unix_millis("ts") / slide_ms)
     block = lambda x: F.floor(x / span)
-    units = events.select("sensor_id", "value", _packed(F.col("value"), scale).alias("units"), pane.alias("pane"))
+    units = events.select("sensor_id", _packed(F.col("value"), scale).alias("units"), pane.alias("pane"))
     # a number of its own: adaptive execution would merge small shuffles of events, though n times their rows follow in the same stage
     shuffles = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = units.withColumn("block", F.explode(F.sequence(block(F.col("pane") - (n - 1)), block(F.col("pane"))))).repartition(shuffles, "sensor_id", "block")
-    own = [F.count("*").alias("cnt"), F.sum("value").alias("sum_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value")]
-    made = dealt.groupBy("sensor_id", "block", "pane").agg(*own, F.collect_list("units").alias("pane_values"))
+    made = _with_stats(dealt.groupBy("sensor_id", "block", "pane").agg(*_unit_sums(scale), F.collect_list("units").alias("pane_values")), scale)
     starts = made.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("start", F.col("pane") - F.col("k")).where(block(F.col("start")) == F.col("block"))
     return starts.groupBy("sensor_id", "block", "start").agg(F.sort_array(F.flatten(F.collect_list("pane_values"))).alias("v"), F.max(_own_stats(F.col("k"))).alias("own"))
 
@@ -164,9 +179,10 @@ def sliding_counted(events: DataFrame, n: int = 5, slide: str = MINUTE, slide_ms
     grows with the distinct values only. The rank comes from running counts, never from a list.
     """
     counted = events.groupBy(F.window("ts", slide).alias("w"), "sensor_id", "value").agg(F.count("*").alias("c"))
+    widest = counted.groupBy("w", "sensor_id").count().agg(F.max("count")).first()[0] or 0  # distinct values of a pane; windows have n times that at most
     starts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: start_ms(F.col("w")) - k * slide_ms)
     dealt = counted.select("sensor_id", "value", "c", F.explode(starts).alias("window_start_ms"))
-    grouped = ranked_counts(dealt, ["window_start_ms", "sensor_id"])
+    grouped = ranked_counts(dealt, ["window_start_ms", "sensor_id"], few_values=n * widest <= MOST)
     return grouped.select(F.lit("sliding").alias("window_type"), "window_start_ms", "sensor_id", "p50", "p99", "cnt", F.lit("new").alias("flag"))
 
 

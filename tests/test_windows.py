@@ -93,7 +93,7 @@ def test_empty(spark):
 
 def test_malformed_lines(spark):
     good = ["2025-01-01T00:00:00Z,s,1.00", "2025-01-01T00:00:00+01:00,s,2", "2025-01-01T00:00:00.5Z,s,3.005,", "2025-01-01T00:00:00Z,s,4.00\r"]
-    bad = ["", ",,", "a,b", "2025-01-01T00:00:00Z,s", "2025-01-01T00:00:00Z,s,1,x", "2025-01-01,s,1", "2025-01-01T00:00:00,s,1", "2025-01-01T00:00:00+0100,s,1", "2025-13-01T00:00:00Z,s,1", "2025-01-01T00:00:00Z,s,NaN", "2025-01-01T00:00:00Z,s,"]
+    bad = ["", ",,", "a,b", "2025-01-01T00:00:00Z,s", "2025-01-01T00:00:00Z,s,1,x", "2025-01-01,s,1", "2025-01-01T00:00:00,s,1", "2025-01-01T00:00:00+0100,s,1", "2025-13-01T00:00:00Z,s,1", "2025-01-01T00:00:00Z,s,NaN", "2025-01-01T00:00:00Z,s,", " 025-01-01T00:00:00Z,s,1", "2025-01-01T00:00: 0Z,s,1", "2025-1a-01T00:00:00Z,s,1", "+025-01-01T00:00:00Z,s,1", "2025-01-01 00:00:00Z,s,1", "2025-02-30T00:00:00Z,s,1", "2025-01-01T24:00:00Z,s,1"]
     rows = parse_lines(spark.createDataFrame([(x,) for x in good + bad], "value string")).collect()
     assert sorted(r["value"] for r in rows) == [Decimal("1.00"), Decimal("2.00"), Decimal("3.01"), Decimal("4.00")]
 
