@@ -161,7 +161,7 @@ q AS (SELECT *, t // (2::HUGEINT ** r)::HUGEINT AS q, 2 * (t % (2::HUGEINT ** r)
 SELECT window_start_ms, sensor_id, cnt, (CASE WHEN t = 0 THEN 0 ELSE (r - 70 + 52 + 1023) * 4503599627370496 + q - 4503599627370496 + CASE WHEN more > 0 OR more = 0 AND q % 2 = 1 THEN 1 ELSE 0 END END)::BIGINT AS sum_bits, avg_value FROM q""",
 )
 add("sliding_doubles", lambda s, d: O.sliding_from_panes(O.panes(doubles(s, d))).select("window_start_ms", "sensor_id", "cnt", "p50", "p99"), sliding_sql(60_000, "window_start_ms, sensor_id, cnt, q50 AS p50, q99 AS p99", "user_id").replace("value::DECIMAL(18,2)", "value / 7"))
-add("sliding_thousandths", lambda s, d: O.sliding_from_panes(O.panes(read_events(s, d, "event_type", scale=3), "1 hour"), 5, 3_600_000), sliding_sql(3_600_000, SLIDING_COLUMNS, "event_type").replace("DECIMAL(18,2)", "DECIMAL(18,3)"))
+add("sliding_thousandths", lambda s, d: O.sliding_counted(read_events(s, d, "event_type", scale=3), 5, "1 hour", 3_600_000), sliding_sql(3_600_000, SLIDING_COLUMNS, "event_type").replace("DECIMAL(18,2)", "DECIMAL(18,3)"))
 
 
 def global_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:

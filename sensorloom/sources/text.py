@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sensorloom.session import utc
 
-#: ISO-8601 with seconds and a zone; dates alone and zone-less times are no events.
-INSTANT = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,9})?(Z|[+-]\d\d:\d\d)$"
+#: ISO-8601 with seconds and a zone, in either case; dates alone and zone-less times are no events.
+INSTANT = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{0,9})?(Z|[+-]\d\d:\d\d)$"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -19,12 +19,18 @@ def instant(text: Column) -> Column:
     """Timestamp of an ISO-8601 instant, null for any other text.
 
     The usual form, whole seconds and Z, is known by its length and separators; what lies between them can only be digits
-    if Spark reads it. Any other text has to match the pattern.
+    if Spark reads it. Any other text has to match the pattern; of such, 24:00:00 is the next day's beginning, the leap second
+    23:59:60 is the one before it, and a point without digits counts as none.
     """
     usual = (F.length(text) == 20) & text.endswith("Z")
     for at, mark in ((11, "T"), (14, ":"), (17, ":"), (5, "-"), (8, "-")):
         usual &= F.substring(text, at, 1) == mark
-    return F.when(usual | text.rlike(INSTANT), F.try_to_timestamp(text))
+    upper = F.upper(text)
+    day_end = upper.rlike(r"T24:00:00(\.0*)?[Z+-]")
+    plain = F.when(day_end, F.replace(upper, F.lit("T24:"), F.lit("T00:"))).otherwise(F.replace(upper, F.lit("T23:59:60"), F.lit("T23:59:59")))
+    other = F.try_to_timestamp(F.regexp_replace(plain, r"\.(?=[Z+-])", ""))
+    odd = F.when(upper.rlike(INSTANT), F.when(day_end, other + F.expr("INTERVAL 1 DAY")).otherwise(other))
+    return F.coalesce(F.when(usual, F.try_to_timestamp(text)), odd)
 
 
 class ParseMetrics:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.functions import rounded_mean, scale_of
-from sensorloom.session import fresh_path, remove
+from sensorloom.session import exists, fresh_path, remove
 
 KEY = ("window_type", "window_start_ms", "sensor_id")
 STATS = ("cnt", "sum_value", "min_value", "max_value", "avg_value")
@@ -197,11 +197,6 @@ def _of(spark: SparkSession, log: PaneLog, kind: str, upto: int, schema: str) ->
     return found.where(F.col("batch") <= upto)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
-
-
 def closed_windows(spark: SparkSession, log: PaneLog) -> DataFrame:
     """The windows that the watermark has passed, as they were then."""
     now = last_batch(spark, log)

@@ -3,7 +3,7 @@
 A micro-batch in update mode emits the windows that it changed. Each goes to the log with the batch's
 number, in a folder of that number, which a replayed batch overwrites; so replays change nothing. Every
 some batches the last state and the changes since are merged to a new state, so that reading costs what
-there are keys and some batches, not the whole log. The state of a key is its last row; it is `new` if it
+there are keys and some batches, not the whole log; what is in the state before the last is removed. The state of a key is its last row; it is `new` if it
 was emitted once and `updated` otherwise.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.session import fresh_path
+from sensorloom.session import exists, fresh_path, remove
 
 #: Covers lateness of up to ten minutes and jitter.
 ALLOWED_LATENESS = "15 minutes"
@@ -31,22 +31,37 @@ def stream_windows(events: DataFrame, windows: Callable[[DataFrame], DataFrame],
         batch.withColumn("times", F.lit(1).cast("long")).write.mode("overwrite").parquet(f"{log}/changes/batch={number}")
         if number % compact_every == compact_every - 1:
             merged(batch.sparkSession, log, number).write.mode("overwrite").parquet(f"{log}/states/state={number}")
+            forget(batch.sparkSession, log, number, compact_every)
 
     return rows.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def finished(spark: SparkSession, log: str, upto: int) -> list[int]:
+    """Numbers of the states before this batch whose writing has ended, the last first."""
+    there = spark.read.parquet(f"{log}/states").where(F.col("state") < upto).select("state").distinct().collect()  # of the last two, and -1
+    return sorted({-1} | {r[0] for r in there if exists(spark, f"{log}/states/state={r[0]}/_SUCCESS")}, reverse=True)
+
+
 def merged(spark: SparkSession, log: str, upto: int) -> DataFrame:
     """The last row of each key, with its batch and how often it was emitted, after this batch: from the last state before it."""
-    states = spark.read.parquet(f"{log}/states").where(F.col("state") < upto)
-    last = states.agg(F.max("state")).first()[0]
-    last = -1 if last is None else last
-    before = states.where(F.col("state") == last).drop("state")
+    last = finished(spark, log, upto)[0]
+    before = spark.read.parquet(f"{log}/states/state={last}")
     since = spark.read.schema(before.schema).parquet(f"{log}/changes").where((F.col("batch") > last) & (F.col("batch") <= upto))
     rest = [c for c in before.columns if c not in (*KEY, "times")]
     rows = before.unionByName(since).groupBy(*KEY).agg(F.max_by(F.struct(*rest), "batch").alias("r"), F.sum("times").alias("times"))
     return rows.select(*[F.col(c) if c in (*KEY, "times") else F.col(f"r.{c}").alias(c) for c in before.columns])
 
 
+def forget(spark: SparkSession, log: str, number: int, compact_every: int) -> None:
+    """Removes what no reader needs: changes that are in the state before the last, and states before that one."""
+    before = number - compact_every
+    if before >= 0:
+        for batch in range(before - compact_every + 1, before + 1):
+            remove(spark, f"{log}/changes/batch={batch}")
+        if before - compact_every >= 0:
+            remove(spark, f"{log}/states/state={before - compact_every}")
+
+
 def final_state(spark: SparkSession, log: str) -> DataFrame:
     """Last row of each key with its flag."""
     rows = merged(spark, log, (1 << 62))

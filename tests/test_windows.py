@@ -93,11 +93,21 @@ def test_empty(spark):
 
 def test_malformed_lines(spark):
     good = ["2025-01-01T00:00:00Z,s,1.00", "2025-01-01T00:00:00+01:00,s,2", "2025-01-01T00:00:00.5Z,s,3.005,", "2025-01-01T00:00:00Z,s,4.00\r"]
-    bad = ["", ",,", "a,b", "2025-01-01T00:00:00Z,s", "2025-01-01T00:00:00Z,s,1,x", "2025-01-01,s,1", "2025-01-01T00:00:00,s,1", "2025-01-01T00:00:00+0100,s,1", "2025-13-01T00:00:00Z,s,1", "2025-01-01T00:00:00Z,s,NaN", "2025-01-01T00:00:00Z,s,", " 025-01-01T00:00:00Z,s,1", "2025-01-01T00:00: 0Z,s,1", "2025-1a-01T00:00:00Z,s,1", "+025-01-01T00:00:00Z,s,1", "2025-01-01 00:00:00Z,s,1", "2025-02-30T00:00:00Z,s,1", "2025-01-01T24:00:00Z,s,1"]
+    bad = ["", ",,", "a,b", "2025-01-01T00:00:00Z,s", "2025-01-01T00:00:00Z,s,1,x", "2025-01-01,s,1", "2025-01-01T00:00:00,s,1", "2025-01-01T00:00:00+0100,s,1", "2025-13-01T00:00:00Z,s,1", "2025-01-01T00:00:00Z,s,NaN", "2025-01-01T00:00:00Z,s,", " 025-01-01T00:00:00Z,s,1", "2025-01-01T00:00: 0Z,s,1", "2025-1a-01T00:00:00Z,s,1", "+025-01-01T00:00:00Z,s,1", "2025-01-01 00:00:00Z,s,1", "2025-02-30T00:00:00Z,s,1", "2025-01-01T24:00:01Z,s,1", "2025-01-01T23:58:60Z,s,1", "2025-01-01T25:00:00Z,s,1"]
     rows = parse_lines(spark.createDataFrame([(x,) for x in good + bad], "value string")).collect()
     assert sorted(r["value"] for r in rows) == [Decimal("1.00"), Decimal("2.00"), Decimal("3.01"), Decimal("4.00")]
 
 
+def test_instants_at_the_edges(spark):
+    """Either case, the end of a day, the leap second, fractions with and without digits, offsets."""
+    texts = {
+        "2025-01-01T24:00:00Z": "2025-01-02T00:00:00", "2025-12-31t24:00:00.000z": "2026-01-01T00:00:00", "2025-01-01T24:00:00+01:00": "2025-01-01T23:00:00", "2024-12-31T23:59:60Z": "2024-12-31T23:59:59",
+        "2025-01-01t00:00:05z": "2025-01-01T00:00:05", "2025-01-01T00:00:05.Z": "2025-01-01T00:00:05", "2025-01-01T00:00:05.25Z": "2025-01-01T00:00:05.250", "2025-01-01T00:00:05-02:00": "2025-01-01T02:00:05",
+    }
+    got = parse_lines(spark.createDataFrame([(f"{t},{i},1",) for i, t in enumerate(texts)], "value string")).select("sensor_id", F.unix_millis("ts")).collect()
+    assert {int(i): ms for i, ms in got} == {i: round(at(w).timestamp() * 1000) for i, w in enumerate(texts.values())}
+
+
 def test_text_files_and_horizon(spark, tmp_path):
     made = generate_events(spark, 2000, sensors=1200, partitions=4)
     event_lines(made).write.text(str(tmp_path / "in"))
@@ -193,3 +203,17 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
         stream_windows(source(), O.tumbling_stats, log, str(tmp_path / offsets)).awaitTermination()
     (row,) = final_state(spark, log).collect()
     assert (row["cnt"], row["flag"]) == (1, "new")
+
+
+def test_a_half_written_state_is_not_read(spark, tmp_path):
+    """What a crash leaves of a state is passed over for the one before it and the changes since; what no reader needs is removed."""
+    log, source = tmp_path / "log", tmp_path / "in"
+    for i in range(6):
+        written(source, f"{i}.txt", [f"2025-01-01T00:00:{i:02d}Z,a,{i}.00"])
+        stream_windows(parse_lines(spark.readStream.text(str(source))), O.tumbling_stats, str(log), str(tmp_path / "offsets"), compact_every=2).awaitTermination()
+    (log / "states" / "state=5" / "_SUCCESS").unlink()
+    for part in list((log / "states" / "state=5").glob("*.parquet"))[1:]:
+        part.unlink()
+    (row,) = final_state(spark, str(log)).collect()
+    assert (row["cnt"], row["flag"]) == (6, "updated")
+    assert not (log / "changes" / "batch=1").exists() and (log / "changes" / "batch=4").exists() and not (log / "states" / "state=1").exists()
