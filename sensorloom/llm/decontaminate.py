@@ -276,7 +276,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, longe
 
 
 def cleaned_report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """doc_id, n_chars and text_sha256 of what decontaminate leaves of each document."""
+    """doc_id, n_chars and text_sha256 of what decontaminate leaves of each document.
+
+    A null text counts as empty here. Repeated rows come back each, rows without doc_id too; an empty table gives no rows, and
+    an empty benchmark leaves every text as it is.
+    """
     left = decontaminate(docs.select("doc_id", "text"), benchmark, window)
     text = F.coalesce(F.col("text"), F.lit(""))
     return left.select("doc_id", F.length(text).cast("long").alias("n_chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))

@@ -178,4 +178,5 @@ def labelled_by_terms(pages: DataFrame, terms: str = SPAM) -> DataFrame:
 
 
 def report(pages: DataFrame) -> DataFrame:
+    """filtered() with labels by the host's name. Repeated rows come back each, null urls too; an empty table gives no rows."""
     return filtered(pages, labelled_by_terms(pages))
