@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import Words, chunks, coded, in_fold, numbered, sampled, save, scratch, with_added
+from sensorloom.llm.common import Words, chunks, coded, in_fold, numbered, sampled, save, scratch, sums, with_added
 from sensorloom.llm.toxicity import split_words
 
 UNKNOWN = "und"
@@ -23,6 +23,8 @@ class Settings:
     """sample_rows, of texts of any length, and segments of `length` words from all over them bound what the model is fitted on.
 
     For the fit, words of over `longest` letters are cut into pieces. buckets and lexicon (words a language) bound the model.
+    prior: so many trigrams that are known are added to those of a text before its share of known ones is taken;
+    margin: of the share that texts left out of a fit have, a text in a learned language has at least so much.
     """
 
     sample_rows: int = 4_000
@@ -35,6 +37,8 @@ class Settings:
     batch: int = 256
     rate: float = 0.2
     seed: int = 5
+    prior: float = 10.0
+    margin: float = 0.65
 
 
 def features(words, buckets: int, lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,6 +53,66 @@ def features(words, buckets: int, lexicon: dict[str, int]) -> tuple[np.ndarray,
     return np.concatenate(own), np.concatenate(bucket)
 
 
+def trigrams(words) -> tuple[np.ndarray, np.ndarray]:
+    """(word, place in a table of 2**20) of each letter trigram; a shorter word is one itself."""
+    w = Words(words)
+    own, h = w.grams(3)
+    short = np.flatnonzero(w.lengths < 3)
+    return np.concatenate([own, short]), (np.concatenate([h, w.whole()[short]]) >> np.uint64(44)).astype(np.int64)
+
+
+@dataclass
+class Familiar:
+    """Which trigrams the learned languages have, and the least share of them that a text in one of these has.
+
+    A posterior over learned languages says which of them is likeliest, not whether it is any of them.
+    """
+
+    seen: np.ndarray
+    least: float
+    prior: float
+
+    def shares(self, texts: list) -> np.ndarray:
+        """Known trigrams of all of each text, with the prior's among both: a few odd words don't make a text foreign."""
+        words, lengths = split_words(texts)
+        known, of = np.zeros(0), np.zeros(0)
+        if words:
+            codes, distinct = numbered(words)
+            own, at = trigrams(distinct)
+            known = np.bincount(own, weights=self.seen[at], minlength=len(distinct))[codes]
+            of = np.bincount(own, minlength=len(distinct))[codes].astype(np.float64)
+        return (sums(known, lengths) + self.prior) / (sums(of, lengths) + self.prior)
+
+
+def familiar(words: np.ndarray, docs: np.ndarray, s: Settings) -> Familiar:
+    """words of all segments, with the document of each.
+
+    Half of the documents say which trigrams there are, the other half how many of them a segment knows: the least share
+    is `margin` of what all but a hundredth of these know. Without a second document it is 0, and no text is foreign.
+    """
+    codes, distinct = numbered(words)
+    own, at = trigrams(distinct)
+    of = np.bincount(own, minlength=len(distinct)).astype(np.float64)
+
+    def table(picked: np.ndarray) -> np.ndarray:
+        used, seen = np.zeros(len(distinct), bool), np.zeros(1 << 20, bool)
+        used[codes[picked]] = True
+        seen[at[used[own]]] = True
+        return seen
+
+    def shares(seen: np.ndarray, picked: np.ndarray) -> np.ndarray:
+        """Of each segment that is wholly picked."""
+        known = np.bincount(own, weights=seen[at], minlength=len(distinct))
+        rows = picked.reshape(-1, s.length // 2 * 2).all(axis=1)
+        x = codes.reshape(len(rows), -1)[rows]
+        return (known[x].sum(axis=1) + s.prior) / (of[x].sum(axis=1) + s.prior)
+
+    half = docs % 2 == 1
+    own_shares = shares(table(~half), half)
+    least = s.margin * float(np.quantile(own_shares, 0.01)) if len(own_shares) else 0.0
+    return Familiar(table(np.ones(len(codes), bool)), least, s.prior)
+
+
 @dataclass
 class Crf:
     """States are languages. Weights of hashed features give a word's potentials; transitions are learned with them."""
@@ -58,6 +122,7 @@ class Crf:
     weights: np.ndarray
     transitions: np.ndarray
     lexicon: dict[str, int]
+    familiar: Familiar | None = None
 
     def potentials(self, words) -> np.ndarray:
         own, bucket = features(words, self.buckets, self.lexicon)
@@ -108,7 +173,8 @@ class Crf:
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         best = mean.argmax(axis=1)
-        return [self.languages[b] if n else UNKNOWN for b, n in zip(best, lengths)], np.clip(mean[np.arange(len(texts)), best], 0, 1)
+        known = lengths > 0 if self.familiar is None else (lengths > 0) & (self.familiar.shares(texts) >= self.familiar.least)
+        return [self.languages[b] if n else UNKNOWN for b, n in zip(best, known)], np.clip(mean[np.arange(len(texts)), best], 0, 1)
 
 
 @dataclass
@@ -219,9 +285,11 @@ def learned(words: np.ndarray, labels: np.ndarray, names: list[str], lexicon: di
     return Crf(names, s.buckets, weights.astype(np.float32), trans.astype(np.float32), lexicon)
 
 
-def train(docs: DataFrame, settings: Settings | None = None, held_out: tuple[int, int] = (3, 1)) -> Crf:
+def train(docs: DataFrame, settings: Settings | None = None, held_out: tuple[int, int] = (3, 1), others: bool = False) -> Crf:
     """Fit on texts with a language outside the held-out fold: at most sample_rows of them, whole and of any length.
 
+    others: the model also learns to tell texts in languages that none of them is in, and calls these `und`.
+
     Tasks count the sampled texts' words; from these counts the driver draws the segments' places, and tasks fetch
     their words. So what the driver gets is bounded by the settings, however long the texts are.
     """
@@ -268,13 +336,17 @@ def train(docs: DataFrame, settings: Settings | None = None, held_out: tuple[int
         got = sample.select("_hash", "text").mapInArrow(fetched, "piece long, words array<string>").toArrow().sort_by("piece")
         flat = got.column("words").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         label = np.array([names.index(x) for x in texts.column("lang").to_pylist()])
-        return learned(flat, np.repeat(label[draw.doc], draw.size), names, lexicon, s)
+        model = learned(flat, np.repeat(label[draw.doc], draw.size), names, lexicon, s)
+        if others:
+            model.familiar = familiar(flat, np.repeat(draw.doc, draw.size), s)
+        return model
 
 
 def with_language(docs: DataFrame, model: Crf) -> DataFrame:
     """The docs with _lang and _score, the mean posterior of that language over the text's words, as the last columns.
 
-    `und` with score 0 for null texts and texts without a letter, or if no language was learned. Where docs has
+    `und` with score 0 for null texts and texts without a letter, or if no language was learned; `und` with the score of the
+    likeliest one for texts in other languages, if the model learned to tell them. Where docs has
     these names already, its columns stay and the new ones get further underscores in front.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
