@@ -27,7 +27,6 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sensorloom.llm.common import binary, in_fold, mixed, save
@@ -43,6 +42,7 @@ class Settings:
     part_grams: grams that a part of the trie should have. split_bytes of text meet their counts at once;
     of them count_bytes are counted and score_bytes scored at once, or one longer text. A shuffle deals the splits
     to at most most_parts partitions, so a partition of a large corpus has many splits, one after another in a task.
+    Of a row (doc_id and text) that is there more than most_copies times one copy is dealt to a split, with their number.
     """
 
     order: int = 5
@@ -52,6 +52,7 @@ class Settings:
     most_parts: int = 20_000
     count_bytes: int = 3_000_000
     score_bytes: int = 750_000
+    most_copies: int = 16
 
 
 def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +226,11 @@ def frequent(counted: DataFrame, s: Settings) -> tuple[Lookup, np.ndarray]:
     known = counted.where("gram >= 0")
     sizes = known.agg(*[F.count(F.when(F.col("n") >= t, 1)) for t in steps]).first()
     least = next(t for t, size in zip(steps, sizes) if size <= s.frequent)
-    got = known.withColumn("all", F.sum("n").over(W.partitionBy(F.shiftright("gram", 8)))).where(F.col("n") >= least).select("gram", "n", "all").toArrow()
+    context = F.shiftright("gram", 8)
+    top = known.where(F.col("n") >= least).select("gram", "n", context.alias("context"))
+    # At most `frequent` contexts of eight bytes: their grams are found and summed before anything is shuffled.
+    sums = known.select("n", context.alias("context")).join(F.broadcast(top.select("context").distinct()), "context", "left_semi").groupBy("context").agg(F.sum("n").alias("all"))
+    got = top.join(sums, "context").select("gram", "n", "all").toArrow()
     gram, n, total = (got.column(c).to_numpy() for c in ("gram", "n", "all"))
     order = np.argsort(gram)
     return Lookup(gram[order].astype(np.uint64)), np.log10((2 * n[order] - 1) / (2 * total[order]))
@@ -250,20 +255,24 @@ def looked_up(wanted: DataFrame, counted: DataFrame, s: Settings) -> DataFrame:
 def _words(table: pa.Table) -> pa.Table:
     """The distinct tokens of a split, and how often its training texts have each; the end is the empty token."""
     known, other = Counter(), set()
-    for text, held in zip(table.column("text").to_pylist(), table.column("held_out").to_pylist()):
+    for text, held, copies in zip(*(table.column(c).to_pylist() for c in ("text", "held_out", "copies"))):
         words = text.lower().split()
         if held:
             other.update(words)
-        else:
+        elif copies == 1:
             known.update(words)
             known[b""] += 1
+        else:
+            for word, times in Counter(words).items():
+                known[word] += times * copies
+            known[b""] += copies
     other = [w for w in {*other, b""} if w not in known]
     tokens = [*known, *other]
     split = table.column("split")[0].as_py()
     return pa.table({"split": pa.array([split] * len(tokens), pa.int64()), "token": pa.array(tokens, pa.binary()), "n": pa.array([*known.values(), *[0] * len(other)], pa.int64())})
 
 
-RESULT = "doc_id long, place long, held_out boolean, n_tokens long, n_known long, logs double, part_score double, rare array<struct<gram: bigint, times: bigint>>"
+RESULT = "doc_id long, place long, copies long, held_out boolean, n_tokens long, n_known long, logs double, part_score double, rare array<struct<gram: bigint, times: bigint>>"
 
 
 def _summed(table: Lookup, log: np.ndarray, texts: list[bytes], s: Settings) -> tuple[np.ndarray, list]:
@@ -299,11 +308,34 @@ def _scored(shared, s: Settings):
             logs.append(float(each.sum()))
         del log
         score, rare = _summed(*shared.value, texts, s)
-        return pa.table({"doc_id": docs.column("doc_id"), "place": docs.column("place"), "held_out": docs.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "logs": pa.array(logs, pa.float64()), "part_score": pa.array(score, pa.float64()), "rare": pa.array(rare, pa.list_(pa.struct([("gram", pa.int64()), ("times", pa.int64())])))})
+        return pa.table({"doc_id": docs.column("doc_id"), "place": docs.column("place"), "copies": docs.column("copies"), "held_out": docs.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "logs": pa.array(logs, pa.float64()), "part_score": pa.array(score, pa.float64()), "rare": pa.array(rare, pa.list_(pa.struct([("gram", pa.int64()), ("times", pa.int64())])))})
 
     return run
 
 
+def with_copies(placed: DataFrame, s: Settings) -> tuple[DataFrame, bool]:
+    """placed (doc_id, text, held_out, place) with `copies`: often repeated rows are one each, with their number, all others 1; and whether there are such.
+
+    Only hashes are counted; rows are told apart by their columns. The few that are repeated so often are summed before
+    they are shuffled, and nothing else moves.
+    """
+    often = save(placed.groupBy("place").count().where(F.col("count") > s.most_copies).select("place"), "ppm-often")
+    if often.isEmpty():
+        return placed.withColumn("copies", F.lit(1).cast("long")), False
+    hot = placed.join(often, "place", "left_semi").groupBy("doc_id", "text", "held_out", "place").agg(F.count("*").alias("copies"))
+    return placed.join(often, "place", "left_anti").withColumn("copies", F.lit(1).cast("long")).unionByName(hot), True
+
+
+def repeated(scored: DataFrame) -> DataFrame:
+    """A row for each copy. Rows with many are dealt out in portions first, so no task makes all copies of one."""
+    at_once = 10_000
+    portions = F.floor((F.col("copies") - 1) / at_once)
+    scored = save(scored, "ppm-joined")
+    many = scored.where("copies > 1").withColumn("portion", F.explode(F.sequence(F.lit(0).cast("long"), portions))).repartition("place", "portion")
+    many = many.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("copies") - F.col("portion") * at_once, F.lit(at_once)))))
+    return scored.where("copies = 1").unionByName(many.drop("portion", "copy"))
+
+
 def report(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) for each row of docs.
 
@@ -324,7 +356,7 @@ def report(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     n = int(size // s.split_bytes) + 1
     train_tokens = (counted.where("gram = -1").agg(F.sum("n")).first() or [0])[0] or 0
     shared = spark.sparkContext.broadcast(frequent(counted, s))
-    placed = rows.withColumn("place", F.xxhash64("doc_id", "text"))
+    placed, hot = with_copies(rows.withColumn("place", F.xxhash64("doc_id", "text")), s)
     parts = placed.withColumn("split", F.pmod("place", F.lit(n)).cast("long")).repartition(min(n, s.most_parts), "split")
     tokens = parts.groupBy("split").applyInArrow(_words, "split long, token binary, n long")
     tokens = save(tokens, "ppm-tokens")
@@ -339,4 +371,4 @@ def report(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     base = F.col("logs") - F.col("n_tokens") * float(np.log10(train_tokens + 0.5 * (words + 1)))
     score = F.col("part_score") + F.coalesce(F.col("rest"), F.lit(0.0))
     joined = out.drop("rare").join(answers, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("place") == F.col("p")), "left")
-    return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(train_tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
+    return (repeated(joined) if hot else joined).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(train_tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sensorloom.llm import scoring as P
 from sensorloom.llm.queries import QUERIES
@@ -98,3 +99,21 @@ def test_dominant_token_and_few_partitions(spark):
     assert sorted(((*r[:5], round(r[5], 6)) for r in P.report(df, small).collect()), key=str) == slow_base(rows)
     plan = P.report(df, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+def test_one_row_repeated(spark):
+    """100,000 copies of one row and many of a held-out one are dealt as one each, counted and scored as so many."""
+    rows = [(7, "the same text")] * 100_000 + [(100 + i, f"other text {i % 5} of the kind") for i in range(60)] + [(None, None)] * 40 + [(1, "")] * 17
+    held = next(i for i in range(1_000, 2_000) if zlib.crc32(str(i).encode()) % 5 == 1)
+    rows += [(held, "held the out text")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    placed, hot = P.with_copies(df.select("doc_id", P.binary(), P.in_fold(F.col("doc_id"), 5, 1).alias("held_out")).withColumn("place", F.xxhash64("doc_id", "text")), P.Settings())
+    assert hot and placed.count() == 64 and placed.agg(F.sum("copies")).first()[0] == len(rows)
+    got = P.report(df)
+    few = sorted(set(map(tuple, got.collect())), key=str)
+    assert got.count() == len(rows) and got.where("doc_id = 7").count() == 100_000 and len(few) == len(set(rows))
+    want = {r[0]: r for r in slow_base(rows)}
+    assert all((*r[:5], round(r[5], 6)) == want[r[0]] for r in few)
+    m = P.Ppm(levels_of([(t or "").encode() for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1], 5))
+    texts = dict(rows)
+    assert all(abs(m.scores([(texts[r[0]] or "").encode()])[0] - r[6]) < 1e-6 * abs(r[6]) for r in few)
