@@ -20,7 +20,7 @@ from sensorloom.llm.common import sampled, save
 
 @dataclass
 class Settings:
-    """sample_rows bounds what the tree is fitted on, most_leaves the tree, calibrating the queries of the calibration.
+    """sample_rows and sample_values (components) bound what the tree is fitted on, most_leaves the tree, calibrating the queries of the calibration.
 
     leaf_rows: rows that a leaf should have. block_rows: vectors that a task holds at once, of several leaves that lie
     side by side, or a part of those of a large leaf. Queries stream past a block; only beyond block_queries of
@@ -30,6 +30,7 @@ class Settings:
     k: int = 5
     recall: float = 0.95
     sample_rows: int = 20_000
+    sample_values: int = 8_000_000
     leaf_rows: int = 200
     most_leaves: int = 4_096
     branch: int = 8
@@ -111,10 +112,14 @@ class Tree:
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """Rows of an array column whose arrays all have the same length."""
+    """Rows of an array column whose arrays all have the same length, each by the power of two that brings its largest component below one.
+
+    Such a factor changes no bit of a cosine, but squares of very large or small components stay within range.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
 def usable(rows: DataFrame, column: str = "embedding") -> DataFrame:
@@ -170,9 +175,9 @@ def indexed(rows: DataFrame, tree: Tree) -> DataFrame:
     return save(rows.mapInArrow(run, "vec_id long, v array<double>, leaf int"), "ann-index")
 
 
-def exact(queries: list, index: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, leaf and score of the true k nearest of a few given queries, from all rows."""
-    shared = index.sparkSession.sparkContext.broadcast((np.array([r["vec_id"] for r in queries]), np.array([r["v"] for r in queries])))
+def exact(queries: pa.Table, index: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, leaf and score of the true k nearest of a few given queries (vec_id, v), from all rows."""
+    shared = index.sparkSession.sparkContext.broadcast((queries.column("vec_id").to_numpy(), matrix(queries.column("v"))))
 
     def run(batches):
         ids, x = shared.value
@@ -192,11 +197,11 @@ def top(pairs: DataFrame, k: int) -> DataFrame:
 
 def calibrated(tree: Tree, index: DataFrame, queries: DataFrame, s: Settings) -> int:
     """The fewest leaves whose visit finds the wanted share of the true neighbours of some queries."""
-    some = sampled(queries, ["vec_id"], s.calibrating).orderBy("_hash").collect()
-    truth = exact(some, index, s.k).collect() if some else []
+    some = sampled(queries, ["vec_id"], s.calibrating).orderBy("_hash").toArrow()
+    truth = exact(some, index, s.k).collect() if some.num_rows else []
     if not truth:
         return tree.leaves
-    order = {r["vec_id"]: {leaf: i for i, leaf in enumerate(walk, 1)} for r, walk in zip(some, tree.visits(unit(np.array([r["v"] for r in some]))))}
+    order = {i: {leaf: n for n, leaf in enumerate(walk, 1)} for i, walk in zip(some.column("vec_id").to_pylist(), tree.visits(unit(matrix(some.column("v")))))}
     needed = sorted(order[r["query_id"]][r["leaf"]] for r in truth)
     return needed[min(len(needed) - 1, int(np.ceil(s.recall * len(needed))) - 1)]
 
@@ -222,15 +227,16 @@ def search(rows: DataFrame, is_query, settings: Settings | None = None, column:
     a shard; a query goes once to each block of a shard where it opens a leaf and gets at most k rows from it.
     A leaf of very many equal vectors is many blocks, so many tasks. Equal scores: the smaller vec_id first.
     Vectors null, zero, with null or non-finite components, or of another length than most (see `usable`), and rows
-    without vec_id take no part. A vec_id given twice is two candidates, as a query the smaller of its vectors.
+    without vec_id take no part; components of any finite size are fine. A vec_id given twice is two candidates, as a query the smaller of its vectors.
     An empty table gives no rows.
     """
     s = settings or Settings()
     spark = rows.sparkSession
     good = usable(rows, column)
     total = good.count()
-    sample = sampled(good, ["vec_id", "v"], s.sample_rows).orderBy("_hash").collect()
-    x = unit(np.array([r["v"] for r in sample])) if sample else np.zeros((0, 1))
+    length = (good.select(F.size("v")).first() or [1])[0]
+    sample = sampled(good, ["vec_id", "v"], max(1, min(s.sample_rows, s.sample_values // length))).orderBy("_hash").toArrow()
+    x = unit(matrix(sample.column("v"))) if sample.num_rows else np.zeros((0, 1))
     tree = Tree(x, max(8, int(s.leaf_rows * len(x) / max(1, total))), s)
     index = indexed(good, tree)
     queries = save(index.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), "ann-queries")

@@ -74,3 +74,31 @@ def test_clustered_vectors_need_few_leaves(spark):
     hit = sum(len({g["vec_id"] for g in got if g["query_id"] == q} & {i for i, _ in near}) for q, near in want.items())
     print("recall", hit / (5 * len(want)), "leaves opened, all", seen)
     assert hit >= 0.9 * 5 * len(want) and seen[0][0] <= 0.1 * seen[0][1]
+
+
+def test_sizes_of_components_do_not_matter(spark):
+    """Vectors by 1e200, 1e-200 or 2**900 are as near as the plain ones, and equal ones tie."""
+    r = np.random.default_rng(6)
+    plain = [(i, r.normal(size=8).tolist()) for i in range(400)] + [(400 + i, [3.0, 1.0, 2.0, 0.0, 1.0, 1.0, 5.0, 7.0]) for i in range(8)]
+    factor = [1.0, 1e200, 1e-200, 2.0**900, 1e-310]
+    scaled = [(i, [c * factor[i % 4] for c in v]) for i, v in plain[:400]] + [(i, [c * 2.0 ** (100 * i - 40_400) for c in v]) for i, v in plain[400:]] + [(500, [c * 1e-320 for c in (1.0, 0, 0, 0, 0, 0, 0, 0)])]
+    plain.append((500, [1.0] + [0.0] * 7))
+    s = N.Settings(recall=1.0, leaf_rows=50, block_rows=64)
+    got = {}
+    for name, rows in (("plain", plain), ("scaled", scaled)):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got[name] = {(g["query_id"], g["rank"]): (g["vec_id"], g["score"]) for g in N.search(df, "vec_id % 50 = 0", s).collect()}
+    assert got["plain"].keys() == got["scaled"].keys() and len(got["plain"]) == 5 * 10
+    for key, (vec_id, score) in got["plain"].items():
+        assert np.isclose(got["scaled"][key][1], score, rtol=1e-9), key
+    assert [got["scaled"][400, k][0] for k in range(1, 6)] == [401, 402, 403, 404, 405]
+
+
+def test_long_vectors_take_a_smaller_sample(spark):
+    """sample_values bounds the components that the driver holds; every row is still indexed and found."""
+    r = np.random.default_rng(8)
+    x = [(i, r.normal(size=40).tolist()) for i in range(300)]
+    df = spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    got = N.search(df, "vec_id % 50 = 0", N.Settings(recall=1.0, leaf_rows=20, sample_values=2_000)).collect()
+    want = slow(x, [i for i, _ in x if i % 50 == 0])
+    assert all([g["vec_id"] for g in sorted(got, key=lambda g: g["rank"]) if g["query_id"] == q] == [i for i, _ in near] for q, near in want.items())
