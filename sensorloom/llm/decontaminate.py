@@ -91,10 +91,10 @@ class SuffixAutomaton:
                 if (u := self.at_window[v]) >= 0:
                     self.items.setdefault(u, set()).add(i)
 
-    def match(self, ids: list[int]) -> tuple[list[tuple[int, int]], set]:
-        """Spans (start, end) of windows in a run of known words, and the sequences they are from."""
+    def match(self, ids: list[int]) -> tuple[list[tuple[int, int]], set, set]:
+        """Spans (start, end) of windows in a run of known words, the windows' states, and the whole sequences among them."""
         v = length = 0
-        spans, found = [], set()
+        spans, states, found = [], set(), set()
         for at, x in enumerate(ids, 1):
             while v and x not in self.next[v]:
                 v = self.link[v]
@@ -103,12 +103,12 @@ class SuffixAutomaton:
                 v, length = self.next[v][x], length + 1
             if length >= self.window:
                 spans.append((at - self.window, at))
-                found |= self.items[self.at_window[v]]
+                states.add(self.at_window[v])
             for size, i in self.ends[v]:
                 if size <= length:
                     spans.append((at - size, at))
                     found.add(i)
-        return spans, found
+        return spans, states, found
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list]:
         """Merged spans of a document and its items. Only runs of known words, long enough, are walked."""
@@ -117,11 +117,13 @@ class SuffixAutomaton:
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int32, len(words))
         edge = np.diff(np.concatenate([[0], ids > 0, [0]]).astype(np.int8))
         lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        spans, items = [], set()
+        spans, states, items = [], set(), set()
         for s, e in zip(*((x[hi - lo >= self.shortest]).tolist() for x in (lo, hi))):
-            got, own = self.match(ids[s:e].tolist())
+            got, at, whole = self.match(ids[s:e].tolist())
             spans += [(s + a, s + b) for a, b in got]
-            items |= own
+            states |= at
+            items |= whole
+        items.update(*(self.items[u] for u in states))
         return merge(spans), sorted({x for i in items for x in self.ids[i]})
 
 

@@ -105,3 +105,12 @@ def test_spans_are_cut_and_documents_dropped(spark):
     assert sorted(r["doc_id"] for r in D.decontaminate(df, items, coverage=0.0).collect()) == [3, 4]
     empty = D.decontaminate(df.limit(0), items.limit(0))
     assert empty.collect() == [] and empty.columns == df.columns
+
+
+def test_window_of_very_many_items(spark):
+    """2,000 items share a prefix that a document repeats: each state's items are united once."""
+    prefix = " ".join(f"w{i}" for i in range(30))
+    items = [(i, f"{prefix} end{i}") for i in range(2_000)]
+    docs = [(1, " ".join([prefix] * 80)), (2, f"{prefix} end7"), (3, "w0 w1"), (4, None)]
+    got = D.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == slow(docs, items)
