@@ -20,11 +20,14 @@ MOST = 4096
 FEW = 100_000
 
 
+def _key_of(counted: DataFrame) -> Column:
+    kind = counted.schema["value"].dataType
+    return F.col("value").cast("long") if isinstance(kind, IntegralType) else order_key(F.col("value"), scale_of(counted, "value"))
+
+
 def keyed(counted: DataFrame, keys: list[str]) -> DataFrame:
     """keys, value, c and _key, a row for each distinct value of a group. The counts combine before they move."""
-    kind = counted.schema["value"].dataType
-    key = F.col("value").cast("long") if isinstance(kind, IntegralType) else order_key(F.col("value"), scale_of(counted, "value"))
-    return counted.groupBy(*keys, "value").agg(F.sum("c").alias("c")).withColumn("_key", key)
+    return counted.groupBy(*keys, "value").agg(F.sum("c").alias("c")).withColumn("_key", _key_of(counted))
 
 
 def _open(rows: DataFrame, keys: list[str], percents: tuple[int, ...], most: int) -> DataFrame:
@@ -70,15 +73,17 @@ def _counted_through(rows: DataFrame, keys: list[str]) -> DataFrame:
     return upto.groupBy(*keys).agg(at(50).alias("p50"), at(99).alias("p99"), F.max("total").alias("cnt"))
 
 
-def ranked_counts(counted: DataFrame, keys: list[str], most: int = MOST, few_values: bool = False) -> DataFrame:
+def ranked_counts(counted: DataFrame, keys: list[str], most: int = MOST, few_values: bool = False, parts: int | None = None) -> DataFrame:
     """Nearest-rank p50 and p99, and cnt, of each group of `keys` from rows of keys, value and c, how often it occurs (batch).
 
     The values may repeat; they are decimals, whole numbers or doubles, of which NaN is the largest. Groups of up to `most`
     distinct values are counted through at once; larger ones are narrowed first, for which the distinct values are written once.
-    few_values: the caller has counted that no group has more.
+    few_values: the caller has counted that no group has more. Repeated values then aren't merged: they move once, into `parts`
+    partitions if it says how many.
     """
     if few_values:
-        return _counted_through(keyed(counted, keys), keys)
+        rows = counted.withColumn("_key", _key_of(counted))
+        return _counted_through(rows.repartition(parts, *keys) if parts else rows, keys)
     rows = written(keyed(counted, keys), "rank-values")
     ranges = narrowed(rows, keys, (50, 99), most)
     if ranges.isEmpty():

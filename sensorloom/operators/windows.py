@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions import exact_avg, nearest_rank, rounded_mean, scale_of, sorted_values
 from sensorloom.operators.selection import MOST, ranked_counts
+from sensorloom.session import parts_for, written
 
 MINUTE, FIVE = "1 minute", "5 minutes"
 
@@ -176,13 +177,14 @@ def sliding_counted(events: DataFrame, n: int = 5, slide: str = MINUTE, slide_ms
     """Sliding percentiles from counts of distinct values (batch), for hot sensors.
 
     Counts of (sensor, pane, value) combine before the shuffle, so what moves and what a window holds
-    grows with the distinct values only. The rank comes from running counts, never from a list.
+    grows with the distinct values only. The rank comes from running counts, never from a list. The counts are written once;
+    their number says into how many partitions windows are dealt.
     """
-    counted = events.groupBy(F.window("ts", slide).alias("w"), "sensor_id", "value").agg(F.count("*").alias("c"))
-    widest = counted.groupBy("w", "sensor_id").count().agg(F.max("count")).first()[0] or 0  # distinct values of a pane; windows have n times that at most
-    starts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: start_ms(F.col("w")) - k * slide_ms)
-    dealt = counted.select("sensor_id", "value", "c", F.explode(starts).alias("window_start_ms"))
-    grouped = ranked_counts(dealt, ["window_start_ms", "sensor_id"], few_values=n * widest <= MOST)
+    pane = F.floor(F.unix_millis("ts") / slide_ms).alias("pane")
+    counted = written(events.groupBy("sensor_id", pane, "value").agg(F.count("*").alias("c")), "pane-counts")
+    size = counted.groupBy("sensor_id", "pane").count().agg(F.max("count").alias("widest"), F.sum("count").alias("rows")).first()  # widest: distinct values of a pane; windows have n times that at most
+    dealt = counted.select("sensor_id", "value", "c", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"), "pane").select("sensor_id", "value", "c", ((F.col("pane") - F.col("k")) * slide_ms).alias("window_start_ms"))
+    grouped = ranked_counts(dealt, ["window_start_ms", "sensor_id"], few_values=n * (size["widest"] or 0) <= MOST, parts=parts_for(events.sparkSession, n * (size["rows"] or 0)))
     return grouped.select(F.lit("sliding").alias("window_type"), "window_start_ms", "sensor_id", "p50", "p99", "cnt", F.lit("new").alias("flag"))
 
 

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a few columns that a task sorts or groups at once, on average.
+PER_TASK = 400_000
+
 
 def build_session(app: str = "sensorloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC event time and adaptive execution; `conf` keys use `__` for dots."""
@@ -56,6 +59,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for a shuffle of so many rows: the session's number, more if a task would get over PER_TASK. Given as a number,
+    adaptive execution doesn't merge them, so a task's memory doesn't grow with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PER_TASK))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
