@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sensorloom.operators.difference import difference
-from sensorloom.session import fresh_path
+from sensorloom.session import parts_for, written
 
 #: Sliding before tumbling, then by start and sensor.
 ORDER = ("window_type", "window_start_ms", "sensor_id")
@@ -38,21 +38,23 @@ def ordered(windows: DataFrame) -> DataFrame:
 def numbered(windows: DataFrame, weight: Column | None = None, name: str = "offset") -> DataFrame:
     """The windows with `position`, from 1, in this order; with a weight, also the sum of those before, from 0, as `name`.
 
-    Ranges of the order are written with their number; each sums up for itself and begins after those before it,
-    so no task sees more than its range.
+    Ranges of the order are written with their number; each sums up for itself and begins after those before it. There are as many
+    as the rows need, and each is numbered in a task of its own, so a task's memory doesn't grow with the rows.
     """
-    path = fresh_path(windows.sparkSession, "window-ranges")
-    weighed = windows if weight is None else windows.withColumn("weight", weight)
-    weighed.repartitionByRange(*ORDER).withColumn("range", F.spark_partition_id()).write.parquet(path)
-    ranges, sums = windows.sparkSession.read.parquet(path), {"position": F.count("*")} | ({} if weight is None else {name: F.sum("weight")})
-    whole = ranges.groupBy("range").agg(*[x.alias(f"{c}_own") for c, x in sums.items()])
+    spark, names = windows.sparkSession, windows.columns
+    rows = written(windows, "windows")  # made once; their number says how many ranges there are
+    ranges = parts_for(spark, rows.count())
+    numbered_ranges = written(rows.repartitionByRange(ranges, *ORDER).withColumn("range", F.spark_partition_id()), "window-ranges")
+    weighed = numbered_ranges if weight is None else numbered_ranges.withColumn("weight", weight)
+    sums = {"position": F.count("*")} | ({} if weight is None else {name: F.sum("weight")})
+    whole = weighed.groupBy("range").agg(*[x.alias(f"{c}_own") for c, x in sums.items()])
     before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     starts = whole.select("range", *[F.coalesce(F.sum(f"{c}_own").over(before), F.lit(0)).alias(f"{c}_before") for c in sums])  # a row for each range
     own = W.partitionBy("range").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)
-    placed = ranges.join(F.broadcast(starts), "range").withColumn("position", F.col("position_before") + F.count("*").over(own))
+    placed = weighed.repartitionByRange(ranges, "range").join(F.broadcast(starts), "range").withColumn("position", F.col("position_before") + F.count("*").over(own))
     if weight is not None:
-        placed = placed.withColumn(name, F.col(f"{name}_before") + F.sum("weight").over(own) - F.col("weight")).drop("weight", f"{name}_before")
-    return placed.drop("range", "position_before")
+        placed = placed.withColumn(name, F.col(f"{name}_before") + F.sum("weight").over(own) - F.col("weight"))
+    return placed.select(*names, "position", *([] if weight is None else [name]))
 
 
 def same_rows(left: DataFrame, right: DataFrame) -> bool:

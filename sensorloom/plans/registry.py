@@ -244,8 +244,8 @@ add("parse_metrics", parse_metrics, f"WITH {events_sql('user_id')} SELECT count(
 def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The byte at which each line begins in the text of all windows in order: sums over ranges, none of which is the whole."""
     windows = O.union_of_both(O.both_in_blocks(read_events(spark, sf_dir)))
-    lines = windows.withColumn("line", O.line_of(windows))
-    return O.numbered(lines, F.octet_length("line") + 1).select("offset", "line")
+    placed = O.numbered(windows, F.octet_length(O.line_of(windows)) + 1)
+    return placed.select("offset", O.line_of(placed).alias("line"))
 
 
 add(
