@@ -8,8 +8,8 @@ The log has, below one folder and by batch number, so that a replayed batch writ
   base/    every some batches: the counts of panes of open windows, merged; rows and bases before the last base but one are removed
   archive/ at the same time, once: the counts of panes that no open window has, by day
   late/    at the same time, once: which panes got late rows, by day
-  closed/  the windows that the watermark has passed, once, by day
-  changes/ windows whose values a batch has changed, before and after
+  windows/ windows whose values a batch has changed, before and after it, and those that the watermark has passed with it, `closed`;
+           most are both, and each is made once
   clock/   written last: the batch is done; watermark and counts
 
 The watermark is the latest event time so far less the allowed lateness. What a batch reads and writes depends on it, on the open
@@ -21,15 +21,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sensorloom.functions import rounded_mean, scale_of
-from sensorloom.session import exists, fresh_path, remove
+from sensorloom.session import exists, fresh_path, parts_for, remove
 
 KEY = ("window_type", "window_start_ms", "sensor_id")
 STATS = ("cnt", "sum_value", "min_value", "max_value", "avg_value")
 RANKS = ("p50", "p99")
 NEVER = -(1 << 62)
+#: Windows of a sensor that are made where their panes' counts are; the first panes of a block go to the one before too.
+SPAN = 60
 
 
 @dataclass(frozen=True)
@@ -78,35 +81,44 @@ def _starts(rows: DataFrame, log: PaneLog) -> DataFrame:
     return rows.withColumn("w", F.explode(kinds)).withColumns({"window_type": F.col("w.window_type"), "start": F.col("pane") - F.col("w.k")}).drop("w")
 
 
-def _rank(pairs: Column, count: str, total: Column, percent: int) -> Column:
-    """The first value of sorted (value, counts) up to which there are enough."""
-    start = F.struct(F.lit(0).cast("long").alias("upto"), F.get(pairs, F.lit(0))["value"].alias("value"))
-    step = lambda a, x: F.when(a["upto"] * 100 < total * percent, F.struct((a["upto"] + x[count]).alias("upto"), x["value"].alias("value"))).otherwise(a)
-    return F.aggregate(pairs, start, step)["value"]
+def _parts(log: PaneLog, rows: DataFrame) -> int:
+    """Partitions for the windows of these counts, read from files: each count is in one tumbling and some sliding windows."""
+    return parts_for(rows.sparkSession, (log.panes + 1) * rows.count())
 
 
-def windows_of(dealt: DataFrame, log: PaneLog, counts: tuple[str, ...] = ("c",)) -> DataFrame:
-    """window_type, start, sensor_id and, for each of the count columns, a struct of the values; null where it counts nothing.
+def windows_of(rows: DataFrame, log: PaneLog, parts: int, counts: tuple[str, ...] = ("c",), hit: Column | None = None, after: int = NEVER, upto: int = -NEVER) -> DataFrame:
+    """window_type, start, sensor_id, for each of the count columns a struct of the values, null where it counts nothing, and hit.
 
-    dealt: rows of _starts with value and the counts. A window's distinct values are held by one task.
+    rows: sensor_id, pane, value and the counts, in any number of rows; those with a null value count nothing. hit: whether the window
+    has a row for which this holds. Only windows that end after `after` and not after `upto`. Counts move once, to blocks of windows of
+    their sensor, and each window's ranks come from running counts over its sorted values, of which no list is made.
     """
-    scale = scale_of(dealt, "value")
-    pairs = F.array_sort(F.collect_list(F.when(F.col("window_type") == "sliding", F.struct("value", *counts))))
-    own = {}
+    scale, n = scale_of(rows, "value"), log.panes - 1
+    block = lambda x: F.floor(x / SPAN)
+    blocks = F.explode(F.sequence(block(F.col("pane") - n), block(F.col("pane")))).alias("block")
+    moved = rows.select("sensor_id", "pane", "value", *counts, (F.lit(True) if hit is None else hit).alias("hit"), blocks).repartition(parts, "sensor_id", "block")
+    merged = moved.groupBy("sensor_id", "block", "pane", "value").agg(*[F.sum(c).alias(c) for c in counts], F.max("hit").alias("hit"))
+    dealt = merged.withColumn("k", F.explode(F.sequence(F.lit(-1), F.lit(n)))).withColumns({"is_tumbling": F.col("k") < 0, "start": F.col("pane") - F.greatest(F.col("k"), F.lit(0))})
+    ends = log.ends(F.when(F.col("is_tumbling"), "tumbling").otherwise("sliding"), F.col("start"))
+    dealt = dealt.where((block(F.col("start")) == F.col("block")) & (ends > after) & (ends <= upto)).drop("k", "pane")
+    by = ["start", "sensor_id", "block", "is_tumbling"]
+    sorted_ = W.partitionBy(*by).orderBy("value")
+    running, whole = sorted_.rowsBetween(W.unboundedPreceding, 0), sorted_.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    summed = dealt.select("*", *[F.sum(c).over(w).alias(f"{c}_{name}") for c in counts for name, w in (("upto", running), ("all", whole))])
+    own = [F.max("hit").alias("hit")]
     for c in counts:
-        here = F.when(F.col(c) > 0, F.col("value"))
-        total = F.sum(F.col("value") * F.col(c))
-        own |= {f"{c}_n": F.sum(c), f"{c}_sum": total if scale is None else total.cast(f"decimal(28,{scale})"), f"{c}_lo": F.min(here), f"{c}_hi": F.max(here)}
-    grouped = dealt.groupBy("window_type", "start", "sensor_id").agg(pairs.alias("pairs"), *[x.alias(n) for n, x in own.items()])
+        here = F.when(F.col("is_tumbling") & (F.col(c) > 0), F.col("value"))
+        total = F.sum(here * F.col(c))
+        own += [F.sum(c).alias(f"{c}_n"), (total if scale is None else total.cast(f"decimal(28,{scale})")).alias(f"{c}_sum"), F.min(here).alias(f"{c}_lo"), F.max(here).alias(f"{c}_hi")]
+        own += [F.min(F.when(~F.col("is_tumbling") & (F.col(f"{c}_upto") * 100 >= F.col(f"{c}_all") * int(p[1:])), F.col("value"))).alias(f"{c}_{p}") for p in RANKS]
+    grouped = summed.groupBy(*by).agg(*own)
     out = []
     for c in counts:
-        n = F.col(f"{c}_n")
-        sliding = {p: _rank(F.col("pairs"), c, n, int(p[1:])) for p in RANKS}
-        tumbling = dict(zip(STATS, (n, F.col(f"{c}_sum"), F.col(f"{c}_lo"), F.col(f"{c}_hi"), rounded_mean(F.col(f"{c}_sum"), n, scale))))
-        is_sliding = F.col("window_type") == "sliding"
-        fields = [F.when(is_sliding, x).alias(p) for p, x in sliding.items()] + [F.when(~is_sliding, x).alias(p) for p, x in tumbling.items()]
-        out.append(F.when(n > 0, F.struct(*fields)).alias(c))
-    return grouped.select("window_type", "start", "sensor_id", *out)
+        total = F.col(f"{c}_n")
+        tumbling = dict(zip(STATS, (total, F.col(f"{c}_sum"), F.col(f"{c}_lo"), F.col(f"{c}_hi"), rounded_mean(F.col(f"{c}_sum"), total, scale))))
+        fields = [F.col(f"{c}_{p}").alias(p) for p in RANKS] + [F.when(F.col("is_tumbling"), x).alias(p) for p, x in tumbling.items()]
+        out.append(F.when(total > 0, F.struct(*fields)).alias(c))
+    return grouped.select(F.when(F.col("is_tumbling"), "tumbling").otherwise("sliding").alias("window_type"), "start", "sensor_id", *out, "hit")
 
 
 def _typed(rows: DataFrame, log: PaneLog, values: str = "c") -> DataFrame:
@@ -122,18 +134,19 @@ def _by_day(rows: DataFrame, start_ms: Column) -> DataFrame:
     return rows.withColumn("day", F.date_format(F.timestamp_millis(start_ms), "yyyy-MM-dd"))
 
 
-def _changes(spark: SparkSession, log: PaneLog, number: int, watermark: int) -> DataFrame:
-    """Open windows of the batch's panes, with their values before and after it, where these differ."""
-    new = spark.read.parquet(log.path("rows", number)).where(log.is_open(F.col("pane"), watermark)).select("sensor_id", "pane", "value", "c")
+def _made(spark: SparkSession, log: PaneLog, number: int, watermark: int, after: int) -> DataFrame:
+    """Windows with their values before and after a batch: those that were open and that it changed, with a flag, and those that it closed."""
+    new = spark.read.parquet(log.path("rows", number)).select("sensor_id", "pane", "value", "c")
     old = _read(spark, log, number - 1)
     each = new.withColumns({"before": F.lit(0).cast("long"), "after": F.col("c")})
     if old is not None:
         each = each.unionByName(old.withColumns({"before": F.col("c"), "after": F.col("c")}))
-    dealt = _starts(each.drop("c").groupBy("sensor_id", "pane", "value").agg(F.sum("before").alias("before"), F.sum("after").alias("after")), log)
-    touched = _starts(new.select("sensor_id", "pane").distinct(), log).select("window_type", "start", "sensor_id").distinct()
-    still = log.ends(F.col("window_type"), F.col("start")) > watermark
-    made = windows_of(dealt.where(still).join(touched, ["window_type", "start", "sensor_id"], "left_semi"), log, ("before", "after"))
-    return made.where(~F.col("before").eqNullSafe(F.col("after"))).select("window_type", (F.col("start") * log.pane_ms).alias("window_start_ms"), "sensor_id", F.when(F.col("before").isNull(), "new").otherwise("updated").alias("flag"), "before", "after")
+    parts = _parts(log, new if old is None else new.union(old))
+    made = windows_of(each.where(log.is_open(F.col("pane"), watermark)), log, parts, ("before", "after"), F.col("before") < F.col("after"), after=watermark)
+    changed = F.col("hit") & ~F.col("before").eqNullSafe(F.col("after"))
+    flag = F.when(changed, F.when(F.col("before").isNull(), "new").otherwise("updated"))
+    closed = log.ends(F.col("window_type"), F.col("start")) <= after
+    return made.where(changed | closed).select("window_type", (F.col("start") * log.pane_ms).alias("window_start_ms"), "sensor_id", flag.alias("flag"), closed.alias("closed"), "before", "after")
 
 
 def _clock(spark: SparkSession, log: PaneLog, number: int) -> dict:
@@ -164,12 +177,7 @@ def take(batch: DataFrame, number: int, log: PaneLog) -> None:
     counted(batch, log).withColumn("late", late).write.mode("overwrite").parquet(log.path("rows", number))
     seen = spark.read.parquet(log.path("rows", number)).agg(F.max("high").alias("high"), F.sum("c").alias("events"), F.sum(F.when(F.col("late"), F.col("c"))).alias("late")).first()
     after = watermark if seen["high"] is None else max(watermark, seen["high"] - log.lateness_ms)
-    _changes(spark, log, number, watermark).write.mode("overwrite").parquet(log.path("changes", number))
-    if after > watermark:
-        ends = log.ends(F.col("window_type"), F.col("start"))
-        state = _merged(_read(spark, log, number)).where(log.is_open(F.col("pane"), watermark))
-        done = windows_of(_starts(state, log).where((ends > watermark) & (ends <= after)), log)
-        _by_day(_typed(done, log), F.col("window_start_ms")).write.mode("overwrite").partitionBy("day").parquet(log.path("closed", number))
+    _made(spark, log, number, watermark, after).write.mode("overwrite").parquet(log.path("windows", number))
     if number % log.merge_every == log.merge_every - 1:
         _merge(spark, log, number, after)
     spark.createDataFrame([(number, after, seen["events"] or 0, seen["late"] or 0)], "number long, watermark long, events long, late long").coalesce(1).write.mode("overwrite").parquet(log.path("clock", number))
@@ -200,16 +208,16 @@ def _of(spark: SparkSession, log: PaneLog, kind: str, upto: int, schema: str) ->
 def closed_windows(spark: SparkSession, log: PaneLog) -> DataFrame:
     """The windows that the watermark has passed, as they were then."""
     now = last_batch(spark, log)
-    like = _typed(windows_of(_starts(_read(spark, log, now["number"]), log), log), log).schema
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in like)
-    return _of(spark, log, "closed", now["number"], schema).drop("batch", "day")
+    values = windows_of(_read(spark, log, now["number"]), log, 1).schema["c"].dataType.simpleString()
+    schema = f"window_type string, window_start_ms long, sensor_id string, closed boolean, after {values}"
+    return _of(spark, log, "windows", now["number"], schema).where("closed").select(*KEY, "after.*")
 
 
 def open_windows(spark: SparkSession, log: PaneLog) -> DataFrame:
     """The windows that the watermark hasn't passed, so far."""
     now = last_batch(spark, log)
-    dealt = _starts(state_rows(spark, log), log)
-    return _typed(windows_of(dealt.where(log.ends(F.col("window_type"), F.col("start")) > now["watermark"]), log), log)
+    rows = _read(spark, log, now["number"])
+    return _typed(windows_of(rows.where(log.is_open(F.col("pane"), now["watermark"])), log, _parts(log, rows), after=now["watermark"]), log)
 
 
 def current_windows(spark: SparkSession, log: PaneLog) -> DataFrame:
@@ -231,11 +239,14 @@ def corrected_windows(spark: SparkSession, log: PaneLog) -> DataFrame:
     days = late.select(F.explode(F.sequence(F.col("pane") - span, F.col("pane") + span)).alias("pane"))
     days = [r[0] for r in _by_day(days, F.col("pane") * log.pane_ms).select("day").distinct().collect()]  # a name for each day with late rows
     every = _read(spark, log, number).unionByName(_of(spark, log, "archive", base, counts).where(F.col("day").isin(days)).select("sensor_id", "pane", "value", "c"))
-    ends = log.ends(F.col("window_type"), F.col("start")) <= watermark
-    again = _starts(late, log).where(ends).select("window_type", "start", "sensor_id").distinct()
-    made = windows_of(_starts(_merged(every), log).join(again, ["window_type", "start", "sensor_id"], "left_semi"), log)
-    gone = again.select("window_type", (F.col("start") * log.pane_ms).alias("window_start_ms"), "sensor_id")
-    return closed_windows(spark, log).join(gone, list(KEY), "left_anti").unionByName(_typed(made, log)).unionByName(open_windows(spark, log))
+    marks = late.withColumns({"value": F.lit(None).cast(every.schema["value"].dataType), "c": F.lit(0).cast("long")})  # they tell which windows have late rows
+    made = windows_of(every.unionByName(marks), log, _parts(log, every), hit=F.col("value").isNull(), upto=watermark).where("hit")
+    again = _starts(late, log).where(log.ends(F.col("window_type"), F.col("start")) <= watermark)
+    gone = again.select("window_type", (F.col("start") * log.pane_ms).alias("window_start_ms"), "sensor_id").distinct()
+    closed = closed_windows(spark, log)
+    in_days = F.date_format(F.timestamp_millis("window_start_ms"), "yyyy-MM-dd").isin(days)
+    kept = closed.where(~in_days).unionByName(closed.where(in_days).join(gone, list(KEY), "left_anti"))
+    return kept.unionByName(_typed(made, log)).unionByName(open_windows(spark, log))
 
 
 def changelog(spark: SparkSession, log: PaneLog) -> DataFrame:
@@ -244,7 +255,7 @@ def changelog(spark: SparkSession, log: PaneLog) -> DataFrame:
     A batch that changes no value leaves nothing, and a replayed one the same as before. Rows that came too late change
     nothing here; see corrected_windows.
     """
-    return spark.read.option("basePath", f"{log.folder}/changes").parquet(f"{log.folder}/changes").where(F.col("batch") <= last_batch(spark, log)["number"])
+    return spark.read.parquet(f"{log.folder}/windows").where((F.col("batch") <= last_batch(spark, log)["number"]) & F.col("flag").isNotNull()).drop("closed")
 
 
 def run_panes(parts: list[DataFrame], lateness_ms: int = 900_000, merge_every: int = 2, pane_ms: int = 60_000, panes: int = 5) -> PaneLog:

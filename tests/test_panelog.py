@@ -85,3 +85,20 @@ def test_work_does_not_grow_with_the_streams_age(spark, tmp_path, merge_every):
         take(minutes(spark, 20 * i, 20 * i + 20, 40, i), i, log)
         seen.append((state_rows(spark, log).select("pane").distinct().count(), len(list((tmp_path / "log" / "rows").iterdir())), len(list((tmp_path / "log" / "clock").iterdir()))))
     assert max(seen[6:]) <= max(seen[:6]) and seen[-1][0] <= 7
+
+
+def test_a_batch_makes_each_window_once(spark, tmp_path):
+    """A window that a batch changes and closes is one row, whose ranks come from no list; a late row with NaN or infinity is counted."""
+    log = PaneLog(str(tmp_path / "log"), lateness_ms=0)
+    part = minutes(spark, 0, 90, 150, 1)
+    take(part, 0, log)
+    rows = spark.read.parquet(log.path("windows", 0))
+    assert rows.groupBy("window_type", "window_start_ms", "sensor_id").count().where("count > 1").isEmpty()
+    assert rows.where("closed AND flag = 'new'").count() > 300 and rows.count() == changelog(spark, log).count()
+    assert sorted(x.name for x in (tmp_path / "log").iterdir()) == ["clock", "rows", "windows"]
+    assert "collect_list" not in current_windows(spark, log)._jdf.queryExecution().optimizedPlan().toString()
+    odd = PaneLog(str(tmp_path / "odd"), lateness_ms=0)
+    parts = [part.withColumn("value", F.col("value").cast("double")), minutes(spark, 0, 90, 40, 2).withColumn("value", F.expr("IF(second(ts) % 2 = 0, double('NaN'), double('Infinity'))"))]
+    for i, p in enumerate(parts):
+        take(p, i, odd)
+    assert same(corrected_windows(spark, odd), whole(parts))
