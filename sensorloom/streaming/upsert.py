@@ -23,7 +23,7 @@ KEY = ("window_type", "window_start_ms", "sensor_id")
 
 def stream_windows(events: DataFrame, windows: Callable[[DataFrame], DataFrame], log: str, checkpoint: str, lateness: str = ALLOWED_LATENESS, compact_every: int = 20, **trigger):
     """Start the query that appends changed windows to the log. Events of windows that ended before the watermark are dropped."""
-    rows = windows(events.withWatermark("ts", lateness))
+    rows = windows(events.withWatermark("ts", lateness)).drop("flag")  # it follows from how often a key was emitted
     first = events.sparkSession.createDataFrame([], rows.schema).withColumns({"batch": F.lit(-1).cast("long"), "times": F.lit(0).cast("long")})
     first.write.mode("ignore").parquet(f"{log}/states/state=-1")
 
@@ -47,9 +47,10 @@ def merged(spark: SparkSession, log: str, upto: int) -> DataFrame:
     last = finished(spark, log, upto)[0]
     before = spark.read.parquet(f"{log}/states/state={last}")
     since = spark.read.schema(before.schema).parquet(f"{log}/changes").where((F.col("batch") > last) & (F.col("batch") <= upto))
-    rest = [c for c in before.columns if c not in (*KEY, "times")]
-    rows = before.unionByName(since).groupBy(*KEY).agg(F.max_by(F.struct(*rest), "batch").alias("r"), F.sum("times").alias("times"))
-    return rows.select(*[F.col(c) if c in (*KEY, "times") else F.col(f"r.{c}").alias(c) for c in before.columns])
+    rest = [c for c in before.columns if c not in (*KEY, "times", "batch")]
+    # column by column: numbers are kept in a hash table, where a struct would have to be sorted for
+    rows = before.unionByName(since).groupBy(*KEY).agg(*[F.max_by(c, "batch").alias(c) for c in rest], F.max("batch").alias("batch"), F.sum("times").alias("times"))
+    return rows.select(*before.columns)
 
 
 def forget(spark: SparkSession, log: str, number: int, compact_every: int) -> None:
